@@ -104,8 +104,8 @@ def node_of(elements: np.ndarray) -> int:
 
 
 def signature(elements: np.ndarray) -> bytes:
-    """A bitmap of the elements' low bits, of a power of two of bits near twice their number."""
-    bits = 1 << min(13, max(7, (2 * len(elements) - 1).bit_length()))
+    """A bitmap of the elements' low bits, of about eight bits an element, a power of two."""
+    bits = 1 << min(16, max(7, (8 * len(elements) - 1).bit_length()))
     held = np.zeros(bits, bool)
     held[elements & np.uint64(bits - 1)] = True
     return np.packbits(held, bitorder="little").tobytes()
@@ -218,45 +218,77 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "ea", "eb").mapInArrow(exact_by_slice, "a long, b long")
 
 
-def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of nodes with different labels in the same block pair.
+def compare_blocks(rows: DataFrame, percent: int, best: int) -> DataFrame:
+    """For every node its ``best`` nearest candidates of another label in each block pair.
 
     ``rows`` has key, bi, bj, node, label, second (whether the node is of block
-    bj), n, signature; a block pair holds about 2 * BLOCK rows.
+    bj), n, signature; a block pair holds about 2 * BLOCK rows.  The result has
+    a, b and cut_off: whether the node had more candidates.
     """
     names = ["key", "bi", "bj", "node", "label", "second", "n", "signature"]
 
-    def pairs_of(group: list[tuple]) -> Iterator[tuple[int, int]]:
+    def pairs_of(group: list[tuple]) -> Iterator[tuple[int, int, bool]]:
         node, label, second, n = (np.array([g[i] for g in group], np.int64) for i in (3, 4, 5, 6))
+        if (label == label[0]).all():
+            return
         bits = folded([g[7] for g in group])
         across = group[0][1] != group[0][2]
-        for i in np.flatnonzero(second == 0) if across else range(len(group) - 1):
-            rest = np.flatnonzero(second == 1) if across else np.arange(i + 1, len(group))
-            rest = rest[(label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
-            if len(rest):
-                differing = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                for j in rest[may_link(n[rest] + n[i], differing, percent)]:
-                    yield tuple(sorted((int(node[i]), int(node[j]))))
+        for i in range(len(group)):
+            ok = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            rest = np.flatnonzero(ok & (second != second[i])) if across else np.flatnonzero(ok)
+            if not len(rest):
+                continue
+            differing = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            able = may_link(n[rest] + n[i], differing, percent)
+            rest, differing = rest[able], differing[able]
+            cut_off = len(rest) > best
+            if cut_off:
+                rest = rest[np.lexsort((node[rest], differing))[:best]]
+            for j in rest:
+                yield min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j])), cut_off
 
     def run(batches):
         group: list[tuple] = []
-        found: list[tuple[int, int]] = []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        found: set[tuple[int, int, bool]] = set()
+
+        def flush() -> pa.RecordBatch:
+            out = sorted(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "cut_off"])
+
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
                 if group and group[0][:3] != row[:3]:
-                    found += pairs_of(group)
+                    found.update(pairs_of(group))
                     group = []
+                    if len(found) >= 50_000:
+                        yield flush()
                 group.append(row)
-                if len(found) >= 50_000:
-                    yield flush()
-                    found = []
         if group:
-            found += pairs_of(group)
+            found.update(pairs_of(group))
         yield flush()
 
     dealt = rows.select(names).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, cut_off boolean")
+
+
+def open_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Tiles whose members carry several labels, cut into pairs of blocks; equal tiles once."""
+    marked = members.join(labels, "node")
+    tiles = marked.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    tiles = tiles.groupBy("size", "content").agg(F.min("key").alias("key")).select("key", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
+    rows = marked.join(tiles, "key").join(sets.select("node", "n", "signature"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "node", "label", (F.col("block") > F.col("other")).cast("int").alias("second"), "n", "signature")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after joining the components that ``links`` (a, b) connect."""
+    of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
+    between = links.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y").where("x <> y").distinct()
+    new = components(between, "x", "y").select(F.col("id").alias("label"), F.col("label").alias("new"))
+    return cut(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -266,27 +298,32 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     posted = postings(docs, width, percent)
     shared = posted.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
     members = cut(posted.join(shared, "key").select("key", "centre", "node").distinct())
-    # Equal tiles (same members) need one comparison only.
-    used = cut(members.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id")))
-    sets = cut(node_sets(docs, used.where("doc_id is not null"), width))
-
-    stars = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(verified(stars, sets, percent))
-    labels = components(links)
-    marked = members.join(labels, members.node == labels.id, "left").select("key", "centre", "node", F.coalesce("label", "node").alias("label"))
-    open_tiles = marked.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_tiles = open_tiles.groupBy("size", "content").agg(F.min("key").alias("key")).select("key", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
-    left = marked.join(open_tiles, "key").join(sets.select("node", "n", "signature"), "node")
-    left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "node", "label", (F.col("block") > F.col("other")).cast("int").alias("second"), "n", "signature")
-    more = compare_blocks(left, percent).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.union(verified(more, sets, percent))
-
-    ends = reps.where("rep is not null")
-    named = links.join(ends.select(F.col("node").alias("a"), F.col("rep").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("rep").alias("y")), "b")
-    named = components(named, "x", "y")
-    of_node = reps.join(named, reps.rep == named.id, "left").select("node", F.coalesce("label", "rep").alias("component"))
+    used = cut(members.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id")).where("doc_id is not null"))
+    sets = cut(node_sets(docs, used, width))
+    labels = sets.select("node", F.col("node").alias("label"))
+
+    # First every node against one centre, that with which it shares most tiles: this alone settles tight groups.
+    stars = members.where("centre <> node").groupBy("node", "centre").count()
+    stars = stars.groupBy("node").agg(F.max(F.struct("count", "centre")).alias("s")).select(F.least("node", "s.centre").alias("a"), F.greatest("node", "s.centre").alias("b")).distinct()
+    tried = cut(stars)
+    labels = merged(labels, cut(verified(tried, sets, percent)))
+    # Then, between components only, every node against its nearest candidates in each tile: the first round
+    # joins what can be joined, and the later ones, with ever more candidates, end when none was left out.
+    best = 1
+    while True:
+        found = cut(compare_blocks(open_blocks(members, labels, sets), percent, best))
+        new = cut(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        labels = merged(labels, cut(verified(new, sets, percent)))
+        if found.where("cut_off").isEmpty():
+            break
+        tried = cut(tried.union(new))
+        best *= 4
+
+    # Components by node become components by the smallest doc_id in them.
+    ends = labels.join(used, "node")
+    smallest = ends.groupBy("label").agg(F.min("doc_id").alias("component"))
+    of_node = ends.join(smallest, "label").select("node", "component")
+    of_node = reps.join(of_node, "node", "left").select("node", F.coalesce("component", "rep").alias("component"))
     return nodes.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
