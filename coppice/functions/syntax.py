@@ -1,0 +1,709 @@
+"""The per-file helper: bytes of one source file to flat syntax nodes.
+
+Runs inside Spark tasks, one file at a time; ids, hashes, documents and every
+roll-up are built from its rows by Spark.  A node is (kind, start, end, fields,
+attrs) with byte offsets, end exclusive.  Kinds and field names follow one style
+(Stmt_, Expr_, Scalar_); a syntax error is recorded, the statement it is in is
+dropped, and parsing resumes after the next ``;`` or at the next ``}``.
+"""
+
+from __future__ import annotations
+
+import base64
+import json
+import math
+import re
+from bisect import bisect_right
+
+MAX_DEPTH = 120
+OPEN = re.compile(rb"<\?(?:php(?=[ \t\r\n]|\Z)|=)", re.I)
+IDENT = rb"[A-Za-z_\x80-\xff][A-Za-z0-9_\x80-\xff]*"
+TOKEN = re.compile(
+    rb"(?P<close>\?>(?:\r?\n)?)|(?P<skip>[ \t\r\n\v\f]+|(?://|\#(?!\[))(?:(?!\?>)[^\r\n])*|/\*.*?(?:\*/|\Z))"
+    rb"|(?P<var>\$" + IDENT + rb")"
+    rb"|(?P<num>0[xX][0-9a-fA-F_]+|0[bB][01_]+|(?:[0-9][0-9_]*)?\.[0-9][0-9_]*(?:[eE][+-]?[0-9]+)?|[0-9][0-9_]*(?:\.(?!\.))?(?:[eE][+-]?[0-9]+)?)"
+    rb"|(?P<name>\\?" + IDENT + rb"(?:\\" + IDENT + rb")*)"
+    rb"|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`\\]|\\.)*`|<<<[ \t]*(?P<q>['\"]?)(?P<tag>" + IDENT + rb")(?P=q)\r?\n(?:.*?\r?\n)??[ \t]*(?P=tag)\b)"
+    rb"|(?P<op><=>|\*\*=|\.\.\.|<<=|>>=|===|!==|\?\?=|\?->|\+\+|--|->|=>|::|==|!=|<>|<=|>=|&&|\|\||\?\?|\+=|-=|\*=|/=|\.=|%=|&=|\|=|\^=|<<|>>|\*\*|\#\[|.)",
+    re.S,
+)
+#: Binary operators: binding power, whether they group to the right, kind.
+BINARY = {
+    "or": (1, False, "LogicalOr"), "xor": (2, False, "LogicalXor"), "and": (3, False, "LogicalAnd"), "??": (7, True, "Coalesce"), "||": (8, False, "BooleanOr"), "&&": (9, False, "BooleanAnd"),
+    "|": (10, False, "BitwiseOr"), "^": (11, False, "BitwiseXor"), "&": (12, False, "BitwiseAnd"), "==": (13, False, "Equal"), "!=": (13, False, "NotEqual"), "<>": (13, False, "NotEqual"),
+    "===": (13, False, "Identical"), "!==": (13, False, "NotIdentical"), "<=>": (13, False, "Spaceship"), "<": (14, False, "Smaller"), "<=": (14, False, "SmallerOrEqual"), ">": (14, False, "Greater"),
+    ">=": (14, False, "GreaterOrEqual"), ".": (15, False, "Concat"), "<<": (16, False, "ShiftLeft"), ">>": (16, False, "ShiftRight"), "+": (17, False, "Plus"), "-": (17, False, "Minus"),
+    "*": (18, False, "Mul"), "/": (18, False, "Div"), "%": (18, False, "Mod"), "instanceof": (20, False, "Instanceof"), "**": (22, True, "Pow"),
+}
+ASSIGN = {"=": "Assign", "+=": "AssignPlus", "-=": "AssignMinus", "*=": "AssignMul", "/=": "AssignDiv", ".=": "AssignConcat", "%=": "AssignMod", "&=": "AssignAnd", "|=": "AssignOr", "^=": "AssignXor", "<<=": "AssignShiftLeft", ">>=": "AssignShiftRight", "**=": "AssignPow", "??=": "AssignCoalesce"}
+PREFIX = {"!": "BooleanNot", "-": "UnaryMinus", "+": "UnaryPlus", "~": "BitwiseNot", "@": "ErrorSuppress", "++": "PreInc", "--": "PreDec", "&": "Reference", "...": "Spread"}
+WORDED = {"print": "Print", "clone": "Clone", "include": "Include", "include_once": "IncludeOnce", "require": "Require", "require_once": "RequireOnce", "throw": "Throw", "yield": "Yield"}
+MODIFIERS = {"public", "protected", "private", "static", "abstract", "final", "readonly", "var"}
+CASTS = {"int", "integer", "float", "double", "string", "bool", "boolean", "array", "object"}
+ESCAPES = {b"n": b"\n", b"t": b"\t", b"r": b"\r", b"v": b"\v", b"f": b"\f", b"e": b"\x1b", b"\\": b"\\", b"$": b"$", b'"': b'"'}
+
+
+class Bad(Exception):
+    """A syntax error at a token."""
+
+
+def tokenize(data: bytes) -> list[tuple[str, int, int]]:
+    """(type, start, end); white space and comments are left out.  Types: html, close, var, num, name, str, echo, op text."""
+    out, at = [], 0
+    while at < len(data):
+        opened = OPEN.search(data, at)
+        if (end := opened.start() if opened else len(data)) > at:
+            out.append(("html", at, end))
+        if not opened:
+            break
+        at = opened.end()
+        if opened[0] == b"<?=":
+            out.append(("echo", opened.start(), at))
+        while at < len(data):
+            m = TOKEN.match(data, at)
+            kind, at = m.lastgroup if m.lastgroup not in ("q", "tag") else "str", m.end()
+            if kind != "skip":
+                out.append((m[0].decode("latin-1") if kind == "op" else kind, m.start(), at))
+            if kind == "close":
+                break
+    return out
+
+
+def unquoted(raw: bytes) -> bytes:
+    """The value of a string literal."""
+    if raw[:3] == b"<<<":
+        head, _, body = raw.partition(b"\n")
+        body = body[: body.rfind(b"\n")] if b"\n" in body else b""
+        return body if b"'" in head else unescaped(body.removesuffix(b"\r"))
+    return re.sub(rb"\\([\\'])", rb"\1", raw[1:-1]) if raw[:1] == b"'" else unescaped(raw[1:-1])
+
+
+def unescaped(body: bytes) -> bytes:
+    def one(m: re.Match) -> bytes:
+        x = m[1]
+        if x in ESCAPES:
+            return ESCAPES[x]
+        if x[:1] == b"x":
+            return bytes([int(x[1:], 16)])
+        return chr(int(x[2:-1], 16)).encode() if x[:1] == b"u" else bytes([int(x, 8) & 255])
+
+    return re.sub(rb"\\([ntrvfe\\$\"]|x[0-9A-Fa-f]{1,2}|[0-7]{1,3}|u\{[0-9A-Fa-f]{1,5}\})", one, body)
+
+
+def number(raw: str) -> int | float:
+    """Integers beyond 64 bits become floats."""
+    s = raw.replace("_", "").lower()
+    if re.fullmatch(r"0[xb][0-9a-f]+|[0-9]+", s):
+        n = int(s, 0) if s[:2] in ("0x", "0b") else int(s, 8) if re.fullmatch(r"0[0-7]+", s) else int(s)
+        return n if n < 1 << 63 else float(n) if n < 1 << 1023 else math.inf
+    return float(s)
+
+
+class Parser:
+    """Recursive descent over statements, precedence climbing over expressions."""
+
+    def __init__(self, data: bytes):
+        self.data, self.toks, self.i, self.depth = data, tokenize(data), 0, 0
+        self.errors: list[tuple[str, int]] = []
+
+    # -- tokens
+    def peek(self, ahead: int = 0) -> str:
+        return self.toks[self.i + ahead][0] if self.i + ahead < len(self.toks) else "end"
+
+    def text(self, ahead: int = 0) -> str:
+        if self.i + ahead >= len(self.toks):
+            return ""
+        _, a, b = self.toks[self.i + ahead]
+        return self.data[a:b].decode("utf-8", "replace")
+
+    def word(self, ahead: int = 0) -> str:
+        return self.text(ahead).lower() if self.peek(ahead) == "name" else ""
+
+    def start(self) -> int:
+        return self.toks[self.i][1] if self.i < len(self.toks) else len(self.data)
+
+    def end(self) -> int:
+        return self.toks[self.i - 1][2] if self.i else 0
+
+    def take(self, kind: str) -> str:
+        if self.peek() != kind:
+            raise Bad(f"unexpected {self.text()!r}, expected {kind}" if self.peek() != "end" else f"unexpected end of file, expected {kind}")
+        self.i += 1
+        return self.text(-1)
+
+    def had(self, kind: str) -> bool:
+        if self.peek() == kind:
+            self.i += 1
+            return True
+        return False
+
+    def had_word(self, word: str) -> bool:
+        if self.word() == word:
+            self.i += 1
+            return True
+        return False
+
+    def node(self, kind: str, start: int, fields: dict | None = None, attrs: dict | None = None) -> tuple:
+        return kind, start, self.end(), fields or {}, attrs or {}
+
+    # -- statements
+    def file(self) -> list:
+        out = []
+        while self.peek() != "end":
+            out += self.guarded()
+            if self.peek() == "}":
+                self.errors.append(("unexpected '}'", self.start()))
+                self.i += 1
+        return out
+
+    def guarded(self) -> list:
+        """One statement, or none and an error."""
+        before, depth = self.i, self.depth
+        try:
+            s = self.statement()
+            return [s] if s else []
+        except Bad as e:
+            self.errors.append((str(e), min(self.start(), max(len(self.data) - 1, 0))))
+            self.depth = depth
+            while self.peek() not in (";", "}", "end", "close"):
+                self.i += 1
+            if self.peek() in (";", "close") or self.i == before:
+                self.i += 1
+            return []
+
+    def terminated(self, kind: str, start: int, fields: dict, attrs: dict | None = None) -> tuple:
+        if not self.had(";") and self.peek() not in ("close", "html") and not (self.peek() == "end" and kind == "Stmt_Echo"):
+            self.take(";")
+        return self.node(kind, start, fields, attrs)
+
+    def body(self, *stops: str) -> list:
+        """A braced block, one statement, or ``:`` up to a closing word."""
+        if self.had("{"):
+            out = []
+            while self.peek() not in ("}", "end"):
+                out += self.guarded()
+            self.take("}")
+            return out
+        if stops and self.had(":"):
+            out = []
+            while self.peek() != "end" and self.word() not in stops:
+                out += self.guarded()
+            return out
+        s = self.statement()
+        return [s] if s else []
+
+    def statement(self) -> tuple | None:
+        at, kind, word = self.start(), self.peek(), self.word()
+        if kind in ("close", ";"):
+            self.i += 1
+            return None
+        if kind == "html":
+            self.i += 1
+            return self.node("Stmt_InlineHTML", at, attrs={"value": self.data[at : self.end()]})
+        if kind == "echo" or word == "echo":
+            self.i += 1
+            return self.terminated("Stmt_Echo", at, {"exprs": self.listed(";")})
+        if kind == "{":
+            return self.node("Stmt_Block", at, {"stmts": self.body()})
+        made = getattr(self, f"s_{word}", None) if word and self.peek(1) != "::" else None
+        if made and not (word == "static" and self.peek(1) != "var") and not (word in ("function", "fn") and self.peek(1) in ("(", "&")):
+            self.i += 1
+            return made(at)
+        if word in ("abstract", "final", "readonly") and self.peek(1) == "name":
+            self.i += 1
+            return self.statement()
+        expr = self.expr()
+        return self.terminated("Stmt_Expression", at, {"expr": expr})
+
+    def condition(self) -> tuple:
+        self.take("(")
+        e = self.expr()
+        self.take(")")
+        return e
+
+    def s_if(self, at: int) -> tuple:
+        cond = self.condition()
+        colon = self.peek() == ":"
+        stmts, elseifs, other = self.body("elseif", "else", "endif"), [], None
+        while True:
+            here = self.start()
+            if self.word() == "elseif" or (self.word() == "else" and self.word(1) == "if" and not colon):
+                self.i += 1 if self.word() == "elseif" else 2
+                c = self.condition()
+                elseifs.append(self.node("Stmt_ElseIf", here, {"cond": c, "stmts": self.body("elseif", "else", "endif")}))
+            elif self.had_word("else"):
+                other = self.node("Stmt_Else", here, {"stmts": self.body("endif")})
+            else:
+                break
+        fields = {"cond": cond, "stmts": stmts, "elseifs": elseifs, "else": other}
+        return self.closed("Stmt_If", at, fields, "endif") if colon else self.node("Stmt_If", at, fields)
+
+    def closed(self, kind: str, at: int, fields: dict, word: str) -> tuple:
+        if not self.had_word(word):
+            raise Bad(f"unexpected {self.text()!r}, expected {word}")
+        return self.terminated(kind, at, fields)
+
+    def loop(self, kind: str, at: int, fields: dict, word: str) -> tuple:
+        colon = self.peek() == ":"
+        fields["stmts"] = self.body(word)
+        return self.closed(kind, at, fields, word) if colon else self.node(kind, at, fields)
+
+    def s_while(self, at: int) -> tuple:
+        return self.loop("Stmt_While", at, {"cond": self.condition()}, "endwhile")
+
+    def s_do(self, at: int) -> tuple:
+        stmts = self.body()
+        if not self.had_word("while"):
+            raise Bad("expected while")
+        return self.terminated("Stmt_Do", at, {"stmts": stmts, "cond": self.condition()})
+
+    def s_for(self, at: int) -> tuple:
+        self.take("(")
+        parts = {}
+        for name, stop in (("init", ";"), ("cond", ";"), ("loop", ")")):
+            parts[name] = self.listed(stop)
+            self.take(stop)
+        return self.loop("Stmt_For", at, parts, "endfor")
+
+    def s_foreach(self, at: int) -> tuple:
+        self.take("(")
+        fields: dict = {"expr": self.expr()}
+        if not self.had_word("as"):
+            raise Bad("expected as")
+        fields["keyVar"], value = None, self.expr()
+        if self.had("=>"):
+            fields["keyVar"], value = value, self.expr()
+        fields["valueVar"] = value
+        self.take(")")
+        return self.loop("Stmt_Foreach", at, fields, "endforeach")
+
+    def s_switch(self, at: int) -> tuple:
+        fields: dict = {"cond": self.condition(), "cases": []}
+        colon = self.had(":")
+        if not colon:
+            self.take("{")
+        while self.peek() in ("close", "html"):
+            self.i += 1
+        while self.word() in ("case", "default"):
+            here = self.start()
+            self.i += 1
+            cond = self.expr() if self.word(-1) == "case" else None
+            if not self.had(";"):
+                self.take(":")
+            stmts = []
+            while self.word() not in ("case", "default", "endswitch") and self.peek() not in ("}", "end"):
+                stmts += self.guarded()
+            fields["cases"].append(self.node("Stmt_Case", here, {"cond": cond, "stmts": stmts}))
+        if colon:
+            return self.closed("Stmt_Switch", at, fields, "endswitch")
+        self.take("}")
+        return self.node("Stmt_Switch", at, fields)
+
+    def s_try(self, at: int) -> tuple:
+        fields: dict = {"stmts": self.body(), "catches": [], "finally": None}
+        while self.word() == "catch":
+            here = self.start()
+            self.i += 1
+            self.take("(")
+            types = self.type_name()
+            var = self.variable() if self.peek() == "var" else None
+            self.take(")")
+            fields["catches"].append(self.node("Stmt_Catch", here, {"type": types, "var": var, "stmts": self.body()}))
+        here = self.start()
+        if self.had_word("finally"):
+            fields["finally"] = self.node("Stmt_Finally", here, {"stmts": self.body()})
+        return self.node("Stmt_TryCatch", at, fields)
+
+    def value_or_none(self) -> tuple | None:
+        return None if self.peek() in (";", "close", "html", "end") else self.expr()
+
+    def s_return(self, at: int) -> tuple:
+        return self.terminated("Stmt_Return", at, {"expr": self.value_or_none()})
+
+    def s_break(self, at: int) -> tuple:
+        return self.terminated("Stmt_Break", at, {"num": self.value_or_none()})
+
+    def s_continue(self, at: int) -> tuple:
+        return self.terminated("Stmt_Continue", at, {"num": self.value_or_none()})
+
+    def s_global(self, at: int) -> tuple:
+        return self.terminated("Stmt_Global", at, {"vars": self.listed(";")})
+
+    def s_static(self, at: int) -> tuple:
+        return self.terminated("Stmt_Static", at, {"vars": self.listed(";")})
+
+    def s_const(self, at: int) -> tuple:
+        return self.terminated("Stmt_Const", at, {"consts": self.listed(";")})
+
+    def s_unset(self, at: int) -> tuple:
+        self.take("(")
+        items = self.listed(")")
+        self.take(")")
+        return self.terminated("Stmt_Unset", at, {"vars": items})
+
+    def s_namespace(self, at: int) -> tuple:
+        name = self.name() if self.peek() == "name" else None
+        if self.peek() == "{":
+            return self.node("Stmt_Namespace", at, {"name": name, "stmts": self.body()})
+        return self.terminated("Stmt_Namespace", at, {"name": name})
+
+    def s_use(self, at: int) -> tuple:
+        if self.word() in ("function", "const"):
+            self.i += 1
+        uses = []
+        while True:
+            here, name, alias = self.start(), self.name(), None
+            if self.had_word("as"):
+                alias = self.take("name")
+            uses.append(self.node("UseItem", here, {"name": name}, {"alias": alias} if alias else {}))
+            if not self.had(","):
+                return self.terminated("Stmt_Use", at, {"uses": uses})
+
+    def s_declare(self, at: int) -> tuple:
+        self.take("(")
+        items = self.listed(")")
+        self.take(")")
+        return self.terminated("Stmt_Declare", at, {"declares": items})
+
+    def s_function(self, at: int) -> tuple:
+        return self.function("Stmt_Function", at)
+
+    def function(self, kind: str, at: int, attrs: dict | None = None, named: bool = True) -> tuple:
+        self.had("&")
+        attrs = (attrs or {}) | ({"name": self.take("name")} if named else {})
+        fields: dict = {"params": self.params()}
+        if not named and self.had_word("use"):
+            self.take("(")
+            fields["uses"] = self.listed(")")
+            self.take(")")
+        fields["returnType"] = self.type_name() if self.had(":") else None
+        if kind == "Expr_ArrowFunction":
+            self.take("=>")
+            return self.node(kind, at, fields | {"expr": self.expr()}, attrs)
+        if self.had(";"):
+            return self.node(kind, at, fields | {"stmts": None}, attrs)
+        if self.peek() != "{":
+            self.take("{")
+        return self.node(kind, at, fields | {"stmts": self.body()}, attrs)
+
+    def params(self) -> list:
+        self.take("(")
+        out = []
+        while self.peek() != ")":
+            at, attrs = self.start(), {}
+            while self.word() in MODIFIERS:
+                attrs.setdefault("flags", []).append(self.take("name").lower())
+            attrs = {k: " ".join(v) for k, v in attrs.items()}
+            kind = self.type_name() if self.peek() not in ("var", "&", "...") else None
+            attrs |= {"byRef": self.had("&"), "variadic": self.had("...")}
+            var = self.variable()
+            out.append(self.node("Param", at, {"type": kind, "var": var, "default": self.expr() if self.had("=") else None}, attrs))
+            if not self.had(","):
+                break
+        self.take(")")
+        return out
+
+    def type_name(self) -> tuple:
+        at = self.start()
+        self.had("?")
+        while self.had("("):
+            pass
+        self.take("name")
+        while self.peek() in ("|", "&", ")") and (self.peek(1) in ("name", "(") or self.peek() == ")" and self.peek(1) in ("|", "&")):
+            self.i += 1
+            self.had("(")
+            if self.peek() == "name":
+                self.i += 1
+        return self.node("Type", at, attrs={"name": self.data[at : self.end()]})
+
+    def s_class(self, at: int, kind: str = "Stmt_Class", named: bool = True) -> tuple:
+        attrs = {"name": self.take("name")} if named else {}
+        fields: dict = {"extends": [], "implements": []}
+        if kind == "Stmt_Enum" and self.had(":"):
+            fields["type"] = self.type_name()
+        for word in ("extends", "implements"):
+            if self.had_word(word):
+                fields[word].append(self.name())
+                while self.had(","):
+                    fields[word].append(self.name())
+        self.take("{")
+        stmts = []
+        while self.peek() not in ("}", "end"):
+            stmts.append(self.member())
+        self.take("}")
+        return self.node(kind, at, fields | {"stmts": stmts}, attrs)
+
+    def s_interface(self, at: int) -> tuple:
+        return self.s_class(at, "Stmt_Interface")
+
+    def s_trait(self, at: int) -> tuple:
+        return self.s_class(at, "Stmt_Trait")
+
+    def s_enum(self, at: int) -> tuple:
+        return self.s_class(at, "Stmt_Enum")
+
+    def member(self) -> tuple:
+        at, flags = self.start(), []
+        while self.word() in MODIFIERS:
+            flags.append(self.take("name").lower())
+        attrs = {"flags": " ".join(flags)} if flags else {}
+        if self.had_word("function"):
+            return self.function("Stmt_ClassMethod", at, attrs)
+        if self.had_word("use"):
+            return self.s_use(at)
+        if self.had_word("const"):
+            return self.terminated("Stmt_ClassConst", at, {"consts": self.listed(";")}, attrs)
+        if self.had_word("case"):
+            return self.terminated("Stmt_EnumCase", at, {"expr": self.expr()}, attrs)
+        kind = self.type_name() if self.peek() != "var" else None
+        return self.terminated("Stmt_Property", at, {"type": kind, "props": self.listed(";")}, attrs)
+
+    # -- expressions
+    def listed(self, stop: str) -> list:
+        out = []
+        while self.peek() not in (stop, "close", "end"):
+            out.append(self.expr())
+            if not self.had(","):
+                break
+        return out
+
+    def name(self) -> tuple:
+        at = self.start()
+        self.take("name")
+        return self.node("Name", at, attrs={"name": self.data[at : self.end()]})
+
+    def variable(self) -> tuple:
+        at = self.start()
+        self.take("var")
+        return self.node("Expr_Variable", at, attrs={"name": self.data[at + 1 : self.end()]})
+
+    def expr(self, least: int = 0) -> tuple:
+        self.depth += 1
+        if self.depth > MAX_DEPTH:
+            raise Bad("nesting too deep")
+        at = self.start()
+        left = self.unary()
+        while True:
+            op = self.word() or self.peek()
+            if op in ASSIGN and least <= 30:
+                self.i += 1
+                right = self.expr(4)
+                left = self.node(f"Expr_{ASSIGN[op]}", at, {"var": left, "expr": right})
+            elif op == "?" and least <= 5:
+                self.i += 1
+                middle = None if self.peek() == ":" else self.expr(6)
+                self.take(":")
+                right = self.expr(6)
+                left = self.node("Expr_Ternary", at, {"cond": left, "if": middle, "else": right})
+            elif op in BINARY and BINARY[op][0] >= least:
+                power, to_right, kind = BINARY[op]
+                self.i += 1
+                right = self.expr(power if to_right else power + 1)
+                left = self.node("Expr_Instanceof" if kind == "Instanceof" else f"Expr_BinaryOp_{kind}", at, {"left": left, "right": right})
+            else:
+                self.depth -= 1
+                return left
+
+    def unary(self) -> tuple:
+        at, kind, word = self.start(), self.peek(), self.word()
+        if kind in PREFIX:
+            self.i += 1
+            inner = self.expr(19 if kind == "!" else 21)
+            return self.node(f"Expr_{PREFIX[kind]}", at, {"expr": inner})
+        if kind == "(" and self.word(1) in CASTS and self.peek(2) == ")":
+            self.i += 3
+            return self.node("Expr_Cast", at, {"expr": self.expr(21)})
+        if word in WORDED and self.peek(1) != "(" or word in WORDED and word != "clone":
+            self.i += 1
+            inner = None if word == "yield" and self.peek() in (";", ")", ",") else self.expr(4)
+            return self.node(f"Expr_{WORDED[word]}", at, {"expr": inner})
+        return self.postfix(at, self.atom(at, kind, word))
+
+    def postfix(self, at: int, left: tuple) -> tuple:
+        while True:
+            kind = self.peek()
+            if kind == "[":
+                self.i += 1
+                dim = None if self.peek() == "]" else self.expr()
+                self.take("]")
+                left = self.node("Expr_ArrayDimFetch", at, {"var": left, "dim": dim})
+            elif kind == "(":
+                left = self.node("Expr_FuncCall", at, {"name": left, "args": self.args()})
+            elif kind in ("->", "?->", "::"):
+                self.i += 1
+                member = self.member_name()
+                safe = "Nullsafe" if kind == "?->" else "Static" if kind == "::" else ""
+                if self.peek() == "(":
+                    left = self.node(f"Expr_{safe}{'Call' if safe == 'Static' else 'MethodCall'}", at, {"var": left, "name": member, "args": self.args()})
+                else:
+                    kind_of = "ClassConstFetch" if kind == "::" and member[0] == "Name" else f"{safe}PropertyFetch"
+                    left = self.node(f"Expr_{kind_of}", at, {"var": left, "name": member})
+            elif kind in ("++", "--"):
+                self.i += 1
+                left = self.node("Expr_PostInc" if kind == "++" else "Expr_PostDec", at, {"var": left})
+            else:
+                return left
+
+    def member_name(self) -> tuple:
+        if self.had("{"):
+            e = self.expr()
+            self.take("}")
+            return e
+        return self.variable() if self.peek() == "var" else self.name()
+
+    def args(self) -> list:
+        self.take("(")
+        out = []
+        while self.peek() != ")":
+            at, attrs = self.start(), {}
+            if self.peek() == "name" and self.peek(1) == ":" and self.peek(2) != ":":
+                attrs["name"] = self.take("name")
+                self.i += 1
+            value = self.node("Expr_Placeholder", at) if self.peek() == "..." and self.peek(1) == ")" and self.had("...") else self.expr()
+            out.append(self.node("Arg", at, {"value": value}, attrs))
+            if not self.had(","):
+                break
+        self.take(")")
+        return out
+
+    def items(self, stop: str) -> list:
+        """Array items; a missing one is a hole."""
+        out: list = []
+        while self.peek() != stop:
+            if self.had(","):
+                out.append(None)
+                continue
+            at, key, value = self.start(), None, self.expr()
+            if self.had("=>"):
+                key, value = value, self.expr()
+            out.append(self.node("ArrayItem", at, {"key": key, "value": value}))
+            if not self.had(","):
+                break
+        self.take(stop)
+        return out
+
+    def atom(self, at: int, kind: str, word: str) -> tuple:
+        if kind == "var":
+            return self.variable()
+        if kind == "num":
+            self.i += 1
+            value = number(self.text(-1))
+            return self.node("Scalar_Int" if isinstance(value, int) else "Scalar_Float", at, attrs={"value": value, "_rawValue": self.text(-1)})
+        if kind == "str":
+            self.i += 1
+            raw = self.data[at : self.end()]
+            quote = {b"'": 1, b'"': 2, b"`": 3}.get(raw[:1], 4)
+            mixed = quote != 1 and b"$" in raw and re.search(rb"(?<!\\)(?:\\\\)*\$[A-Za-z_{\x80-\xff]|\{\$", raw)
+            return self.node("Scalar_InterpolatedString" if mixed else "Scalar_String", at, attrs={"value": raw[1:-1] if mixed else unquoted(raw), "_kind": quote})
+        if kind == "(":
+            self.i += 1
+            inner = self.expr()
+            self.take(")")
+            return (*inner[:4], inner[4] | {"_parenthesized": True})
+        if kind == "[":
+            self.i += 1
+            return self.node("Expr_Array", at, {"items": self.items("]")}, {"_kind": 2})
+        if kind == "$":
+            self.i += 1
+            inner = self.expr() if self.had("{") and self.i else self.atom(self.start(), self.peek(), self.word())
+            self.had("}")
+            return self.node("Expr_Variable", at, {"name": inner})
+        if kind == "#[":
+            while self.peek() not in ("]", "end"):
+                self.i += 1
+            self.take("]")
+            return self.unary()
+        if word in ("array", "list", "isset", "empty", "exit", "die") and (self.peek(1) == "(" or word in ("exit", "die")):
+            self.i += 1
+            if not self.had("("):
+                return self.node("Expr_Exit", at, {"expr": None})
+            if word in ("array", "list"):
+                return self.node("Expr_Array" if word == "array" else "Expr_List", at, {"items": self.items(")")}, {"_kind": 1})
+            inner = self.listed(")")
+            self.take(")")
+            if word == "isset":
+                return self.node("Expr_Isset", at, {"vars": inner})
+            return self.node("Expr_Empty" if word == "empty" else "Expr_Exit", at, {"expr": inner[0] if inner else None})
+        if word == "new":
+            self.i += 1
+            if self.had_word("class"):
+                given = self.args() if self.peek() == "(" else []
+                return self.node("Expr_New", at, {"class": self.s_class(self.start(), named=False), "args": given})
+            of = self.name() if self.peek() == "name" else self.variable() if self.peek() == "var" else self.condition()
+            return self.node("Expr_New", at, {"class": of, "args": self.args() if self.peek() == "(" else []})
+        if word == "static" and self.word(1) in ("function", "fn"):
+            self.i += 1
+            word = self.word()
+        if word in ("function", "fn"):
+            self.i += 1
+            return self.function("Expr_Closure" if word == "function" else "Expr_ArrowFunction", at, named=False)
+        if word == "match" and self.peek(1) == "(":
+            self.i += 1
+            fields: dict = {"cond": self.condition(), "arms": []}
+            self.take("{")
+            while self.peek() != "}":
+                here = self.start()
+                conds = None if self.had_word("default") else self.listed("=>")
+                self.take("=>")
+                fields["arms"].append(self.node("MatchArm", here, {"conds": conds, "body": self.expr()}))
+                if not self.had(","):
+                    break
+            self.take("}")
+            return self.node("Expr_Match", at, fields)
+        if kind == "name":
+            name = self.name()
+            return name if self.peek() in ("(", "::") else self.node("Expr_ConstFetch", at, {"name": name})
+        raise Bad(f"unexpected {self.text()!r}" if kind != "end" else "unexpected end of file")
+
+
+def scalar(v):
+    """A scalar as JSON can hold it without loss."""
+    if isinstance(v, bytes):
+        try:
+            return v.decode("utf-8")
+        except UnicodeDecodeError:
+            return {"__b64": base64.b64encode(v).decode()}
+    if isinstance(v, float) and not math.isfinite(v):
+        return {"__float": "NAN" if math.isnan(v) else "INF" if v > 0 else "-INF"}
+    return v
+
+
+def canonical(v, indent: int | None = None) -> str:
+    """Sorted keys, no spaces (or one of indent), non-ASCII as it is."""
+    return json.dumps(v, sort_keys=True, ensure_ascii=False, indent=indent, separators=(",", ": " if indent else ":"))
+
+
+def parse(data: bytes, file_id: str) -> tuple[list[dict], list[dict]]:
+    """The flat pre-order nodes of a file, and its syntax errors."""
+    parser = Parser(data)
+    stmts = parser.file()
+    starts = [0, *(m.end() for m in re.finditer(b"\n", data))]
+    line = lambda at: bisect_right(starts, at)
+    errors = [{"message": m, "startLine": line(at), "endLine": line(at)} for m, at in parser.errors]
+    rows: list[dict] = []
+    ident = lambda n: f"{file_id}#{n:05d}"
+    # Fields are filled in when children get their numbers; an explicit stack keeps deep trees safe.
+    stack: list[tuple] = [("File", 0, len(data), {"stmts": stmts}, {}, None, None)]
+    while stack:
+        kind, a, b, fields, attrs, parent, place = stack.pop()
+        if kind is None:  # the subtree that began at row a is complete
+            rows[a]["subtree_end"] = len(rows)
+            continue
+        n = len(rows)
+        if parent is not None:
+            field, pos = place
+            rows[parent]["children"].append(n)
+            if pos is None:
+                rows[parent]["fields"][field] = ident(n)
+            else:
+                rows[parent]["fields"][field][pos] = ident(n)
+            rows[parent]["edges"].append((field, pos, n))
+        own = {f: [None] * len(v) if isinstance(v, list) else None for f, v in fields.items()}
+        own_attrs = {k: scalar(v) for k, v in attrs.items()}
+        loc = (line(a), line(b), a - starts[line(a) - 1], b - starts[line(b) - 1], a, b)
+        rows.append({"node_ord": n, "parent_ord": parent, "kind": kind, "loc": loc, "children": [], "fields": own, "attrs": own_attrs, "edges": [], "subtree_end": n + 1})
+        stack.append((None, n, 0, None, None, None, None))
+        flat = [(f, i, x) for f, v in fields.items() for i, x in (enumerate(v) if isinstance(v, list) else [(None, v)])]
+        rows[n]["edges"] += [(f, i, None) for f, i, x in flat if x is None and i is not None]
+        stack += [(*x, n, (f, i)) for f, i, x in reversed(flat) if x is not None]
+    return rows, errors
