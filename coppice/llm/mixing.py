@@ -87,20 +87,25 @@ def mixed(docs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("part") > 0, F.struct("key", "doc_id", "size", "part"))).alias("__part"),
     ).withColumnRenamed("source", "__source")
     ends = cut(ends)
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    rows = docs.withColumn("__place", F.struct(order_key(F.col("doc_id")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), size.alias("size")))
-    rows = rows.join(ends, F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    in_part = F.coalesce(F.col("__place") == F.struct(*[F.col("__part")[c].alias(c) for c in ("key", "doc_id", "size")]), F.lit(False))
-    whole = F.coalesce((F.col("__place") <= F.col("__whole")) & (F.col("__place.size") > 0), F.lit(False)) & ~in_part
+    # The documents travel in one struct, so that no column name of theirs can clash.
+    row = F.col("row")
+    size = F.coalesce(F.regexp_count(row["text"], F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("place", F.struct(order_key(row["doc_id"]).alias("key"), row["doc_id"].cast("long").alias("doc_id"), size.alias("size")))
+    rows = rows.join(ends, row["source"].cast("string").eqNullSafe(F.col("__source")))
+    in_part = F.coalesce(F.col("place").eqNullSafe(F.struct(*[F.col("__part")[c].alias(c) for c in ("key", "doc_id", "size")])), F.lit(False))
+    whole = F.coalesce((F.col("place") <= F.col("__whole")) & (F.col("place.size") > 0), F.lit(False)) & ~in_part
     copies = F.col("__epochs") + whole.cast("long")
+    none = F.array().cast("array<long>")
     # Negative numbers mark partial copies.
-    numbers = F.concat(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<long>")), F.when(in_part, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")))
-    rows = rows.withColumn("__copy", F.explode(numbers))
-    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("__copy") < 0, F.array_join(F.slice(pieces, F.lit(1), F.col("__part.part").cast("int")), "")).otherwise(F.col("text"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__copy") < 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.withColumn("text", text).select(docs.columns)
+    numbers = F.concat(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(none), F.when(in_part, F.array(F.lit(-1).cast("long"))).otherwise(none))
+    rows = rows.withColumn("copy", F.explode(numbers))
+    pieces = F.split(row["text"], r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(F.col("copy") < 0, F.array_join(F.slice(pieces, F.lit(1), F.col("__part.part").cast("int")), "")).otherwise(row["text"])
+    out = {c: row[c] for c in docs.columns} | {"text": text}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("copy") < 0, F.length(text)).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[c.alias(name) for name, c in out.items()])
 
 
 #: The same mix in SQL, over whole texts.

@@ -328,6 +328,14 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Of each component the document with the smallest doc_id, once, with its own columns."""
-    drop = ngram_components(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """Of each component the document with the smallest doc_id, once, with its own columns.
+
+    Rows without a doc_id can't be told apart, so they all stay.
+    """
+    found = cut(ngram_components(docs, width, percent))
+    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))

@@ -117,7 +117,8 @@ def pii_table(docs: DataFrame) -> DataFrame:
 
 def mapped_text(docs: DataFrame, change: Callable[[str], str]) -> DataFrame:
     """``docs`` with ``text`` changed; n_chars, where there is one, follows.  Null texts stay null."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("__")).alias("row"), F.col("text").cast("string").alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*others or [F.lit(0).alias("none")]).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -208,7 +208,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
     than shuffled or stored for a join on verdicts.
     """
     fitted = fit_label_model(with_stats(docs, []))
-    scored = with_stats(docs, docs.columns, name="__stats")
-    s = F.col("__stats")
+    name = "stats"
+    while name in docs.columns:
+        name += "_"
+    scored = with_stats(docs, docs.columns, name=name)
+    s = F.col(name)
     kept = ~base_failed(s) & (fitted.probability(list(rules(s).values())) >= 0.5)
-    return scored.where(kept).drop("__stats")
+    return scored.where(kept).select(docs.columns)
