@@ -47,3 +47,9 @@ def tree_diff(a: DataFrame, b: DataFrame, key: str = "path", value: str = "ast_s
 def changed_bytes(files: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Entries whose hash or size differs from one recomputed from the bytes (path, sha256, bytes)."""
     return files.select("path", "sha256", "bytes").exceptAll(recomputed.select("path", "sha256", "bytes"))
+
+
+def unlisted_files(files: DataFrame, written: DataFrame) -> DataFrame:
+    """Paths of documents (column ast) that only the manifest or only the folder has."""
+    listed, found = files.select("ast"), written.select("ast")
+    return listed.exceptAll(found).union(found.exceptAll(listed))

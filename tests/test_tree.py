@@ -63,7 +63,11 @@ def test_tree_documents_and_manifest(spark, tree, tmp_path):
     body = {k: v for k, v in m.items() if k != "contentHash"}
     assert m["contentHash"] == hashlib.sha256((canonical(body) + "\n").encode()).hexdigest()
     assert (out / "manifest.json").read_text() == canonical(m, indent=1) + "\n"
-    assert read_documents(spark, str(out)).count() == 6
+    written = read_documents(spark, str(out))
+    listed = spark.createDataFrame([(f["ast"], f["path"], f["sha256"], f["bytes"]) for f in m["files"]], "ast string, path string, sha256 string, bytes long")
+    assert written.count() == 6 and checks.unlisted_files(listed, written).count() == 0 and checks.unlisted_files(listed.limit(5), written).count() == 1
+    raw = read_tree(spark, str(tree)).select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
+    assert checks.changed_bytes(listed, raw).count() == 0
 
 
 def test_repeat_relocate_and_stale(spark, tree, tmp_path):
