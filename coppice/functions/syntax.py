@@ -39,6 +39,11 @@ ASSIGN = {"=": "Assign", "+=": "AssignPlus", "-=": "AssignMinus", "*=": "AssignM
 PREFIX = {"!": "BooleanNot", "-": "UnaryMinus", "+": "UnaryPlus", "~": "BitwiseNot", "@": "ErrorSuppress", "++": "PreInc", "--": "PreDec", "&": "Reference", "...": "Spread"}
 WORDED = {"print": "Print", "clone": "Clone", "include": "Include", "include_once": "IncludeOnce", "require": "Require", "require_once": "RequireOnce", "throw": "Throw", "yield": "Yield"}
 MODIFIERS = {"public", "protected", "private", "static", "abstract", "final", "readonly", "var"}
+#: Statements of one optional value, a list, or a list in brackets; and named bodies.
+VALUED = {"return": ("Return", "expr"), "break": ("Break", "num"), "continue": ("Continue", "num")}
+LISTED = {"global": ("Global", "vars"), "static": ("Static", "vars"), "const": ("Const", "consts")}
+BRACKETED = {"unset": ("Unset", "vars"), "declare": ("Declare", "declares")}
+NAMED = {"class": "Stmt_Class", "interface": "Stmt_Interface", "trait": "Stmt_Trait", "enum": "Stmt_Enum"}
 CASTS = {"int", "integer", "float", "double", "string", "bool", "boolean", "array", "object"}
 ESCAPES = {b"n": b"\n", b"t": b"\t", b"r": b"\r", b"v": b"\v", b"f": b"\f", b"e": b"\x1b", b"\\": b"\\", b"$": b"$", b'"': b'"'}
 
@@ -205,16 +210,38 @@ class Parser:
             return self.terminated("Stmt_Echo", at, {"exprs": self.listed(";")})
         if kind == "{":
             return self.node("Stmt_Block", at, {"stmts": self.body()})
-        made = getattr(self, f"s_{word}", None) if word and self.peek(1) != "::" else None
-        if made and not (word == "static" and self.peek(1) != "var") and not (word in ("function", "fn") and self.peek(1) in ("(", "&")):
-            self.i += 1
-            return made(at)
+        if word and self.peek(1) not in ("::", ":"):
+            if made := self.worded(word, at):
+                return made
         if word in ("abstract", "final", "readonly") and self.peek(1) == "name":
             self.i += 1
             return self.statement()
         expr = self.expr()
         return self.terminated("Stmt_Expression", at, {"expr": expr})
 
+    def worded(self, word: str, at: int) -> tuple | None:
+        """A statement that begins with a keyword."""
+        self.i += 1
+        if made := getattr(self, f"s_{word}", None):
+            return made(at)
+        if word in VALUED:
+            kind, field = VALUED[word]
+            return self.terminated(f"Stmt_{kind}", at, {field: None if self.peek() in (";", "close", "html", "end") else self.expr()})
+        if word in LISTED and (word != "static" or self.peek() == "var"):
+            kind, field = LISTED[word]
+            return self.terminated(f"Stmt_{kind}", at, {field: self.listed(";")})
+        if word in BRACKETED and self.had("("):
+            kind, field = BRACKETED[word]
+            items = self.listed(")")
+            self.take(")")
+            return self.terminated(f"Stmt_{kind}", at, {field: items})
+        if word in NAMED and self.peek() == "name":
+            return self.named_body(at, NAMED[word])
+        if word == "function" and (self.peek() == "name" or self.peek() == "&" and self.peek(1) == "name"):
+            return self.function("Stmt_Function", at)
+        self.i -= 1
+        return None
+
     def condition(self) -> tuple:
         self.take("(")
         e = self.expr()
@@ -314,33 +341,6 @@ class Parser:
             fields["finally"] = self.node("Stmt_Finally", here, {"stmts": self.body()})
         return self.node("Stmt_TryCatch", at, fields)
 
-    def value_or_none(self) -> tuple | None:
-        return None if self.peek() in (";", "close", "html", "end") else self.expr()
-
-    def s_return(self, at: int) -> tuple:
-        return self.terminated("Stmt_Return", at, {"expr": self.value_or_none()})
-
-    def s_break(self, at: int) -> tuple:
-        return self.terminated("Stmt_Break", at, {"num": self.value_or_none()})
-
-    def s_continue(self, at: int) -> tuple:
-        return self.terminated("Stmt_Continue", at, {"num": self.value_or_none()})
-
-    def s_global(self, at: int) -> tuple:
-        return self.terminated("Stmt_Global", at, {"vars": self.listed(";")})
-
-    def s_static(self, at: int) -> tuple:
-        return self.terminated("Stmt_Static", at, {"vars": self.listed(";")})
-
-    def s_const(self, at: int) -> tuple:
-        return self.terminated("Stmt_Const", at, {"consts": self.listed(";")})
-
-    def s_unset(self, at: int) -> tuple:
-        self.take("(")
-        items = self.listed(")")
-        self.take(")")
-        return self.terminated("Stmt_Unset", at, {"vars": items})
-
     def s_namespace(self, at: int) -> tuple:
         name = self.name() if self.peek() == "name" else None
         if self.peek() == "{":
@@ -359,15 +359,6 @@ class Parser:
             if not self.had(","):
                 return self.terminated("Stmt_Use", at, {"uses": uses})
 
-    def s_declare(self, at: int) -> tuple:
-        self.take("(")
-        items = self.listed(")")
-        self.take(")")
-        return self.terminated("Stmt_Declare", at, {"declares": items})
-
-    def s_function(self, at: int) -> tuple:
-        return self.function("Stmt_Function", at)
-
     def function(self, kind: str, at: int, attrs: dict | None = None, named: bool = True) -> tuple:
         self.had("&")
         attrs = (attrs or {}) | ({"name": self.take("name")} if named else {})
@@ -416,7 +407,7 @@ class Parser:
                 self.i += 1
         return self.node("Type", at, attrs={"name": self.data[at : self.end()]})
 
-    def s_class(self, at: int, kind: str = "Stmt_Class", named: bool = True) -> tuple:
+    def named_body(self, at: int, kind: str = "Stmt_Class", named: bool = True) -> tuple:
         attrs = {"name": self.take("name")} if named else {}
         fields: dict = {"extends": [], "implements": []}
         if kind == "Stmt_Enum" and self.had(":"):
@@ -433,15 +424,6 @@ class Parser:
         self.take("}")
         return self.node(kind, at, fields | {"stmts": stmts}, attrs)
 
-    def s_interface(self, at: int) -> tuple:
-        return self.s_class(at, "Stmt_Interface")
-
-    def s_trait(self, at: int) -> tuple:
-        return self.s_class(at, "Stmt_Trait")
-
-    def s_enum(self, at: int) -> tuple:
-        return self.s_class(at, "Stmt_Enum")
-
     def member(self) -> tuple:
         at, flags = self.start(), []
         while self.word() in MODIFIERS:
@@ -511,9 +493,10 @@ class Parser:
             inner = self.expr(19 if kind == "!" else 21)
             return self.node(f"Expr_{PREFIX[kind]}", at, {"expr": inner})
         if kind == "(" and self.word(1) in CASTS and self.peek(2) == ")":
+            cast = self.word(1)
             self.i += 3
-            return self.node("Expr_Cast", at, {"expr": self.expr(21)})
-        if word in WORDED and self.peek(1) != "(" or word in WORDED and word != "clone":
+            return self.node("Expr_Cast", at, {"expr": self.expr(21)}, {"type": cast})
+        if word in WORDED:
             self.i += 1
             inner = None if word == "yield" and self.peek() in (";", ")", ",") else self.expr(4)
             return self.node(f"Expr_{WORDED[word]}", at, {"expr": inner})
@@ -605,8 +588,10 @@ class Parser:
             return self.node("Expr_Array", at, {"items": self.items("]")}, {"_kind": 2})
         if kind == "$":
             self.i += 1
-            inner = self.expr() if self.had("{") and self.i else self.atom(self.start(), self.peek(), self.word())
-            self.had("}")
+            braced = self.had("{")
+            inner = self.expr() if braced else self.atom(self.start(), self.peek(), self.word())
+            if braced:
+                self.take("}")
             return self.node("Expr_Variable", at, {"name": inner})
         if kind == "#[":
             while self.peek() not in ("]", "end"):
@@ -628,7 +613,7 @@ class Parser:
             self.i += 1
             if self.had_word("class"):
                 given = self.args() if self.peek() == "(" else []
-                return self.node("Expr_New", at, {"class": self.s_class(self.start(), named=False), "args": given})
+                return self.node("Expr_New", at, {"class": self.named_body(self.start(), named=False), "args": given})
             of = self.name() if self.peek() == "name" else self.variable() if self.peek() == "var" else self.condition()
             return self.node("Expr_New", at, {"class": of, "args": self.args() if self.peek() == "(" else []})
         if word == "static" and self.word(1) in ("function", "fn"):
