@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .shared import cut, slices, texts_of
 
 VOCABULARY, CLOSING_ID, SEQUENCE = "word_bpe_49k.json", 1, 2048
-#: Pieces a group has on average, and distinct words a worker remembers the ids of.
-GROUP, REMEMBERED = 8192, 400_000
+#: Pieces a group has on average, and distinct strings and words a worker remembers the ids of.
+GROUP, MOST_CHUNKS, MOST_WORDS = 8192, 500_000, 400_000
 
 
 #: Printable ASCII and Latin-1 letters, which lower-case one by one and are in composed form already.
@@ -52,8 +52,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        #: Ids as little-endian 32-bit numbers, so that a text is a join.
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         settings = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (settings["normalizer"] or {}).get("normalizers", [])]
         splits = (settings["pre_tokenizer"] or {}).get("pretokenizers", [])
@@ -68,9 +69,17 @@ class Encoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
+    def split_plain(self, chunk: str) -> list[str]:
+        """What the splitting pattern makes of a plain string; letters alone stay whole, and so before a full stop or comma."""
+        if chunk.isalpha():
+            return [chunk.lower()]
+        if chunk[-1] in ".," and chunk[:-1].isalpha():
+            return [chunk[:-1].lower(), chunk[-1]]
+        return self.pattern.findall(chunk.lower())
+
     def learn(self, chunks: list[str]) -> None:
         plain = [c for c in chunks if PLAIN.fullmatch(c) and "<|" not in c] if self.pattern else []
-        split = {c: self.pattern.findall(c.lower()) for c in plain}
+        split = {c: self.split_plain(c) for c in plain}
         new = list({w for words in split.values() for w in words} - self.words.keys())
         if new:
             joined = [" ".join(new[i : i + 1000]) for i in range(0, len(new), 1000)]
@@ -78,31 +87,30 @@ class Encoder:
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(new):
                 raise ValueError("a word did not end in one token of the vocabulary")
-            flat = ids.tolist()
-            for w, a, b in zip(new, [0, *ends.tolist()], ends.tolist()):
-                self.words[w] = flat[a:b]
+            flat, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+            self.words.update(zip(new, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+        known = self.words
         for c, words in split.items():
-            self.chunks[c] = self.words[words[0]] if len(words) == 1 else [i for w in words for i in self.words[w]]
+            self.chunks[c] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
         other = [c for c in chunks if c not in split]
         for c, encoded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.chunks[c] = encoded.ids
+            self.chunks[c] = np.array(encoded.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text and the closing one, as little-endian 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = {w for words in split for w in words}
-        if len(self.chunks) + len(seen) > REMEMBERED:
+        if len(self.chunks) > MOST_CHUNKS:
             self.chunks.clear()
+        if len(self.words) > MOST_WORDS:
             self.words.clear()
-        self.learn(list(seen - self.chunks.keys()))
+        found = [list(map(self.chunks.get, words)) for words in split]
+        gaps = [i for i, ids in enumerate(found) if None in ids]
+        self.learn(list({w for i in gaps for w, ids in zip(split[i], found[i]) if ids is None}))
         known = self.chunks
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            ids.append(CLOSING_ID)
-            out.append(np.array(ids, "<u4"))
-        return out
+        for i in gaps:
+            found[i] = [known[w] if ids is None else ids for w, ids in zip(split[i], found[i])]
+        closing = np.array([CLOSING_ID], "<u4").tobytes()
+        return [b"".join(ids) + closing for ids in found]
 
 
 @cache
@@ -121,13 +129,13 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -
         for batch in slices(batches, "text"):
             row, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(encoder.encode(texts_of(batch.column("text")).to_pylist())):
-                for at in range(0, len(ids), sequence):
-                    piece = ids[at : at + sequence]
+                for at in range(0, len(ids), 4 * sequence):
+                    piece = ids[at : at + 4 * sequence]
                     row.append(i)
-                    start.append(at)
-                    length.append(len(piece))
-                    crc.append(zlib.crc32(piece.tobytes()))
-                    total.append(len(ids))
+                    start.append(at // 4)
+                    length.append(len(piece) // 4)
+                    crc.append(zlib.crc32(piece))
+                    total.append(len(ids) // 4)
             columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
