@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-POSTED, KEPT, RERANKED, LEAST_RERANKED = 4, 64, 0.3, 64
+POSTED, KEPT, RERANKED, LEAST_RERANKED = 4, 64, 0.45, 160
 LEAST_PIVOTS, MOST_PIVOTS, LEAST_PROBES, BLOCK_ROWS = 256, 4096, 24, 8192
 
 
