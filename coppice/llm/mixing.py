@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .prefix import with_running_total
-from .shared import WORD_PATTERN, cut
+from .shared import WORD_PATTERN, broadcast_if_small, cut
 
 MOST, WEIGHTS = 3, 3
 
@@ -60,7 +60,7 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     sized = cut(sized)
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
     placed = with_running_total(sized, "source", ["key", "doc_id", "size"], "size", sized.count())
-    s = sources.select(F.col("source").alias("__source"), "source_size", "target")
+    s = broadcast_if_small(sources.select(F.col("source").alias("__source"), "source_size", "target"))
     planned = placed.join(s, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     budget, total = F.floor("target").cast("long"), F.greatest(F.col("source_size"), F.lit(1))
     planned = planned.withColumn("epochs", F.expr("cast(floor(target) as long) div greatest(source_size, 1L)"))
@@ -92,7 +92,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count(row["text"], F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("place", F.struct(order_key(row["doc_id"]).alias("key"), row["doc_id"].cast("long").alias("doc_id"), size.alias("size")))
-    rows = rows.join(ends, row["source"].cast("string").eqNullSafe(F.col("__source")))
+    rows = rows.join(broadcast_if_small(ends), row["source"].cast("string").eqNullSafe(F.col("__source")))
     in_part = F.coalesce(F.col("place").eqNullSafe(F.struct(*[F.col("__part")[c].alias(c) for c in ("key", "doc_id", "size")])), F.lit(False))
     whole = F.coalesce((F.col("place") <= F.col("__whole")) & (F.col("place.size") > 0), F.lit(False)) & ~in_part
     copies = F.col("__epochs") + whole.cast("long")

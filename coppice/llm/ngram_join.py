@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, slices, texts_of
+from .shared import cut, release, slices, texts_of
 from .words import Words, mix
 
 BLOCK = 256
@@ -148,14 +148,16 @@ def set_nodes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, node): the tiles of every set."""
+    """(key, node): the tiles of every set, once a task where several rows have the set."""
 
     def run(batches):
-        bands = Bands(percent)
+        bands, seen = Bands(percent), set()
         for _, sets in _sets(batches, width):
-            sets = [s for s in sets if len(s)]
-            keys = [bands.keys(s) for s in sets]
-            nodes = np.repeat(np.array([node_of(s) for s in sets], np.int64), [len(k) for k in keys])
+            new = {node_of(s): s for s in sets if len(s)}
+            new = {n: s for n, s in new.items() if n not in seen}
+            seen.update(new)
+            keys = [bands.keys(s) for s in new.values()]
+            nodes = np.repeat(np.array(list(new), np.int64), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(nodes)], ["key", "node"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, node long")
@@ -165,57 +167,65 @@ def postings(docs: DataFrame, width: int, percent: int) -> DataFrame:
 FILTER_WORDS = 1 << 20
 
 
-def only_some(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (one row an id, column doc_id), without shuffling the other texts.
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids`` (one row an id, column doc_id), and a few others.
 
-    A Bloom filter of bounded size, built and probed by Spark, drops most rows
-    before the exact join; once it is full the join alone decides.
+    A Bloom filter of bounded size, built and probed by Spark, so no text is
+    shuffled; once it is full it lets more rows pass.
     """
     words = 1 << min(FILTER_WORDS.bit_length() - 1, max(8, (ids.count() // 4).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
     bits = ids.select(place("doc_id").alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     held = docs.withColumn("p", place("doc_id"))
     held = held.join(F.broadcast(bits), F.expr("p div 64 = word")).where("shiftright(bits, cast(p % 64 as int)) & 1 = 1")
-    return held.drop("p", "word", "bits").join(ids, "doc_id", "left_semi")
+    return held.drop("p", "word", "bits")
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, n, signature, elements) for ``nodes`` (node, doc_id of one document that has the set)."""
+def node_sets(docs: DataFrame, wanted: DataFrame, width: int, elements: bool) -> DataFrame:
+    """(node, n, held) for ``wanted`` (node, doc_id of one document that has the set).
+
+    held is the signature, or with ``elements`` the sorted elements themselves.
+    """
 
     def run(batches):
         for batch, sets in _sets(batches, width):
-            columns = [batch.column("doc_id"), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "signature", "elements"])
+            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+            held = pa.array([s.tobytes() if elements else signature(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), nodes, pa.array([len(s) for s in sets], pa.int64()), held], ["doc_id", "node", "n", "held"])
 
-    some = only_some(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), nodes.select("doc_id"))
-    found = some.mapInArrow(run, "doc_id long, node long, n long, signature binary, elements binary")
-    return found.join(nodes, ["doc_id", "node"], "left_semi").drop("doc_id").dropDuplicates(["node"])
+    some = likely(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), wanted.select("doc_id"))
+    found = some.mapInArrow(run, "doc_id long, node long, n long, held binary").alias("f")
+    # Both steps are by node, so the sets move once.
+    right = wanted.select(F.col("node").alias("of"), F.col("doc_id").alias("from"))
+    exact = found.join(right, F.col("node") == F.col("of")).where("doc_id = `from`")
+    return exact.groupBy("node").agg(F.first("n").alias("n"), F.first("held").alias("held"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link: bit counts first, then exact intersection."""
+def verified(pairs: DataFrame, docs: DataFrame, used: DataFrame, signatures: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link: bit counts first, then exact intersection.
+
+    Sets are made again from the texts of the few documents whose pairs pass the bound.
+    """
 
     def bound(batches):
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            bits = [int(np.bitwise_count(np.bitwise_xor(*folded(list(s)))).sum()) for s in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
+            bits = [int(np.bitwise_count(np.bitwise_xor(*folded(list(s)))).sum()) for s in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist())]
             ok = may_link(na + nb, np.array(bits, np.int64), percent) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     def exact(batches):
-        for batch in batches:
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("ea"), batch.column("eb"), strict=True)]
+        for batch in slices(batches, "ha"):
+            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def exact_by_slice(batches):
-        return exact(slices(batches, "ea"))
-
-    small = sets.select("node", "n", "signature")
-    end = lambda s, x, cols: s.select(F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in cols])
-    near = pairs.join(end(small, "a", ("n", "signature")), "a").join(end(small, "b", ("n", "signature")), "b")
-    near = near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long")
-    full = near.join(end(sets, "a", ("elements",)), "a").join(end(sets, "b", ("elements",)), "b")
-    return full.select("a", "b", "ea", "eb").mapInArrow(exact_by_slice, "a long, b long")
+    end = lambda s, x: s.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("held").alias(f"h{x}"))
+    near = pairs.join(end(signatures, "a"), "a").join(end(signatures, "b"), "b")
+    near = cut(near.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(bound, "a long, b long"))
+    needed = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(used, "node"))
+    sets = node_sets(docs, needed, width, elements=True)
+    full = near.join(end(sets, "a"), "a").join(end(sets, "b"), "b")
+    return full.select("a", "b", "ha", "hb").mapInArrow(exact, "a long, b long")
 
 
 def compare_blocks(rows: DataFrame, percent: int, best: int) -> DataFrame:
@@ -272,12 +282,12 @@ def compare_blocks(rows: DataFrame, percent: int, best: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, cut_off boolean")
 
 
-def open_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def open_blocks(members: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
     """Tiles whose members carry several labels, cut into pairs of blocks; equal tiles once."""
     marked = members.join(labels, "node")
     tiles = marked.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     tiles = tiles.groupBy("size", "content").agg(F.min("key").alias("key")).select("key", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
-    rows = marked.join(tiles, "key").join(sets.select("node", "n", "signature"), "node")
+    rows = marked.join(tiles, "key").join(signatures.select("node", "n", F.col("held").alias("signature")), "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "node", "label", (F.col("block") > F.col("other")).cast("int").alias("second"), "n", "signature")
@@ -298,22 +308,28 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     posted = postings(docs, width, percent)
     shared = posted.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
     members = cut(posted.join(shared, "key").select("key", "centre", "node").distinct())
+    del posted, shared
+    release(docs.sparkSession)
     used = cut(members.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id")).where("doc_id is not null"))
-    sets = cut(node_sets(docs, used, width))
-    labels = sets.select("node", F.col("node").alias("label"))
+    signatures = cut(node_sets(docs, used, width, elements=False))
+    labels = signatures.select("node", F.col("node").alias("label"))
+    links = lambda pairs: cut(verified(pairs, docs, used, signatures, width, percent))
 
     # First every node against one centre, that with which it shares most tiles: this alone settles tight groups.
     stars = members.where("centre <> node").groupBy("node", "centre").count()
     stars = stars.groupBy("node").agg(F.max(F.struct("count", "centre")).alias("s")).select(F.least("node", "s.centre").alias("a"), F.greatest("node", "s.centre").alias("b")).distinct()
     tried = cut(stars)
-    labels = merged(labels, cut(verified(tried, sets, percent)))
+    labels = merged(labels, links(tried))
+    del stars
+    release(docs.sparkSession)
     # Then, between components only, every node against its nearest candidates in each tile: the first round
     # joins what can be joined, and the later ones, with ever more candidates, end when none was left out.
     best = 1
     while True:
-        found = cut(compare_blocks(open_blocks(members, labels, sets), percent, best))
+        found = cut(compare_blocks(open_blocks(members, labels, signatures), percent, best))
         new = cut(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        labels = merged(labels, cut(verified(new, sets, percent)))
+        labels = merged(labels, links(new))
+        release(docs.sparkSession)
         if found.where("cut_off").isEmpty():
             break
         tried = cut(tried.union(new))
@@ -339,3 +355,22 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     if repeated.isEmpty():
         return kept
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+#: The same components in SQL, by counting common shingles and following links; for small tables.
+NGRAM_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as l from documents),
+s as (
+  select distinct doc_id, unnest(case when len(l) = 0 then []::varchar[] when len(l) < {width} then [array_to_string(l, ' ')]
+    else list_transform(range(1, len(l) - {width} + 2), lambda i: array_to_string(l[i : i + {width} - 1], ' ')) end) as shingle
+  from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+e as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {percent} * (x.n + y.n - c)),
+both_ways as (select a, b from e union all select b, a from e),
+reach as (select a, b from both_ways union select r.a, o.b from reach r join both_ways o on r.b = o.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id))::bigint as component_id
+from documents d left join n on n.doc_id = d.doc_id left join (select a, min(b) as b from reach group by a) m on m.a = d.doc_id
+"""

@@ -67,4 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.MIX_SQL}
+    return {
+        "op2_ngram_jaccard": ngram_join.NGRAM_SQL.format(width=3, percent=90),
+        "op4_mixing": mixing.MIX_SQL,
+        "op6_warc_bundles": warc_bundles.ROUND_TRIP_SQL,
+    }

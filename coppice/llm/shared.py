@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that separate words; everything else belongs to a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -35,6 +37,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table of one row a key is broadcast up to this many rows, and joined by shuffling beyond.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (materialised before) with a broadcast hint if it has few rows, so the other side stays where it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of frames that nothing refers to any more.
+
+    Its cleaner waits for the driver's garbage collection, which a driver with
+    little to do may not run for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """A string column as large_string with nulls as empty texts."""
     return pc.fill_null(column.cast(pa.large_string()), "")

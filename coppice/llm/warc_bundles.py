@@ -212,3 +212,18 @@ def round_trip(pages: DataFrame, least: int = 0, folder: str | None = None) -> D
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     index = cut(write_bundles(pages, folder, least))
     return read_records(index, folder).drop("url", "payload")
+
+
+#: What reading back must give, over whole pages: SHA-1 in base32, and the first page of each payload.
+ROUND_TRIP_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, h, sha1(h) as d, min(page_id) over (partition by h) as first from p),
+b as (
+  select *, list_transform([1, 11, 21, 31], lambda k: ('0x' || substr(d, k, 10))::ubigint) as v from d)
+select page_id, octet_length(encode(h))::bigint as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31)::int + 1, 1)), '') as payload_digest,
+       case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from first then first end as refers_to
+from b
+"""
