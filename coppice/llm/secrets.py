@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .spans import Span, span_table
+from .spans import Occupied, Span, span_table
 
 BASE_KINDS, MORE_KINDS = ("assign", "access", "hex"), ("random",)
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -58,9 +58,10 @@ def has_mixture(s: str) -> bool:
 
 def added_spans(text: str, base: list[Span], tokens: Callable[[str], int]) -> list[Span]:
     out: list[Span] = []
+    taken = Occupied(base)
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if has_mixture(s) and not is_known(s) and all(m.end() <= a or b <= m.start() for a, b, _ in base) and len(s) < MAX_RATIO * tokens(s):
+        if has_mixture(s) and not is_known(s) and taken.free(m.start(), m.end()) and len(s) < MAX_RATIO * tokens(s):
             out.append((m.start(), m.end(), "random"))
     return out
 

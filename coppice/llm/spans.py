@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,6 +24,30 @@ def digest(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return hashlib.sha256(written(spans, kinds).encode()).hexdigest()
 
 
+class Occupied:
+    """The places that spans take, as sorted disjoint ranges, so that a look-up does not walk them all."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i == 0 or self.ends[i - 1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        """Take a range that is free."""
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
 def span_table(docs: DataFrame, find: Callable[[], Callable[[str], tuple[list[Span], list[Span]]]], base_kinds: tuple[str, ...], more_kinds: tuple[str, ...]) -> DataFrame:
     """doc_id, a count n_<kind> of each base kind, base_sha256, spans (all, written), n_added.
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coppice.llm import components, mixing, ngram_join, packing, permutation_index, pii, quality_rules, rule_ensemble, secrets, sharding, warc_bundles
+from coppice.llm import components, mixing, ngram_join, packing, permutation_index, pii, quality_rules, rule_ensemble, secrets, sharding, spans, warc_bundles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, stats string, row string, key string, size string, copy string, place string"
@@ -363,3 +363,28 @@ def test_secrets(docs, empty, spark):
     assert [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[0].spans.split(",")) if k == "random"] == ["x9Zq7Lm2Vt8Rk1Pw4Gh6Yc3Bn5"]
     assert got[1].spans == got[2].spans == ""
     assert secrets.secret_table(empty).count() == 0
+
+
+def test_spans_equal_plain_patterns():
+    """The linear searches find what the plain patterns find, leftmost and without overlap."""
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+    rng = random.Random(4)
+    for _ in range(5000):
+        text = "".join(rng.choice("ab@@..-_%1 \n") for _ in range(rng.randrange(25)))
+        assert [(m.start(), m.end(), "email") for m in email.finditer(text)] == list(pii.emails(text))
+        text = "".join(rng.choice("1234....x") for _ in range(rng.randrange(25)))
+        assert [m.span() for m in ip.finditer(text)] == [m.span() for m in pii.NUMBERS.finditer(text)]
+
+
+def test_spans_of_long_texts():
+    """Runs that a backtracking pattern would take square time for, and many spans in one text."""
+    for text, n in (("1" * 300_000, 0), ("a" * 300_000 + " @ b", 0), ("a@" * 100_000, 0), ("a@b.c " * 20_000, 20_000), ("call 555-123-4567 " * 10_000, 10_000)):
+        assert sum(map(len, pii.find_spans(text))) == n
+
+
+def test_occupied():
+    taken = spans.Occupied([(5, 9, "a"), (7, 12, "b"), (20, 21, "a")])
+    assert (taken.starts, taken.ends) == ([5, 20], [12, 21])
+    assert taken.free(0, 5) and taken.free(12, 20) and not taken.free(11, 13) and not taken.free(0, 30)
+    taken.add(12, 14)
+    assert not taken.free(13, 15) and taken.free(14, 20)
