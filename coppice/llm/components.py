@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, release
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,5 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         of = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         new = cut(new.join(of, "label", "left").select("id", "old", F.least("label", "further").alias("label")))
         labels = new.select("id", "label")
-        if new.where("old <> label").isEmpty():
+        settled = new.where("old <> label").isEmpty()
+        del near, new, of
+        release(links.sparkSession)
+        if settled:
             return labels

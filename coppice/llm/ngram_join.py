@@ -201,11 +201,12 @@ def node_sets(docs: DataFrame, wanted: DataFrame, width: int, elements: bool) ->
     return exact.groupBy("node").agg(F.first("n").alias("n"), F.first("held").alias("held"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, used: DataFrame, signatures: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link: bit counts first, then exact intersection.
+def end_of(sets: DataFrame, x: str) -> DataFrame:
+    return sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("held").alias(f"h{x}"))
 
-    Sets are made again from the texts of the few documents whose pairs pass the bound.
-    """
+
+def bounded(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that sizes and bit counts still allow to link."""
 
     def bound(batches):
         for batch in batches:
@@ -214,17 +215,24 @@ def verified(pairs: DataFrame, docs: DataFrame, used: DataFrame, signatures: Dat
             ok = may_link(na + nb, np.array(bits, np.int64), percent) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
+    near = pairs.join(end_of(signatures, "a"), "a").join(end_of(signatures, "b"), "b")
+    return cut(near.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(bound, "a long, b long"))
+
+
+def verified(near: DataFrame, docs: DataFrame, used: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link, by exact intersection, of ``near``, those that passed the bound.
+
+    Sets are made again from the texts of the few documents that have such a pair.
+    """
+
     def exact(batches):
         for batch in slices(batches, "ha"):
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    end = lambda s, x: s.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("held").alias(f"h{x}"))
-    near = pairs.join(end(signatures, "a"), "a").join(end(signatures, "b"), "b")
-    near = cut(near.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(bound, "a long, b long"))
     needed = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(used, "node"))
     sets = node_sets(docs, needed, width, elements=True)
-    full = near.join(end(sets, "a"), "a").join(end(sets, "b"), "b")
+    full = near.join(end_of(sets, "a"), "a").join(end_of(sets, "b"), "b")
     return full.select("a", "b", "ha", "hb").mapInArrow(exact, "a long, b long")
 
 
@@ -296,7 +304,9 @@ def open_blocks(members: DataFrame, labels: DataFrame, signatures: DataFrame) ->
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, label) after joining the components that ``links`` (a, b) connect."""
     of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
-    between = links.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y").where("x <> y").distinct()
+    between = cut(links.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y").where("x <> y").distinct())
+    if between.isEmpty():
+        return labels
     new = components(between, "x", "y").select(F.col("id").alias("label"), F.col("label").alias("new"))
     return cut(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
@@ -313,13 +323,13 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     used = cut(members.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id")).where("doc_id is not null"))
     signatures = cut(node_sets(docs, used, width, elements=False))
     labels = signatures.select("node", F.col("node").alias("label"))
-    links = lambda pairs: cut(verified(pairs, docs, used, signatures, width, percent))
+    links = lambda near: cut(verified(near, docs, used, width, percent))
 
     # First every node against one centre, that with which it shares most tiles: this alone settles tight groups.
     stars = members.where("centre <> node").groupBy("node", "centre").count()
     stars = stars.groupBy("node").agg(F.max(F.struct("count", "centre")).alias("s")).select(F.least("node", "s.centre").alias("a"), F.greatest("node", "s.centre").alias("b")).distinct()
     tried = cut(stars)
-    labels = merged(labels, links(tried))
+    labels = merged(labels, links(bounded(tried, signatures, percent)))
     del stars
     release(docs.sparkSession)
     # Then, between components only, every node against its nearest candidates in each tile: the first round
@@ -328,7 +338,8 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     while True:
         found = cut(compare_blocks(open_blocks(members, labels, signatures), percent, best))
         new = cut(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        labels = merged(labels, links(new))
+        if not new.isEmpty():  # what comparing blocks found is within the bound already
+            labels = merged(labels, links(new))
         release(docs.sparkSession)
         if found.where("cut_off").isEmpty():
             break
