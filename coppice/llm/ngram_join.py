@@ -167,16 +167,16 @@ def postings(docs: DataFrame, width: int, percent: int) -> DataFrame:
 FILTER_WORDS = 1 << 20
 
 
-def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (one row an id, column doc_id), and a few others.
+def likely(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is in ``ids`` (one row an id, written before), and a few others.
 
-    A Bloom filter of bounded size, built and probed by Spark, so no text is
-    shuffled; once it is full it lets more rows pass.
+    A Bloom filter of bounded size, built and probed by Spark, so the other rows
+    are not shuffled; once it is full it lets more rows pass.
     """
     words = 1 << min(FILTER_WORDS.bit_length() - 1, max(8, (ids.count() // 4).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
-    bits = ids.select(place("doc_id").alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    held = docs.withColumn("p", place("doc_id"))
+    place = F.pmod(F.xxhash64(column), F.lit(words * 64)).alias("p")
+    bits = ids.select(place).groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    held = rows.select("*", place)
     held = held.join(F.broadcast(bits), F.expr("p div 64 = word")).where("shiftright(bits, cast(p % 64 as int)) & 1 = 1")
     return held.drop("p", "word", "bits")
 
@@ -193,7 +193,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, width: int, elements: bool) ->
             held = pa.array([s.tobytes() if elements else signature(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), nodes, pa.array([len(s) for s in sets], pa.int64()), held], ["doc_id", "node", "n", "held"])
 
-    some = likely(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), wanted.select("doc_id"))
+    some = likely(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), wanted.select("doc_id"), "doc_id")
     found = some.mapInArrow(run, "doc_id long, node long, n long, held binary").alias("f")
     # Both steps are by node, so the sets move once.
     right = wanted.select(F.col("node").alias("of"), F.col("doc_id").alias("from"))
@@ -317,7 +317,9 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     reps = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     posted = postings(docs, width, percent)
     shared = posted.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
-    members = cut(posted.join(shared, "key").select("key", "centre", "node").distinct())
+    shared = cut(shared)
+    # Most tiles have one member; their postings stay where they are.
+    members = cut(likely(posted, shared.select("key"), "key").join(shared, "key").select("key", "centre", "node").distinct())
     del posted, shared
     release(docs.sparkSession)
     used = cut(members.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id")).where("doc_id is not null"))
