@@ -3,8 +3,12 @@
 Base spans (assign, access, hex) follow fixed patterns.  The method adds spans
 of kind "random": long unbroken strings whose characters per token, under a
 byte-level vocabulary, are so few that they can't be words.  Known digests
-(hex of a digest's length), UUIDs and identifiers (words joined by case,
-underscores, dots, dashes or slashes) are excluded first.
+(hex of a digest's length), UUIDs and identifiers are excluded first.  An
+identifier is a string in which most letters and digits stand in parts
+(between underscores, dashes, slashes and the like) that the vocabulary spells
+in few tokens.  What isn't random as a whole is searched for random stretches
+of its parts, so a key joined to words by such a sign is found; a key glued to
+words without a sign is measured with them.
 
 Defined cases: a null text is empty and has no spans; repeated rows give the
 same spans each; other columns are ignored.
@@ -32,7 +36,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
 DIGEST = re.compile(r"(?i)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
 UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}|[_=/+-])+")
+PART = re.compile(r"[A-Za-z0-9]+")
+#: Numbers of up to this many digits (years, dates, versions) count as spelled.
+NUMBER_DIGITS = 4
 
 
 def base_spans(text: str) -> list[Span]:
@@ -47,22 +53,64 @@ def base_spans(text: str) -> list[Span]:
 
 
 def is_known(s: str) -> bool:
-    """Digests, UUIDs and identifiers: long, hard to compress perhaps, but not secrets."""
-    return bool(DIGEST.fullmatch(s) or UUID.fullmatch(s) or IDENTIFIER.fullmatch(s)) or len(set(s)) < 8
+    """Digests, UUIDs and rules of few characters: long, hard to compress perhaps, but not secrets."""
+    return len(set(s)) < 8 or bool(DIGEST.fullmatch(s) or UUID.fullmatch(s))
+
+
+def surplus(part: str, tokens: Callable[[str], int]) -> float:
+    """Characters by which a part falls short of MAX_RATIO a token; -1 or less for a part that the vocabulary spells."""
+    n = tokens(part)
+    if (n == 1 and len(part) > 1) or (len(part) <= NUMBER_DIGITS and part.isdigit()):
+        return -1.0
+    short = MAX_RATIO * n - len(part)
+    return short if short > 0 else min(short, -1.0)
+
+
+def stretches(parts: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of (start, end, surplus) with the largest sums, left to right.
+
+    A stretch ends where its sum is used up or MIN_CHARS below its peak; parts
+    after the peak are looked at again, at most MIN_CHARS + 1 of them.
+    """
+    out: list[tuple[int, int]] = []
+    i = 0
+    while i < len(parts):
+        if parts[i][2] <= 0:
+            i += 1
+            continue
+        total = peak = 0.0
+        j = last = i
+        while j < len(parts):
+            total += parts[j][2]
+            if total > peak:
+                peak, last = total, j
+            elif total <= 0 or peak - total > MIN_CHARS:
+                break
+            j += 1
+        out.append((parts[i][0], parts[last][1]))
+        i = last + 1
+    return out
 
 
-def has_mixture(s: str) -> bool:
-    """Digits and letters both: a string of letters alone is a word in some language."""
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+def random_spans(text: str, start: int, end: int, taken: Occupied, tokens: Callable[[str], int]) -> list[Span]:
+    """The random spans of one candidate: all of it, or else stretches of its parts outside the base spans."""
+    s = text[start:end]
+    if is_known(s):
+        return []
+    parts = [(m.start(), m.end(), surplus(m[0], tokens)) for m in PART.finditer(text, start, end)]
+    odd = sum(b - a for a, b, short in parts if short > 0)
+    if 2 * odd >= sum(b - a for a, b, _ in parts) and taken.free(start, end) and len(s) < MAX_RATIO * tokens(s):
+        return [(start, end, "random")]
+    # A part that a base span touches ends a stretch.
+    parts = [(a, b, short if taken.free(a, b) else float("-inf")) for a, b, short in parts]
+    return [(a, b, "random") for a, b in stretches(parts) if b - a >= MIN_CHARS and not is_known(text[a:b])]
 
 
 def added_spans(text: str, base: list[Span], tokens: Callable[[str], int]) -> list[Span]:
     out: list[Span] = []
     taken = Occupied(base)
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if has_mixture(s) and not is_known(s) and taken.free(m.start(), m.end()) and len(s) < MAX_RATIO * tokens(s):
-            out.append((m.start(), m.end(), "random"))
+        out += random_spans(text, m.start(), m.end(), taken, tokens)
     return out
 
 
