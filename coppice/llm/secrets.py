@@ -60,10 +60,9 @@ def is_known(s: str) -> bool:
 def surplus(part: str, tokens: Callable[[str], int]) -> float:
     """Characters by which a part falls short of MAX_RATIO a token; -1 or less for a part that the vocabulary spells."""
     n = tokens(part)
-    if (n == 1 and len(part) > 1) or (len(part) <= NUMBER_DIGITS and part.isdigit()):
-        return -1.0
     short = MAX_RATIO * n - len(part)
-    return short if short > 0 else min(short, -1.0)
+    spelled = short <= 0 or (n == 1 and len(part) > 1) or (len(part) <= NUMBER_DIGITS and part.isdigit())
+    return min(short, -1.0) if spelled else short
 
 
 def stretches(parts: list[tuple[int, int, float]]) -> list[tuple[int, int]]:

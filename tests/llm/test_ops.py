@@ -385,6 +385,13 @@ def test_random_keys_of_any_letters():
         assert random_strings(words) == []
 
 
+def test_secrets_of_long_texts():
+    """Strings of digits, letters and words whose end is no identifier's."""
+    for text in ("0" * 60 + "x", "a" * 50 + "B1", "0123456789" * 30_000 + "x", "abcdefghij" * 30_000 + "X", "some-words-" * 30_000 + "b-1", "to/" * 100_000 + "x9Zq/", ("kxq-" + "to-" * 19) * 5000):
+        assert random_strings(text) == []
+    assert len(random_strings(("x9Zq7Lm2Vt8Rk1Pw4Gh6Yc3Bn5/" + "information/" * 5) * 5000)) == 5000
+
+
 def test_spans_equal_plain_patterns():
     """The linear searches find what the plain patterns find, leftmost and without overlap."""
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
