@@ -8,8 +8,8 @@ source's budget covers: whole epochs first, then documents until the budget is
 spent, the last one in part.
 
 Defined cases: a null text has size 0; a null source is a source; a source
-without words has target 0; repeated rows are taken each, in any order among
-equals; an empty table gives an empty mix; other columns are ignored (plan) or
+without words has target 0; rows of equal id, source and size are decided on
+one by one, in any order among equals; an empty table gives an empty mix; other columns are ignored (plan) or
 kept (applied).
 """
 
@@ -48,7 +48,9 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, key, source_size, target, taken, copies, part: what the mix takes of each document.
+    """doc_id, source, size, key, nth, equals, source_size, target, taken, copies, part: what the mix takes of each document.
+
+    nth counts the ``equals`` rows of one place (source, key, doc_id, size) from 0.
 
     copies is whole epochs, plus one where the running budget covers the whole
     document; part is the words of a last partial copy.
@@ -59,7 +61,11 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     )
     sized = cut(sized)
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    placed = with_running_total(sized, "source", ["key", "doc_id", "size"], "size", sized.count())
+    # Rows of one place differ in nothing here, so totals run over places and each row follows by its number.
+    places = cut(sized.groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("equals")).withColumn("sum", F.col("equals") * F.col("size")))
+    placed = with_running_total(places, "source", ["key", "doc_id", "size"], "sum", places.count())
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("equals") - 1)))
+    placed = placed.withColumn("before", F.col("before") + F.col("nth") * F.col("size"))
     s = broadcast_if_small(sources.select(F.col("source").alias("__source"), "source_size", "target"))
     planned = placed.join(s, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     budget, total = F.floor("target").cast("long"), F.greatest(F.col("source_size"), F.lit(1))
@@ -68,23 +74,32 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     planned = planned.withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))).cast("long"))
     planned = planned.withColumn("whole", (F.col("last") == F.col("size")) & (F.col("size") > 0))
     return planned.select(
-        "doc_id", "source", "size", "key", "source_size", "target",
+        "doc_id", "source", "size", "key", "nth", "equals", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("last")).alias("taken"),
         "epochs", (F.col("epochs") + F.col("whole").cast("long")).alias("copies"), F.when(F.col("whole"), 0).otherwise(F.col("last")).cast("long").alias("part"),
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, place, ...) with nth: their number from 0 among the rows of the same source and place."""
+    held = cut(rows.withColumn("id", F.monotonically_increasing_id()))
+    ids = held.select(F.struct(F.col("row")["source"].cast("string").alias("source"), "place").alias("group"), "id", F.md5(F.col("id").cast("string").cast("binary")).alias("key"), F.lit(1).cast("long").alias("one"))
+    ids = with_running_total(ids, "group", ["key", "id"], "one", held.count(), "nth")
+    return held.join(ids.select("id", F.col("nth").cast("long").alias("nth")), "id").drop("id")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents the mix takes, one row a copy; a partial copy ends with its last word taken.
 
     A source's decision is its epochs and the place in hash order where its
-    budget ends, so texts meet a table of one row a source and are not shuffled.
+    budget ends, so texts meet a table of one row a source and are not shuffled;
+    only rows that share that place with others are numbered.
     """
     plan = mix_plan(docs)
-    place = F.struct("key", "doc_id", "size")
+    place = F.struct("key", "doc_id", "size", "nth", "equals")
     ends = plan.groupBy("source").agg(
         F.max("epochs").alias("__epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), place)).alias("__whole"),
-        F.max(F.when(F.col("part") > 0, F.struct("key", "doc_id", "size", "part"))).alias("__part"),
+        F.max(F.when(F.col("part") > 0, F.struct("key", "doc_id", "size", "nth", "equals", "part"))).alias("__part"),
     ).withColumnRenamed("source", "__source")
     ends = cut(ends)
     # The documents travel in one struct, so that no column name of theirs can clash.
@@ -93,8 +108,17 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("place", F.struct(order_key(row["doc_id"]).alias("key"), row["doc_id"].cast("long").alias("doc_id"), size.alias("size")))
     rows = rows.join(broadcast_if_small(ends), row["source"].cast("string").eqNullSafe(F.col("__source")))
-    in_part = F.coalesce(F.col("place").eqNullSafe(F.struct(*[F.col("__part")[c].alias(c) for c in ("key", "doc_id", "size")])), F.lit(False))
-    whole = F.coalesce((F.col("place") <= F.col("__whole")) & (F.col("place.size") > 0), F.lit(False)) & ~in_part
+    at = lambda end, *more: F.struct(*[F.col(end)[c].alias(c) for c in ("key", "doc_id", "size", *more)])
+    if ends.where("__whole.equals > 1 or __part.equals > 1").isEmpty():
+        rows = rows.withColumn("nth", F.lit(0).cast("long"))
+    else:
+        shared = F.lit(False)
+        for end in ("__whole", "__part"):
+            shared |= F.coalesce(F.col(end)["equals"] > 1, F.lit(False)) & F.coalesce(F.col("place").eqNullSafe(at(end)), F.lit(False))
+        rows = rows.where(~shared).withColumn("nth", F.lit(0).cast("long")).unionByName(numbered(rows.where(shared)))
+    place = F.struct(*[F.col("place")[c].alias(c) for c in ("key", "doc_id", "size")], "nth")
+    in_part = F.coalesce(F.col("__part").isNotNull() & place.eqNullSafe(at("__part", "nth")), F.lit(False))
+    whole = F.coalesce(F.col("__whole").isNotNull() & (place <= at("__whole", "nth")) & (F.col("place.size") > 0), F.lit(False)) & ~in_part
     copies = F.col("__epochs") + whole.cast("long")
     none = F.array().cast("array<long>")
     # Negative numbers mark partial copies.

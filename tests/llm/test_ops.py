@@ -211,6 +211,22 @@ def test_mixing_caps(spark):
     assert got[1] == (6.0, 6) and got[2] == (150.0, 150) and got[4] == (0.0, 0) and got[3][0] == 1052 - 156
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_mixing_equal_rows_at_the_end(spark, doc_id):
+    """Rows of one place are taken one by one: the applied mix has the plan's words of every source."""
+    rows = [(doc_id, "a b c d e f g h i j", s, k) for s in ("a", "b", "c") for k in range(5)]
+    rows += [(100 + i, "w " * (i + 1), "d", 0) for i in range(3)] + [(doc_id, "x y z", "a", 9), (None, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, nth int").repartition(3)
+    planned, words_of = collections.Counter(), collections.Counter()
+    for r in mixing.mix_plan(docs).collect():
+        planned[r.source] += r.taken
+    for r in mixing.mixed(docs).collect():
+        words_of[r.source] += len(WORD.findall(r.text))
+    assert words_of == +planned
+    assert all(0 <= r.target - planned[r.source] < 1 for r in mixing.mix_plan(docs).select("source", "target").distinct().collect())
+    assert planned["b"] % 50 and planned["c"] % 50  # the budget ends among the equal rows
+
+
 def test_running_total_of_a_large_group(spark):
     from coppice.llm.prefix import with_running_total
 
