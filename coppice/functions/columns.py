@@ -81,3 +81,9 @@ def json_string(s: Column) -> Column:
         for high in "01":
             quoted = F.replace(quoted, F.lit(f"\\u00{high}{upper}"), F.lit(f"\\u00{high}{upper.lower()}"))
     return quoted
+
+
+def json_bytes(content: Column) -> Column:
+    """Bytes as a JSON value: a string where they are UTF-8, else their base64 in an object."""
+    encoded = F.concat(F.lit('{"__b64":"'), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")), F.lit('"}'))
+    return F.when(F.is_valid_utf8(content), json_string(content.cast("string"))).otherwise(encoded)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coppice.functions import columns as C
+from coppice.operators.written import written
 
 EXTENSIONS, EXCLUDED = (".inc", ".php"), (".git", "node_modules")
 
@@ -35,9 +36,8 @@ def numbered(files: DataFrame, key: str = "path", name: str = "file_ord") -> Dat
     The keys are range-partitioned and numbered inside each partition; the
     partitions' sizes, one row each, give the offsets.  No task sees all keys.
     """
-    spread = files.select(key).repartitionByRange(key).withColumn("__part", F.spark_partition_id())
-    if files.sparkSession.sparkContext.getCheckpointDir() is not None:  # the ranges are sampled, so they are fixed once
-        spread = spread.checkpoint(eager=True)
+    # The ranges are sampled, so they are fixed once.
+    spread = written(files.select(key).repartitionByRange(key).withColumn("__part", F.spark_partition_id()))
     sizes = spread.groupBy("__part").agg(F.count("*").alias("__n"))
     # One row a partition, so this window is small whatever the input.
     offsets = sizes.select("__part", (F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
@@ -46,7 +46,7 @@ def numbered(files: DataFrame, key: str = "path", name: str = "file_ord") -> Dat
 
 
 def with_ids(files: DataFrame) -> DataFrame:
-    """``files`` with file_ord and file_id; contents never pass through the numbering."""
+    """``files`` with file_ord and file_id; the numbering itself sees paths alone, and contents meet it in a join by path."""
     return files.join(numbered(files), "path").withColumn("file_id", C.file_id(F.col("file_ord")))
 
 

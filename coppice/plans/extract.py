@@ -1,24 +1,29 @@
 """From files to syntax tables.
 
-The only Python is the per-file helper; hashing, ids, documents, edges, entries
-and the manifest are Spark expressions over its rows.  Files are independent,
-so nothing is shuffled but paths for numbering.
+Items, brackets, blocks and statements are windows (operators/lexing, nesting);
+the only Python orders the expressions of one statement; numbering, parents,
+ids, hashing, documents, edges, entries and the manifest are Spark expressions
+over its rows.  Files are dealt by number once and meet nothing of each other.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from coppice import __version__
 from coppice.functions import columns as C
-from coppice.functions.syntax import canonical, parse
+from coppice.functions.literals import canonical
+from coppice.functions.statement import nodes_of
+from coppice.operators import lexing, nesting
+from coppice.operators.lexing import PLACE
 
 SCHEMA_VERSION = "1.0"
 TOOL = {"name": "coppice", "version": __version__}
@@ -27,32 +32,145 @@ LOC = ("startLine", "endLine", "startCol", "endCol", "startByte", "endByte")
 
 _LOC = "struct<" + ",".join(f"{x}:int" for x in LOC) + ">"
 _NODE = f"struct<node_ord:int,subtree_end:int,parent_ord:int,kind:string,loc:{_LOC},children:array<int>,fields_json:string,attrs_json:string,edges:array<struct<field:string,pos:int,child_ord:int>>>"
-_PARSED = f"file_ord int, file_id string, path string, sha256 string, bytes bigint, nodes array<{_NODE}>, parse_errors array<struct<message:string,startLine:int,endLine:int>>"
+_KIDS, _HOLES = "array<struct<child_ord:int,field:string,pos:int>>", "array<struct<field:string,pos:int>>"
+
+
+def statement_nodes(statements: pa.Array) -> pa.Array:
+    """For each statement (its items) the nodes in it, each with its place, and what is wrong with it."""
+    out = []
+    for items in statements.to_pylist():
+        place = lambda a, b: {c: items[a][c] for c in PLACE[:3]} | {c: items[b][c] for c in PLACE[3:]}  # noqa: B023, E731
+        kind, text = items[0]["type"], items[0]["text"]
+        if kind == "html":
+            out.append([{"kind": "Stmt_InlineHTML", "field": "stmts", "pos": None, "fields": [], "holes": [], "attrs": None, "message": None} | place(0, 0)])
+            continue
+        if kind in ("unclosed", "unexpected"):
+            rows, error = [], (f"{kind} {text!r}", 0)
+        else:
+            rows, error = nodes_of([(i["type"], i["text"]) for i in items])
+        made: list[dict] = []
+        for r in rows:
+            fields, holes = [{"name": f, "many": m} for f, m in r["fields"]], [{"field": f, "pos": p} for f, p in r["holes"]]
+            made.append({"kind": r["kind"], "field": r["field"], "pos": r["pos"], "fields": fields, "holes": holes, "attrs": r["attrs"], "message": None} | place(r["first"], r["last"]))
+        if error:
+            made.append({"kind": None, "message": error[0]} | place(error[1], error[1]))
+        out.append(made)
+    return pa.array(out, _ARROW_NODES)
+
+
+_ARROW_NODES = pa.list_(pa.struct([
+    ("kind", pa.string()), ("field", pa.string()), ("pos", pa.int32()), ("fields", pa.list_(pa.struct([("name", pa.string()), ("many", pa.bool_())]))),
+    ("holes", pa.list_(pa.struct([("field", pa.string()), ("pos", pa.int32())]))), ("attrs", pa.string()), ("message", pa.string()), *((c, pa.int32()) for c in PLACE),
+]))
+_NODES = "array<struct<kind:string,field:string,pos:int,fields:array<struct<name:string,many:boolean>>,holes:array<struct<field:string,pos:int>>,attrs:string,message:string," + ",".join(f"`{c}`:int" for c in PLACE) + ">>"
+
+
+def found_nodes(files: DataFrame) -> DataFrame:
+    """(file_ord, block, stmt, local, and the fields of a found node) of every statement, chains and cases with their whole extent."""
+    items = nesting.statements(nesting.without_broken(nesting.checked(nesting.blocks(lexing.items(files)))))
+    gathered = items.groupBy("file_ord", "block", "stmt").agg(F.array_sort(F.collect_list(F.struct("at", "type", "text", *PLACE))).alias("items"))
+    read = gathered.select("file_ord", "block", "stmt", F.posexplode(F.arrow_udf(statement_nodes, _NODES)("items")).alias("local", "n")).select("file_ord", "block", "stmt", "local", "n.*")
+    root = (F.col("local") == 0) & F.col("kind").isNotNull()
+    df = read.withColumn("root", root)
+    order = W.partitionBy("file_ord", "block", "root").orderBy("stmt")
+    # An else, catch or finally, and the while of a do, goes on with the statement before; its head extends to it.
+    chained = F.col("kind").isin(*nesting.CHAINED) & ((F.col("kind") != "Stmt_While") | (F.lag("kind").over(order) == "Stmt_Do"))
+    df = df.withColumn("chained", F.col("root") & F.coalesce(chained, F.lit(False)))
+    df = df.withColumn("chain", F.last(F.when(~F.col("chained"), F.col("stmt")), ignorenulls=True).over(order))
+    df = df.withColumn("case", F.sum((F.col("kind") == "Stmt_Case").cast("int")).over(order))
+    ends = F.struct(*PLACE[3:])
+    df = df.withColumn("upto", F.max(ends).over(W.partitionBy("file_ord", "block", "root", "chain")))
+    df = df.withColumn("upto", F.when(F.col("kind") == "Stmt_Case", F.max("upto").over(W.partitionBy("file_ord", "block", "root", "case"))).otherwise(F.col("upto")))
+    heads = F.col("root") & ~F.col("chained") & F.col("kind").isin("Stmt_If", "Stmt_TryCatch", "Stmt_Do", "Stmt_Case")
+    for c in PLACE[3:]:
+        df = df.withColumn(c, F.when(heads, F.col("upto")[c]).otherwise(F.col(c)))
+    # What has no head of its kind, or comes a second time, is a statement like others.
+    field, head, again = F.lit(None).cast("string"), F.last(F.when(~F.col("chained"), F.col("kind")), ignorenulls=True).over(order), F.row_number().over(W.partitionBy("file_ord", "block", "root", "chain", "kind").orderBy("stmt")) > 1
+    for kind, (name, of) in nesting.CHAINED.items():
+        field = F.when((F.col("kind") == kind) & (F.col("head") == of) & (F.lit(name in nesting.LISTED) | ~F.col("again")), name).otherwise(field)
+    df = df.withColumn("head", head).withColumn("again", again)
+    return df.withColumn("field", F.when(F.col("chained"), F.coalesce(field, F.lit("stmts"))).otherwise(F.col("field"))).drop("chained", "chain", "case", "upto", "head", "again")
+
+
+def numbered_nodes(found: DataFrame) -> DataFrame:
+    """Adds node_ord, subtree_end and parent_ord: pre-order numbers from the places of nodes, by windows over a file's beginnings and ends.
+
+    A node's number is how many begin before it, its depth how many of those
+    have not ended, and its parent the last one a level higher.  The root has
+    number 0.  Rows of errors (without a kind) stay as they are.
+    """
+    began = F.array(F.struct(F.col("start").alias("place"), F.lit(1).alias("begins")), F.struct(F.col("end").alias("place"), F.lit(0).alias("begins")))
+    events = found.select("*", F.explode(F.when(F.col("kind").isNotNull(), began).otherwise(F.array(F.struct(F.lit(0).alias("place"), F.lit(None).cast("int").alias("begins"))))).alias("e")).select("*", "e.*").drop("e")
+    before = W.partitionBy("file_ord").orderBy("place", "begins", F.desc("end"), "block", "stmt", "local").rowsBetween(W.unboundedPreceding, -1)
+    count = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
+    events = events.withColumn("begun", count(F.col("begins"))).withColumn("depth", F.col("begun") - count(1 - F.col("begins")) + 1)
+    events = events.withColumn("subtree_end", F.max(F.when(F.col("begins") == 0, F.col("begun") + 1)).over(W.partitionBy("file_ord", "block", "stmt", "local")))
+    nodes = events.where("begins = 1 or kind is null").withColumn("node_ord", F.when(F.col("kind").isNotNull(), F.col("begun") + 1)).drop("place", "begins", "begun")
+    roles = F.array(F.struct((F.col("depth") - 1).alias("key"), F.lit(False).alias("gives")), F.struct(F.col("depth").alias("key"), F.lit(True).alias("gives")))
+    both = nodes.select("*", F.explode(F.when(F.col("kind").isNotNull(), roles).otherwise(F.slice(roles, 1, 1))).alias("role")).select("*", "role.*").drop("role")
+    level = W.partitionBy("file_ord", "key").orderBy("node_ord").rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("parent_ord", F.coalesce(F.last(F.when(F.col("gives"), F.col("node_ord")), ignorenulls=True).over(level), F.lit(0)))
+    done = both.where("not gives").drop("key", "gives", "depth")
+    # Statements of a block count from 0 in their list; other nodes know their place.
+    listed = F.col("field").isin("stmts", *nesting.LISTED)
+    nth = F.row_number().over(W.partitionBy("file_ord", "parent_ord", "field", "root").orderBy("node_ord")) - 1
+    return done.withColumn("pos", F.when(F.col("root") & listed, nth).otherwise(F.col("pos")))
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """One row a file with its nodes and syntax errors; ``files`` has file_ord, path, content."""
-    given = files.select("file_ord", C.file_id(F.col("file_ord")).alias("file_id"), "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"), "content")
-    kept = ["file_ord", "file_id", "path", "sha256", "bytes"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loc = pa.struct([(x, pa.int32()) for x in LOC])
-        edge = pa.struct([("field", pa.string()), ("pos", pa.int32()), ("child_ord", pa.int32())])
-        node = pa.struct([("node_ord", pa.int32()), ("subtree_end", pa.int32()), ("parent_ord", pa.int32()), ("kind", pa.string()), ("loc", loc), ("children", pa.list_(pa.int32())), ("fields_json", pa.string()), ("attrs_json", pa.string()), ("edges", pa.list_(edge))])
-        error = pa.struct([("message", pa.string()), ("startLine", pa.int32()), ("endLine", pa.int32())])
-        for batch in batches:
-            for i in range(batch.num_rows):  # a row can hold a large tree, so each goes out by itself
-                one = batch.slice(i, 1)
-                rows, errors = parse(one.column("content")[0].as_py(), one.column("file_id")[0].as_py())
-                out = [
-                    {k: r[k] for k in ("node_ord", "subtree_end", "parent_ord", "kind", "children")}
-                    | {"loc": dict(zip(LOC, r["loc"])), "fields_json": canonical(r["fields"]), "attrs_json": canonical(r["attrs"]), "edges": [dict(zip(("field", "pos", "child_ord"), e)) for e in r["edges"]]}
-                    for r in rows
-                ]
-                columns = [one.column(c) for c in kept] + [pa.array([out], pa.list_(node)), pa.array([errors], pa.list_(error))]
-                yield pa.RecordBatch.from_arrays(columns, [*kept, "nodes", "parse_errors"])
-
-    return given.mapInArrow(run, _PARSED)
+    """One row a file with its nodes and syntax errors; ``files`` has file_ord, path, content.
+
+    Files are dealt by number once; all that follows keeps to that.
+    """
+    given = files.select("file_ord", "path", "content").repartition("file_ord")
+    loc = F.struct(F.col("line").alias("startLine"), F.col("end_line").alias("endLine"), (F.col("start") - F.col("line_start")).alias("startCol"), (F.col("end") - F.col("end_line_start")).alias("endCol"), F.col("start").alias("startByte"), F.col("end").alias("endByte"))
+    own = F.struct("node_ord", "subtree_end", "parent_ord", "kind", loc.alias("loc"), "fields", "holes", F.col("attrs").alias("attrs_json"))
+    edge = F.struct(F.col("node_ord").alias("child_ord"), "field", "pos")
+    nothing = lambda c: F.lit(None).cast(c)
+    nodes = numbered_nodes(found_nodes(given)).select("file_ord", "node_ord", "parent_ord", "line", "end_line", "message", own.alias("own"), edge.alias("edge"))
+    types = {c: nodes.schema[c].dataType for c in ("own", "edge")}
+    error = F.struct("line", "message")
+    as_node = F.struct(F.col("node_ord").alias("key"), F.col("own"), nothing(types["edge"]).alias("edge"), F.lit(None).cast("struct<line:int,message:string>").alias("error"))
+    as_child = F.struct(F.col("parent_ord").alias("key"), nothing(types["own"]).alias("own"), F.col("edge"), F.lit(None).cast("struct<line:int,message:string>").alias("error"))
+    as_error = F.struct(F.lit(-1).alias("key"), nothing(types["own"]).alias("own"), nothing(types["edge"]).alias("edge"), error.alias("error"))
+    roles = nodes.select("file_ord", F.explode(F.when(F.col("message").isNull(), F.array(as_node, as_child)).otherwise(F.array(as_error))).alias("r")).select("file_ord", "r.*")
+    met = roles.groupBy("file_ord", "key").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list("edge")).alias("kids"), F.array_sort(F.collect_list("error")).alias("errors"))
+    of_file = met.groupBy("file_ord").agg(
+        F.array_sort(F.collect_list(F.when(F.col("key") > 0, F.struct("key", "own", "kids")))).alias("found"), F.first(F.when(F.col("key") == 0, F.col("kids")), ignorenulls=True).alias("top"),
+        F.flatten(F.collect_list("errors")).alias("errors"),
+    )
+    c, file = F.col("content"), C.file_id(F.col("file_ord"))
+    all_kids = F.coalesce("top", F.array().cast(_KIDS))
+    ends = F.struct(F.lit(1).alias("startLine"), C.last_line(c).alias("endLine"), F.lit(0).alias("startCol"), C.end_col(c).alias("endCol"), F.lit(0).alias("startByte"), F.octet_length(c).alias("endByte"))
+    count = F.coalesce(F.size("found"), F.lit(0))
+    root = _node(file, F.lit(0), F.when(count > 0, count).otherwise(0) + 1, nothing("int"), F.lit("File"), ends, all_kids, F.array(F.struct(F.lit("stmts").alias("name"), F.lit(True).alias("many"))), F.array().cast(_HOLES), F.lit("{}"))
+
+    def node(e: Column) -> Column:
+        o = e["own"]
+        html = F.concat(F.lit('{"value":'), C.json_bytes(C.byte_slice(c, o["loc"]["startByte"], o["loc"]["endByte"])), F.lit("}"))
+        return _node(file, o["node_ord"], o["subtree_end"], o["parent_ord"], o["kind"], o["loc"], e["kids"], o["fields"], o["holes"], F.coalesce(o["attrs_json"], html))
+
+    found = F.coalesce(F.transform("found", node), F.array().cast(f"array<{_NODE}>"))
+    errors = F.transform(F.coalesce("errors", F.array().cast("array<struct<line:int,message:string>>")), lambda e: F.struct(e["message"].alias("message"), e["line"].alias("startLine"), e["line"].alias("endLine")))
+    joined = given.join(of_file, "file_ord", "left")
+    return joined.select("file_ord", file.alias("file_id"), "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"), F.concat(F.array(root.cast(_NODE)), found).alias("nodes"), errors.alias("parse_errors"))
+
+
+def _node(file: Column, n: Column, subtree_end: Column, parent: Column, kind: Column, loc: Column, kids: Column, fields: Column, holes: Column, attrs: Column) -> Column:
+    """A node as it stands in a document: its children in order, and its fields as JSON, a hole of a list as null."""
+    edges = F.concat(F.transform(kids, lambda k: F.struct(k["field"].alias("field"), k["pos"].alias("pos"), k["child_ord"].alias("child_ord"))), F.transform(holes, lambda h: F.struct(h["field"].alias("field"), h["pos"].alias("pos"), F.lit(None).cast("int").alias("child_ord"))))
+    quoted = lambda e: F.when(e["child_ord"].isNull(), "null").otherwise(F.concat(F.lit('"'), C.node_id(file, e["child_ord"]), F.lit('"')))
+
+    def value(f: Column) -> Column:
+        own = F.transform(F.array_sort(F.filter(edges, lambda e: e["field"] == f["name"])), quoted)
+        many = F.concat(F.lit("["), F.array_join(own, ","), F.lit("]"))
+        return F.concat(F.lit('"'), f["name"], F.lit('":'), F.when(f["many"], many).otherwise(F.coalesce(F.get(own, F.lit(0)), F.lit("null"))))
+
+    json_fields = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(fields), value), ","), F.lit("}"))
+    return F.struct(
+        n.alias("node_ord"), subtree_end.alias("subtree_end"), parent.alias("parent_ord"), kind.alias("kind"), loc.alias("loc"), F.transform(kids, lambda k: k["child_ord"]).alias("children"),
+        json_fields.alias("fields_json"), attrs.alias("attrs_json"), edges.alias("edges"),
+    )
 
 
 def _number(c: Column) -> Column:
@@ -131,6 +249,10 @@ class Extraction:
         """The manifest's entries."""
         return self.docs.select("file_ord", F.format_string("ast/%s.json", "file_id").alias("ast"), "ast_sha256", "bytes", "file_id", "node_count", "parse_error_count", "parse_ok", "path", "sha256")
 
+    def stored(self) -> Extraction:
+        """The same tables over documents that are kept on disk, for uses that read them more than once."""
+        return Extraction(self.docs.persist(StorageLevel.DISK_ONLY))
+
     def views(self) -> None:
         """Register docs, nodes, edges and files as temporary views for SQL."""
         for name in ("docs", "nodes", "edges", "files"):
@@ -142,6 +264,6 @@ def extract(files: DataFrame, pretty: bool = False) -> Extraction:
     return Extraction(documents(files, pretty))
 
 
-def lookup(extraction: Extraction, path: str) -> DataFrame:
-    """The AST document of one path."""
-    return extraction.docs.where(F.col("path") == path)
+def lookup(files: DataFrame, path: str) -> DataFrame:
+    """The AST document of one path; only that file is parsed."""
+    return extract(files.where(F.col("path") == path)).docs

@@ -9,7 +9,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.functions.syntax import parse
 from coppice.operators.scan import EXCLUDED, EXTENSIONS
 from coppice.plans.extract import Extraction, extract
 from coppice.sources.ast_dir import COLUMNS, AstDir
@@ -43,27 +42,28 @@ def extract_tree(spark: SparkSession, root: str, out: str, extensions=EXTENSIONS
     return write_tree(extract(files, pretty), out, hidden, extensions)
 
 
-def load_document(out: str, path: str) -> dict:
-    """The written document of one source path."""
-    with open(os.path.join(out, "manifest.json"), encoding="utf-8") as f:
-        entry = next(e for e in json.load(f)["files"] if e["path"] == path)
-    with open(os.path.join(out, entry["ast"]), encoding="utf-8") as f:
-        return json.load(f)
-
-
 def read_documents(spark: SparkSession, out: str) -> DataFrame:
     """The written documents as rows (path, text, sha256 of the file)."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(os.path.join(os.path.abspath(out), "ast"))
     return raw.select(F.regexp_extract("path", r"(ast/[^/]+)$", 1).alias("ast"), F.col("content").cast("string").alias("ast_json"), F.sha2("content", 256).alias("ast_sha256"))
 
 
-def extract_file(path: str, file_id: str) -> dict:
-    """One file by itself: fileId, rootId, parseErrors, nodes."""
+def manifest_entries(spark: SparkSession, out: str) -> DataFrame:
+    """The entries of a written manifest as rows."""
+    manifest = spark.read.option("multiLine", True).json(os.path.join(os.path.abspath(out), "manifest.json"))
+    return manifest.select(F.explode("files").alias("e")).select("e.*")
+
+
+def written_document(spark: SparkSession, out: str, path: str) -> DataFrame:
+    """The written document of one source path: its entry met with what stands in the folder."""
+    return manifest_entries(spark, out).where(F.col("path") == path).join(read_documents(spark, out), "ast")
+
+
+def extract_file(spark: SparkSession, path: str, file_id: str) -> dict:
+    """One file by itself, through the same plan as a tree: fileId, rootId, parseErrors, nodes."""
     if not re.fullmatch(r"f[0-9]{3,}", file_id):
         raise ValueError(f"not a file id: {file_id}")
     with open(path, "rb") as f:
-        rows, errors = parse(f.read(), file_id)
-    name = lambda n: None if n is None else f"{file_id}#{n:05d}"
-    keys = ("startLine", "endLine", "startCol", "endCol", "startByte", "endByte")
-    nodes = [{"id": name(r["node_ord"]), "kind": r["kind"], "loc": dict(zip(keys, r["loc"])), "parent": name(r["parent_ord"]), "children": [name(c) for c in r["children"]], "fields": r["fields"], "attrs": r["attrs"]} for r in rows]
-    return {"fileId": file_id, "rootId": name(0), "parseErrors": errors, "nodes": nodes}
+        one = spark.createDataFrame([(int(file_id[1:]), os.path.basename(path), f.read())], "file_ord int, path string, content binary")
+    doc = json.loads(extract(one).docs.first().ast_json)
+    return {k: doc[k] for k in ("fileId", "rootId", "parseErrors", "nodes")}

@@ -31,7 +31,7 @@ def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole(spark: SparkSession, sf_dir: str) -> Extraction:
-    return extract(scan.with_ids(scan.discover(files_of(spark, sf_dir), exclude=())))
+    return extract(scan.with_ids(files_of(spark, sf_dir)))
 
 
 def wrapped(spark: SparkSession, sf_dir: str) -> Extraction:
@@ -120,12 +120,21 @@ def edge_table(spark, sf_dir):
     return wrapped(spark, sf_dir).edges.select(F.col("file_ord").alias("doc_id"), "parent_ord", "field", "pos", "child_ord")
 
 
+def damaged(nodes: DataFrame) -> DataFrame:
+    """The nodes of the wrapped documents with some wrong, by the last digit of the document: what the checks must find."""
+    digit, n = F.col("file_ord") % 10, F.col("node_ord")
+    kids = F.when((digit == 7) & (n == 0), F.slice("children", 1, 1)).when((digit == 9) & (n == 1), F.array(C.node_id(F.col("file_id"), F.lit(0)))).otherwise(F.col("children"))
+    wrong = nodes.withColumn("parent_ord", F.when((digit == 3) & (n == 2), 3).otherwise(F.col("parent_ord"))).withColumn("children", kids)
+    return wrong.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when((digit == 5) & (n == 3), 2).otherwise(1)))).drop("copy")
+
+
 def violations(spark, sf_dir):
-    """How many rows each consistency check finds."""
-    x = wrapped(spark, sf_dir)
+    """How many rows each consistency check finds in damaged nodes."""
+    x = wrapped(spark, sf_dir).stored()
+    nodes = damaged(x.nodes.withColumn("file_id", C.file_id(F.col("file_ord"))))
     found = {
-        "parents": checks.broken_parents(x.nodes), "children": checks.stray_children(x.nodes), "fields": checks.field_mismatches(x.nodes, x.edges),
-        "ids": checks.repeated_ids(x.nodes), "order": checks.unordered_children(x.nodes),
+        "parents": checks.broken_parents(nodes), "children": checks.stray_children(nodes), "fields": checks.field_mismatches(nodes, x.edges),
+        "ids": checks.repeated_ids(nodes), "order": checks.unordered_children(nodes),
     }
     parts = [df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations") for name, df in found.items()]
     out = parts[0]
@@ -135,11 +144,13 @@ def violations(spark, sf_dir):
 
 
 def tree_diff(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    """All documents against all documents, of which some moved to another key and some changed."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", F.col("text").cast("binary").alias("content"))
+    moved = F.when(F.col("doc_id") % 13 == 0, F.concat("path", F.lit("-moved"))).otherwise(F.col("path"))
     changed = F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("x").cast("binary"))).otherwise(F.col("content"))
-    a = docs.where("doc_id % 11 <> 0").select("doc_id", F.sha2("content", 256).alias("ast_sha256"))
-    b = docs.where("doc_id % 13 <> 0").select("doc_id", F.sha2(changed, 256).alias("ast_sha256"))
-    return checks.tree_diff(a, b, "doc_id").groupBy("status").agg(F.count("*").alias("n"))
+    a = docs.select("path", F.sha2("content", 256).alias("ast_sha256"))
+    b = docs.select(moved.alias("path"), F.sha2(changed, 256).alias("ast_sha256"))
+    return checks.tree_diff(a, b).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def parse_failures(spark, sf_dir):
@@ -151,19 +162,46 @@ def parse_failures(spark, sf_dir):
 
 
 def path_lookup(spark, sf_dir):
-    return lookup(whole(spark, sf_dir), "src7/7.php").select("path", "sha256", "node_count")
+    return lookup(scan.with_ids(files_of(spark, sf_dir)), "src7/7.php").select("path", "sha256", "node_count")
 
 
 def changed_bytes(spark, sf_dir):
-    """Entries against hashes recomputed from the bytes: none differs."""
-    files = whole(spark, sf_dir).files.select("path", "sha256", "bytes")
-    found = checks.changed_bytes(files, scan.discover(files_of(spark, sf_dir), exclude=()).select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes")))
-    return found.agg(F.count("*").alias("violations"))
+    """Entries against hashes recomputed from bytes of which some changed."""
+    content = F.when(F.col("doc_id") % 6 == 0, F.concat("content", F.lit("x").cast("binary"))).otherwise(F.col("content"))
+    recomputed = files_of(spark, sf_dir).select("path", F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("bytes"))
+    return checks.changed_bytes(whole(spark, sf_dir).files.select("path", "sha256", "bytes"), recomputed).agg(F.count("*").alias("violations"))
+
+
+def scripted(spark: SparkSession, sf_dir: str) -> Extraction:
+    """Each document behind a script with a comment, a block, a hole in a list, a string with a variable, and a newline after its tag."""
+    docs = table(spark, sf_dir, "documents")
+    content = F.concat(F.lit(SCRIPT), F.col("text")).cast("binary")
+    return extract(docs.select(F.col("doc_id").cast("int").alias("file_ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".php")).alias("path"), content.alias("content")))
+
+
+def script_nodes(spark, sf_dir):
+    n, loc = scripted(spark, sf_dir).nodes, F.col("loc")
+    attrs = F.when(F.col("kind") == "Stmt_InlineHTML", F.sha2("attrs_json", 256)).otherwise(F.col("attrs_json"))
+    return n.select(F.col("file_ord").cast("long").alias("doc_id"), "id", "kind", loc["startLine"].alias("start_line"), loc["startCol"].alias("start_col"), loc["startByte"].alias("start_byte"), loc["endByte"].alias("end_byte"), "parent", "subtree_end", "fields_json", attrs.alias("attrs"))
+
+
+def script_edges(spark, sf_dir):
+    return scripted(spark, sf_dir).edges.select(F.col("file_ord").cast("long").alias("doc_id"), "parent_ord", "field", "pos", "child_ord")
 
 
 SRC = """with src as (
   select source || '/' || cast(doc_id as varchar) || case lang when 'en' then '.php' when 'de' then '.PHP' when 'fr' then '.inc' else '.txt' end as path,
          text, doc_id from documents), kept as (select * from src where lower(path) like '%.php' or lower(path) like '%.inc')"""
+SCRIPT = '<?php /* c */ if ($x) { list(, $b) = f("a$b"); } ?>\n'
+#: ord, kind, startByte, endByte, parent, subtree_end, fields with ids as #n, attrs: the script's nodes but for the file and its text.
+SCRIPT_NODES = """(values
+  (1, 'Stmt_If', 14, 48, 0, 12, '{"cond":#2,"else":null,"elseifs":[],"stmts":[#3]}', '{}'),
+  (2, 'Expr_Variable', 18, 20, 1, 3, '{}', '{"name":"x"}'), (3, 'Stmt_Expression', 24, 46, 1, 12, '{"expr":#4}', '{}'),
+  (4, 'Expr_Assign', 24, 45, 3, 12, '{"expr":#8,"var":#5}', '{}'), (5, 'Expr_List', 24, 34, 4, 8, '{"items":[null,#6]}', '{"_kind":1}'),
+  (6, 'ArrayItem', 31, 33, 5, 8, '{"key":null,"value":#7}', '{}'), (7, 'Expr_Variable', 31, 33, 6, 8, '{}', '{"name":"b"}'),
+  (8, 'Expr_FuncCall', 37, 45, 4, 12, '{"args":[#10],"name":#9}', '{}'), (9, 'Name', 37, 38, 8, 10, '{}', '{"name":"f"}'),
+  (10, 'Arg', 39, 44, 8, 12, '{"value":#11}', '{}'), (11, 'Scalar_InterpolatedString', 39, 44, 10, 12, '{}', '{"_kind":2,"value":"a$b","variables":"b"}')
+) as s(ord, kind, a, b, p, e, f, t)"""
 AST = """g as (
   select *, printf('f%03d', row_number() over (order by path) - 1) as fid, octet_length(encode(text)) as b,
          len(string_split(text, chr(10))) as l, octet_length(encode(list_last(string_split(text, chr(10))))) as ec from {source}),
@@ -191,10 +229,10 @@ SQL = {
 u as (select path, unnest(p) l, generate_subscripts(p, 1) line from t)
 select path, line::bigint as line, coalesce(sum(octet_length(encode(l)) + 1) over (partition by path order by line rows between unbounded preceding and 1 preceding), 0)::bigint as start from u""",
     "lossless_text": "select doc_id, to_base64(encode(text) || '\\xE9'::blob) as b64, true as ok from documents",
-    "dominant_dir": f"{SRC} select split_part(path, '/', 1) as top, (2 * count(*))::bigint as nodes, count(*)::double / (select count(*) from kept) as share from kept group by 1 order by nodes desc, top limit 1",
-    "top_dirs": f"{SRC} select split_part(path, '/', 1) as top, (2 * count(*))::bigint as nodes, count(*) as files from kept group by 1",
-    "tree_totals": f"{SRC} select count(*) as files, (2 * count(*))::bigint as nodes, 0::bigint as parse_failures from kept",
-    "ast_documents": f"{SRC}, {AST.format(source='kept')}",
+    "dominant_dir": f"{SRC} select split_part(path, '/', 1) as top, (2 * count(*))::bigint as nodes, count(*)::double / (select count(*) from src) as share from src group by 1 order by nodes desc, top limit 1",
+    "top_dirs": f"{SRC} select split_part(path, '/', 1) as top, (2 * count(*))::bigint as nodes, count(*) as files from src group by 1",
+    "tree_totals": f"{SRC} select count(*) as files, (2 * count(*))::bigint as nodes, 0::bigint as parse_failures from src",
+    "ast_documents": f"{SRC}, {AST.format(source='src')}",
     "page_documents": "with src as (select 'p' || cast(page_id as varchar) || '.php' as path, html as text from pages), " + AST.format(source="src"),
     "manifest_digest": f"""{SRC}, o as (select path || ':' || sha256(text) as line, row_number() over (order by path) - 1 as file_ord from src),
 p as (select file_ord // 1000 as part, sha256(string_agg(line, chr(10) order by file_ord)) as digest from o group by 1)
@@ -203,13 +241,27 @@ select sha256(string_agg(digest, chr(10) order by part)) as digest from p""",
     "node_slices": f"{WRAP} select doc_id::bigint as doc_id, ord as node_ord, sha256(case ord when 1 then 'echo ' || doc_id || ';' when 2 then cast(doc_id as varchar) else text end) as sha256 from n where ord > 0",
     "kind_counts": f"{WRAP} select kind, count(*) as n from n group by kind",
     "edge_table": f"{WRAP} select doc_id, parent_ord, case ord when 2 then 'exprs' else 'stmts' end as field, case ord when 3 then 1 else 0 end as pos, ord as child_ord from n where ord > 0",
-    "violations": "select unnest(['parents', 'children', 'fields', 'ids', 'order']) as \"check\", 0::bigint as violations",
-    "tree_diff": """with a as (select doc_id, text from documents where doc_id % 11 <> 0), b as (select doc_id, case when doc_id % 7 = 0 then text || 'x' else text end as text from documents where doc_id % 13 <> 0)
-select case when b.doc_id is null then 'left_only' when a.doc_id is null then 'right_only' when a.text = b.text then 'same' else 'differs' end as status, count(*) as n
-from a full join b on a.doc_id = b.doc_id group by 1""",
+    "violations": """with n as (select doc_id % 10 as d, count(*) as n from documents group by 1)
+select c."check", coalesce(sum(n.n), 0)::bigint as violations
+from (values ('parents', [3, 7, 9]), ('children', [3, 9]), ('fields', [7, 9]), ('ids', [5]), ('order', [9])) as c("check", ds) left join n on list_contains(c.ds, n.d) group by 1""",
+    "tree_diff": """with a as (select cast(doc_id as varchar) as path, text from documents),
+b as (select cast(doc_id as varchar) || case when doc_id % 13 = 0 then '-moved' else '' end as path, case when doc_id % 7 = 0 then text || 'x' else text end as text from documents)
+select case when b.path is null then 'left_only' when a.path is null then 'right_only' when a.text = b.text then 'same' else 'differs' end as status, count(*) as n
+from a full join b on a.path = b.path group by 1""",
     "parse_failures": "select cast(doc_id as varchar) as path, 1 as parse_error_count, 1 as start_line from documents where doc_id % 10 = 0",
-    "path_lookup": f"{SRC} select path, sha256(text) as sha256, 2 as node_count from kept where path = 'src7/7.php'",
-    "changed_bytes": "select 0::bigint as violations",
+    "path_lookup": f"{SRC} select path, sha256(text) as sha256, 2 as node_count from src where path = 'src7/7.php'",
+    "changed_bytes": "select count(*) as violations from documents where doc_id % 6 = 0",
+    "script_nodes": f"""with d as (select doc_id, printf('f%03d', doc_id) as fid, octet_length(encode(text)) as b, text from documents),
+n as (
+  select d.*, s.ord, s.kind, s.a, s.b as z, s.p, s.e, s.f, s.t from d, {SCRIPT_NODES}
+  union all select d.*, 0, 'File', 0, 52 + b, null, 13, '{{"stmts":[#1,#12]}}', '{{}}' from d
+  union all select d.*, 12, 'Stmt_InlineHTML', 52, 52 + b, 0, 13, '{{}}', sha256('{{"value":' || to_json(text)::varchar || '}}') from d where b > 0)
+select doc_id, fid || printf('#%05d', ord) as id, kind, case when ord = 12 then 2 else 1 end as start_line, case when ord = 12 then 0 else a end as start_col,
+  a as start_byte, z::int as end_byte, fid || printf('#%05d', p) as parent, e as subtree_end,
+  regexp_replace(regexp_replace(f, '#([0-9])([^0-9])', '"' || fid || '#0000\\1"\\2', 'g'), '#([0-9][0-9])([^0-9])', '"' || fid || '#000\\1"\\2', 'g') as fields_json, t as attrs
+from n""",
+    "script_edges": """select doc_id, e.* from documents, (values (0, 'stmts', 0, 1), (0, 'stmts', 1, 12), (1, 'cond', null, 2), (1, 'stmts', 0, 3), (3, 'expr', null, 4), (4, 'var', null, 5), (4, 'expr', null, 8),
+  (5, 'items', 0, null), (5, 'items', 1, 6), (6, 'value', null, 7), (8, 'name', null, 9), (8, 'args', 0, 10), (10, 'value', null, 11)) as e(parent_ord, field, pos, child_ord)""",
 }
 
 

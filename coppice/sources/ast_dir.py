@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from coppice.functions.syntax import canonical
+from coppice.functions.literals import canonical
 from coppice.plans.extract import PARSER, SCHEMA_VERSION, TOOL
 
 COLUMNS = "file_id string, path string, sha256 string, bytes bigint, node_count int, parse_ok boolean, parse_error_count int, ast_json string, ast_sha256 string"

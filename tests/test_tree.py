@@ -13,19 +13,19 @@ from pyspark.sql import functions as F
 
 from coppice import cli
 from coppice.functions import columns as C
-from coppice.functions.syntax import canonical, parse, scalar
+from coppice.functions.literals import canonical, number, scalar, unquoted
 from coppice.operators import checks, rollup, scan
 from coppice.plans.extract import extract, lookup
-from coppice.plans.tree import extract_file, extract_tree, load_document, read_documents, read_tree, write_tree
+from coppice.plans.tree import extract_file, extract_tree, manifest_entries, read_documents, read_tree, write_tree, written_document
 from coppice.sources.php_tree import TreeError, normal_extensions
 
 FILES = {
-    "broken.php": b"<?php\nif ($q {\n  echo 10;\n}",
-    "crlf_page.php": b"<?php\r\n$a = 1;\r\n?>\r\n<p>line one\r\nline two</p>\r\n",
-    "guard.php": b"<?php\nstart();\nif (!isset($_GET['id'])) {\n    exit;\n}\n$n = 'x' . \"y\";\n",
-    "lib/db.php": b"<?php\nfunction db() {\n    return open(\"h\", 1);\n}\n",
-    "latin1_page.php": b"<?php echo 'x'; ?>caf\xe9 <b>latin1</b>\n",
-    "list.inc": b"<ul>\n<?php foreach ($rows as $r) { ?>\n  <li><?= $r['t'] ?></li>\n<?php } ?>\n</ul>\n",
+    "bytes.php": b"<p><?php echo \"k\"; ?>na\xefve \xff</p>",
+    "dos.php": b"<h1>top\r\n</h1><?php\r\n  $t = step(2);\r\n?>\r\n<i>one\r\n two</i>\r\n",
+    "gate.php": b"<?php\n\nif (!allowed($user['role'])) {\n    exit;\n} else {\n    note(\"in\");\n}\n$label = 'n: ' . $count;\n",
+    "inc/util.inc": b"<?php\nfunction twice(int $n = 1): int {\n\treturn 2 * $n;\n}\nclass Box extends Thing { public ?int $size = 3; static function make() { return new Box; } }\n",
+    "menu.php": b"<nav>\n<?php foreach ($links as $url => $name): ?>\n  <a href=\"<?= $url ?>\"><?= $name ?></a>\n<?php endforeach; ?>\n</nav>\n",
+    "open.php": b"<?php\necho 1;\nwhile ($more {\n  step();\n}\n?>\nrest",
 }
 
 
@@ -52,14 +52,8 @@ def test_tree_documents_and_manifest(spark, tree, tmp_path):
         doc = json.loads(written)
         assert hashlib.sha256(raw).hexdigest() == f["sha256"] == doc["sha256"] and f["bytes"] == len(raw) and hashlib.sha256(written).hexdigest() == f["astSha256"]
         assert written.decode() == canonical(doc) + "\n" and doc["nodeCount"] == len(doc["nodes"]) == f["nodeCount"]
-        by_id = {n["id"]: n for n in doc["nodes"]}
-        starts = [0, *(i + 1 for i, b in enumerate(raw) if b == 10)]
-        for k, n in enumerate(doc["nodes"]):
-            assert n["id"] == f"{f['fileId']}#{k:05d}" and all(by_id[c]["parent"] == n["id"] for c in n["children"])
-            named = [x for v in n["fields"].values() for x in (v if isinstance(v, list) else [v]) if x]
-            assert sorted(named) == n["children"] == sorted(n["children"]) and all(c > n["id"] for c in n["children"])
-            loc = n["loc"]
-            assert loc["startCol"] == loc["startByte"] - starts[loc["startLine"] - 1] and loc["endCol"] == loc["endByte"] - starts[loc["endLine"] - 1]
+        assert all(n["id"].startswith(f["fileId"] + "#") for n in doc["nodes"])
+        check_nesting(doc["nodes"], raw)
     body = {k: v for k, v in m.items() if k != "contentHash"}
     assert m["contentHash"] == hashlib.sha256((canonical(body) + "\n").encode()).hexdigest()
     assert (out / "manifest.json").read_text() == canonical(m, indent=1) + "\n"
@@ -83,7 +77,7 @@ def test_repeat_relocate_and_stale(spark, tree, tmp_path):
     assert got.pop("other.txt") == b"stays" and got == contents(a)
     assert not any(str(tmp_path).encode() in x for x in got.values())
     before = json.loads(got["manifest.json"])["contentHash"]
-    (moved / "guard.php").write_bytes(b"<?php echo 1;\n")
+    (moved / "gate.php").write_bytes(b"<?php echo 1;\n")
     assert extract_tree(spark, str(moved), str(b))["contentHash"] != before
 
 
@@ -130,63 +124,119 @@ def test_golden_empty_file(spark, tmp_path):
         assert m["files"][0]["astSha256"] == expected
 
 
-def nodes_of(data, kind=None):
-    rows, errors = parse(data, "f000")
-    return [r for r in rows if kind in (None, r["kind"])], errors
-
-
-def test_inline_html():
-    got, errors = nodes_of(FILES["crlf_page.php"], "Stmt_InlineHTML")
-    assert not errors and [(n["loc"][4:], n["attrs"]["value"]) for n in got] == [((20, 47), "<p>line one\r\nline two</p>\r\n")]
-    got, _ = nodes_of(FILES["latin1_page.php"], "Stmt_InlineHTML")
-    assert got[0]["attrs"]["value"] == {"__b64": base64.b64encode(b"caf\xe9 <b>latin1</b>\n").decode()} and got[0]["loc"][4:] == (18, 37)
-    assert len(nodes_of(FILES["list.inc"], "Stmt_InlineHTML")[0]) == 4
-    assert [n["kind"] for n in nodes_of(b"\n\n")[0]] == ["File", "Stmt_InlineHTML"] and [n["kind"] for n in nodes_of(b"")[0]] == ["File"]
-
-
-def test_syntax_roles():
-    data = FILES["guard.php"]
-    rows, errors = nodes_of(data)
-    by_id = {f"f000#{r['node_ord']:05d}": r for r in rows}
-    (branch,) = [r for r in rows if r["kind"] == "Stmt_If"]
-    assert not errors and list(branch["fields"]) == ["cond", "stmts", "elseifs", "else"]
-    assert by_id[branch["fields"]["cond"]]["kind"] == "Expr_BooleanNot" and branch["fields"]["else"] is None and branch["fields"]["elseifs"] == []
-    assert [by_id[s]["kind"] for s in branch["fields"]["stmts"]] == ["Stmt_Expression"] and sum(r["kind"] == "Expr_Exit" for r in rows) == 1
-    assert data[branch["loc"][4] : branch["loc"][5]].startswith(b"if (!isset") and data[branch["loc"][5] - 1 :][:1] == b"}"
-
-
-def test_scalars_and_holes():
-    rows, errors = nodes_of(b"<?php list(, $b) = [1_0, 0x1F, 1e1000, 9223372036854775808, 1.0, '\xe9', \"\\x41\\u{e9}\\n\", ($c)];")
+def trees_of(spark, sources):
+    """(nodes, errors) of each source, from one plan."""
+    df = spark.createDataFrame([(i, f"{i}.php", x) for i, x in enumerate(sources)], "file_ord int, path string, content binary")
+    rows = {r.file_ord: json.loads(r.ast_json) for r in extract(df).docs.select("file_ord", "ast_json").collect()}
+    return [(rows[i]["nodes"], rows[i]["parseErrors"]) for i in range(len(sources))]
+
+
+def kinds(nodes, data):
+    return [(n["kind"], data[n["loc"]["startByte"] : n["loc"]["endByte"]].decode("latin-1")) for n in nodes]
+
+
+def check_nesting(nodes, data):
+    by_id = {n["id"]: n for n in nodes}
+    starts = [0, *(i + 1 for i, b in enumerate(data) if b == 10)]
+    assert len(by_id) == len(nodes) and [int(n["id"].split("#")[1]) for n in nodes] == list(range(len(nodes)))
+    for n in nodes:
+        loc = n["loc"]
+        named = [x for v in n["fields"].values() for x in (v if isinstance(v, list) else [v]) if x]
+        assert sorted(named) == n["children"] == sorted(n["children"]) and all(by_id[c]["parent"] == n["id"] and c > n["id"] for c in n["children"])
+        assert loc["startCol"] == loc["startByte"] - starts[loc["startLine"] - 1] and loc["endCol"] == loc["endByte"] - starts[loc["endLine"] - 1]
+        assert loc["startLine"] == 1 + data.count(b"\n", 0, loc["startByte"]) and loc["endLine"] == 1 + data.count(b"\n", 0, loc["endByte"])
+        if n["parent"]:
+            up = by_id[n["parent"]]
+            assert n["id"] in up["children"] and up["loc"]["startByte"] <= loc["startByte"] < loc["endByte"] <= up["loc"]["endByte"]
+
+
+def test_inline_html(spark):
+    sources = [FILES["dos.php"], FILES["bytes.php"], FILES["menu.php"], b"\n\n", b"", b"a <?PHP echo '?>', /* ?> */ 1 // ?>b", b"x<?= 1 ?>\r\n\r\ny<?phpz"]
+    found = [[(n["loc"]["startByte"], n["loc"]["endByte"], n["attrs"]["value"]) for n in nodes if n["kind"] == "Stmt_InlineHTML"] for nodes, errors in trees_of(spark, sources) if not errors]
+    assert found[0] == [(0, 14, "<h1>top\r\n</h1>"), (42, 60, "<i>one\r\n two</i>\r\n")]
+    assert found[1] == [(0, 3, "<p>"), (21, 32, {"__b64": base64.b64encode(b"na\xefve \xff</p>").decode()})]
+    assert [v for _, _, v in found[2]] == ["<nav>\n", '  <a href="', '">', "</a>\n", "</nav>\n"]
+    assert found[3] == [(0, 2, "\n\n")] and found[4] == [] and [v for _, _, v in found[5]] == ["a ", "b"] and [v for _, _, v in found[6]] == ["x", "\r\ny<?phpz"]
+
+
+def test_syntax_roles(spark):
+    data = FILES["gate.php"]
+    (gate, errors), (util, _), (menu, _) = trees_of(spark, [data, FILES["inc/util.inc"], FILES["menu.php"]])
+    by_id = {n["id"]: n for n in gate}
+    (branch,) = [n for n in gate if n["kind"] == "Stmt_If"]
+    assert not errors and sorted(branch["fields"]) == ["cond", "else", "elseifs", "stmts"] and branch["fields"]["elseifs"] == []
+    assert by_id[branch["fields"]["cond"]]["kind"] == "Expr_BooleanNot" and by_id[branch["fields"]["else"]]["kind"] == "Stmt_Else"
+    assert [by_id[x]["kind"] for x in branch["fields"]["stmts"]] == ["Stmt_Expression"] and sum(n["kind"] == "Expr_Exit" for n in gate) == 1
+    text = data[branch["loc"]["startByte"] : branch["loc"]["endByte"]]
+    assert text.startswith(b"if (!allowed") and text.endswith(b'note("in");\n}')
+    assert ("Expr_BinaryOp_Concat", "'n: ' . $count") in kinds(gate, data) and ("Expr_ArrayDimFetch", "$user['role']") in kinds(gate, data)
+    assert [(n["kind"], n["attrs"].get("name") or n["attrs"].get("signature")) for n in util if n["kind"] in ("Stmt_Function", "Stmt_Class")] == [("Stmt_Function", "twice"), ("Stmt_Class", "Box extends Thing"), ("Stmt_Function", "make")]
+    (loop,) = [n for n in menu if n["kind"] == "Stmt_Foreach"]
+    assert len(loop["fields"]["stmts"]) == 5 and sum(n["kind"] == "Stmt_Echo" for n in menu) == 2
+
+
+def test_statements_and_chains(spark):
+    data = b"""<?php
+if ($a) b(); elseif ($c): d(); else: e(); endif;
+switch ($x) { case 1: f(); break; default: g(); }
+do { h(); } while ($i);
+try { k(); } catch (A | B $e) { } finally { m(); }
+for ($i = 0; $i < 3; $i++) { $r[] = match ($i) { 0, 1 => 'a', default => fn($z) => $z ** 2 }; }
+#[Pure] abstract class T { use U { v as w; } const K = 1; }
+goto end; end: $s = <<<X
+    a $b
+      c
+    X;
+$f = function () use (&$q) { return static fn() => yield; };
+list(, [$u]) = [1, ...$w]; echo $o?->p['q']::R, (int) -$x ?: 0o17; unset($y);
+"""
+    data = data.replace(b"if ($a) b(); elseif ($c): d(); else: e(); endif;", b"if ($a): b(); elseif ($c): d(); else: e(); endif;")
+    ((nodes, errors),) = trees_of(spark, [data])
+    assert errors == []
+    check_nesting(nodes, data)
+    by_id = {n["id"]: n for n in nodes}
+    top = [by_id[x]["kind"] for x in nodes[0]["children"]]
+    assert top == ["Stmt_If", "Stmt_Switch", "Stmt_Do", "Stmt_TryCatch", "Stmt_For", "Stmt_Class", "Stmt_Goto", "Stmt_Label", "Stmt_Expression", "Stmt_Expression", "Stmt_Echo", "Stmt_Unset"]
+    fields = {n["kind"]: n["fields"] for n in nodes}
+    assert len(fields["Stmt_If"]["elseifs"]) == 1 and fields["Stmt_If"]["else"] and fields["Stmt_Do"]["while"] and len(fields["Stmt_TryCatch"]["catches"]) == 1 and fields["Stmt_TryCatch"]["finally"]
+    cases = [n for n in nodes if n["kind"] == "Stmt_Case"]
+    assert [len(n["fields"]["stmts"]) for n in cases] == [2, 1] and [n["fields"]["cond"] is None for n in cases] == [False, True]
+    assert fields["Expr_List"]["items"][0] is None and len(fields["Expr_Match"]["arms"]) == 2
+    assert [n["attrs"]["variables"] for n in nodes if n["kind"] == "Scalar_InterpolatedString"] == ["b"]
+    assert [n["attrs"]["value"] for n in nodes if n["kind"] == "Scalar_Int"][-1] == 15
+
+
+def test_scalars(spark):
+    ((nodes, errors),) = trees_of(spark, [b"<?php $v = [1_0, 0x1F, 1e1000, 9223372036854775808, 1.0, '\xe9', \"\\x41\\u{e9}\\n\", ($c), \"\\u{10FFFF}\"];"])
     assert not errors
-    values = [r["attrs"]["value"] for r in rows if r["kind"].startswith("Scalar")]
-    assert values == [10, 31, {"__float": "INF"}, 9223372036854775808.0, 1.0, {"__b64": "6Q=="}, "Aé\n"]
-    (holes,) = [r for r in rows if r["kind"] == "Expr_List"]
-    assert holes["fields"]["items"][0] is None and len(holes["children"]) == 1 and ("items", 0, None) in holes["edges"]
-    assert [r["attrs"].get("_parenthesized") for r in rows if r["attrs"].get("name") == "c"] == [True]
-    assert [r["attrs"]["_rawValue"] for r in rows if "_rawValue" in r["attrs"]][:2] == ["1_0", "0x1F"]
-    assert canonical([1e25, 1.0, 1e-5, -0.0, "\x1f\u2028/é"]) == '[1e+25,1.0,1e-05,-0.0,"\\u001f\u2028/é"]' and scalar(float("nan")) == {"__float": "NAN"}
-
-
-def test_errors_are_data():
-    for data in (FILES["broken.php"], b"<?php }", b"<?php " + b"(" * 5000, b"<?php if (1) { echo 2"):
-        _, errors = nodes_of(data)
-        assert errors and errors[0]["startLine"] >= 1
-    rows, errors = nodes_of(b"<?php foo( ; bar();")
-    assert len(errors) == 1 and [r["attrs"]["name"] for r in rows if r["kind"] == "Name"] == ["bar"]
-    rows, errors = nodes_of(b"<?php $a" + b".$a" * 3000 + b";")
-    assert not errors and len(rows) > 6000
-
-
-def test_random_sources_nest():
+    assert [n["attrs"]["value"] for n in nodes if n["kind"].startswith("Scalar")] == [10, 31, {"__float": "INF"}, 9223372036854775808.0, 1.0, {"__b64": "6Q=="}, "A\u00e9\n", "\U0010ffff"]
+    assert [n["attrs"].get("_parenthesized") for n in nodes if n["attrs"].get("name") == "c"] == [True]
+    assert [n["attrs"]["_rawValue"] for n in nodes if "_rawValue" in n["attrs"]][:2] == ["1_0", "0x1F"]
+    assert canonical([1e25, 1.0, 1e-5, -0.0, "\x1f\u2028/\u00e9"]) == '[1e+25,1.0,1e-05,-0.0,"\\u001f\u2028/\u00e9"]' and scalar(float("nan")) == {"__float": "NAN"}
+    assert [number(x) for x in ("0x_", "0b_", "0", "017", "0o17", "0b11", "9" * 5000)] == [0, 0, 0, 15, 15, 3, float("inf")]
+    assert unquoted(b'"\\u{D800}\\u{FFFFFFFF}"') == b"\xed\xa0\x80\\u{FFFFFFFF}" and unquoted(b"<<<'A'\n  x\\n\n    y\n  A") == b"x\\n\n  y"
+
+
+def test_errors_are_data(spark):
+    sources = [FILES["open.php"], b"<?php }", b"<?php " + b"(" * 5000, b"<?php a(); if (1) { echo 2", b"<?php a(); b($; c();", b"<?php $a" + b".$a" * 3000 + b";", b"<?php 'x", b"<?php " + b"-" * 500 + b"1;", b"<?php if (1): b(); }", b"<?php f(function() { 1 2; });"]
+    found = trees_of(spark, sources)
+    assert [bool(errors) for _, errors in found] == [True] * 5 + [False] + [True] * 4
+    assert found[0][1] == [{"endLine": 3, "message": "unclosed '('", "startLine": 3}] and kinds(found[0][0], sources[0])[1:] == [("Stmt_Echo", "echo 1;"), ("Scalar_Int", "1"), ("Stmt_InlineHTML", "rest")]
+    assert ("Name", "a") in kinds(found[3][0], sources[3]) and len(found[5][0]) > 6000
+    names = [t for k, t in kinds(found[4][0], sources[4]) if k == "Name"]
+    assert "a" in names
+    assert [k for k, _ in kinds(found[9][0], sources[9])].count("Stmt_Invalid") == 1
+    for (nodes, _), data in zip(found, sources):
+        check_nesting(nodes, data)
+
+
+def test_random_sources_nest(spark):
     rng = random.Random(4)
-    tokens = [b"<?php ", b"?>\n", b"$a", b"(", b")", b"{", b"}", b"[", b"]", b"if", b"else", b"function", b"class", b";", b",", b"=>", b"->", b"::", b"'x'", b'"', b"1", b"+", b"match", b"case", b"switch", b"foreach", b" as ", b"fn", b"\xff"]
-    for _ in range(3000):
-        data = b"<?php " + b" ".join(rng.choice(tokens) for _ in range(rng.randrange(1, 25)))
-        rows, _ = parse(data, "f")
-        assert [r["node_ord"] for r in rows] == list(range(len(rows)))
-        for r in rows[1:]:
-            p = rows[r["parent_ord"]]
-            assert p["loc"][4] <= r["loc"][4] <= r["loc"][5] <= p["loc"][5] and p["node_ord"] < r["node_ord"] < r["subtree_end"] <= p["subtree_end"]
+    tokens = [b"<?php ", b"?>\n", b"$a", b"(", b")", b"{", b"}", b"[", b"]", b"if", b"else", b"function", b"class", b";", b",", b"=>", b"->", b"::", b"'x'", b'"', b"1", b"+", b"match", b"case", b"switch", b"foreach", b" as ", b"fn", b"\xff", b":", b"endif", b"0x_", b"1e5", b'"\\u{D800}$a"', b"<<<A\n", b"\nA", b"#[", b"\\", b"do", b"while", b"else:"]
+    sources = [b"<?php " + b" ".join(rng.choice(tokens) for _ in range(rng.randrange(1, 25))) for _ in range(1500)]
+    sources += [rng.randbytes(rng.randrange(60)) + b"<?php " + rng.randbytes(rng.randrange(60)) for _ in range(500)]
+    for (nodes, _), data in zip(trees_of(spark, sources), sources):
+        check_nesting(nodes, data)
 
 
 def test_tables_and_checks(spark, tree):
@@ -200,9 +250,9 @@ def test_tables_and_checks(spark, tree):
     assert checks.repeated_ids(nodes.union(nodes.limit(1))).count() == 1
     x.views()
     assert spark.sql("select count(*) n from nodes where kind = 'Stmt_If'").first().n == 1
-    assert lookup(x, "lib/db.php").first().parse_ok and rollup.totals(x.files).first() == (6, nodes.count(), 1)
-    diff = {r.path: r.status for r in checks.tree_diff(x.docs, x.docs.where("path <> 'guard.php'")).collect()}
-    assert diff["guard.php"] == "left_only" and set(diff.values()) == {"left_only", "same"}
+    assert lookup(read_tree(spark, str(tree)), "inc/util.inc").first().parse_ok and rollup.totals(x.files).first() == (6, nodes.count(), 1)
+    diff = {r.path: r.status for r in checks.tree_diff(x.docs, x.docs.where("path <> 'gate.php'")).collect()}
+    assert diff["gate.php"] == "left_only" and set(diff.values()) == {"left_only", "same"}
 
 
 def test_dominance(spark):
@@ -231,14 +281,19 @@ def test_command_line(spark, tree, tmp_path, capsys):
     (tree / "big").mkdir()
     (tree / "big" / "a.php").write_bytes(b"<?php " + b"$x = [1,2,3];\n" * 50)
     out = tmp_path / "o"
-    assert cli.main([str(tree), "--out", str(out), "--exclude-dir", "lib"]) == 0
+    assert cli.main([str(tree), "--out", str(out), "--exclude-dir", "inc"]) == 0
     said = capsys.readouterr()
     assert said.out.startswith("6 files, ") and "with parse errors ->" in said.out
-    assert "excluded lib: 1 files" in said.err and "warning: big holds" in said.err and "broken.php" in said.err
+    assert "excluded inc: 1 files" in said.err and "warning: big holds" in said.err and "parse errors in open.php: 1" in said.err
     assert cli.main([str(tree / "none"), "--out", str(out)]) == 1 and cli.main([]) == 2 and cli.main(["--version"]) == 0
-    assert cli.main(["--file", str(tree / "guard.php"), "--file-id", "x1"]) == 2 and cli.main(["--file", str(tree / "nope.php")]) == 1
+    assert cli.main(["--file", str(tree / "gate.php"), "--file-id", "x1"]) == 2 and cli.main(["--file", str(tree / "nope.php")]) == 1
     capsys.readouterr()
-    assert cli.main(["--file", str(tree / "guard.php"), "--file-id", "f007"]) == 0
+    assert cli.main(["--file", str(tree / "gate.php"), "--file-id", "f007"]) == 0
     one = json.loads(capsys.readouterr().out)
-    assert one["rootId"] == "f007#00000" and one == json.loads(canonical(extract_file(str(tree / "guard.php"), "f007")))
-    assert load_document(str(out), "guard.php")["nodeCount"] == len(one["nodes"])
+    assert one["rootId"] == "f007#00000" and one == json.loads(canonical(extract_file(spark, str(tree / "gate.php"), "f007")))
+    written = written_document(spark, str(out), "gate.php").first()
+    assert json.loads(written.ast_json)["nodeCount"] == len(one["nodes"]) == written.nodeCount and manifest_entries(spark, str(out)).count() == 6
+    broken = tree / "locked.php"
+    os.mkdir(broken)
+    os.symlink(tree / "none", broken / "x.php")
+    assert cli.main([str(tree), "--out", str(tree / "gate.php" / "o")]) == 1 and "error: " in capsys.readouterr().err
