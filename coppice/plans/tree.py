@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coppice.operators.scan import EXCLUDED, EXTENSIONS
 from coppice.plans.extract import Extraction, extract
-from coppice.sources.ast_dir import COLUMNS, AstDir
+from coppice.sources.ast_dir import COLUMNS, ENTRY, AstDir, write_manifest
 from coppice.sources.php_tree import PhpTree, TreeError, normal_extensions
 
 
@@ -25,17 +25,15 @@ def read_tree(spark: SparkSession, root: str, extensions=EXTENSIONS, exclude=EXC
 
 
 def write_tree(extraction: Extraction, out: str, excluded: list[dict] | None = None, extensions=EXTENSIONS) -> dict:
-    """Write documents and manifest below ``out``; the manifest is also returned."""
-    extraction.docs.sparkSession.dataSource.register(AstDir)
-    columns = [c.split()[0] for c in COLUMNS.split(", ")]
-    options = {"excluded": json.dumps(excluded or []), "extensions": json.dumps(list(extensions))}
-    extraction.docs.select(columns).write.format("ast_dir").options(**options).mode("overwrite").save(os.path.abspath(out))
-    with open(os.path.join(out, "manifest.json"), encoding="utf-8") as f:
-        return json.load(f)
+    """Write documents and manifest below ``out``; the manifest is returned without its list of files (``manifest_entries`` has that)."""
+    spark, out = extraction.docs.sparkSession, os.path.abspath(out)
+    spark.dataSource.register(AstDir)
+    extraction.docs.select([c.split()[0] for c in COLUMNS.split(", ")]).write.format("ast_dir").mode("overwrite").save(out)
+    return write_manifest(spark, out, excluded or [], list(extensions))
 
 
 def extract_tree(spark: SparkSession, root: str, out: str, extensions=EXTENSIONS, exclude=EXCLUDED, pretty: bool = False) -> dict:
-    """Analyse a directory into ``out`` and return the manifest."""
+    """Analyse a directory into ``out`` and return the manifest without its list of files."""
     extensions = normal_extensions(extensions)
     files = read_tree(spark, root, extensions, exclude)
     hidden = [r.asDict() for r in read_tree(spark, root, extensions, exclude, "excluded").collect()]  # one row a directory
@@ -50,7 +48,7 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
 
 def manifest_entries(spark: SparkSession, out: str) -> DataFrame:
     """The entries of a written manifest as rows."""
-    manifest = spark.read.option("multiLine", True).json(os.path.join(os.path.abspath(out), "manifest.json"))
+    manifest = spark.read.option("multiLine", True).schema(f"files array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>").json(os.path.join(os.path.abspath(out), "manifest.json"))
     return manifest.select(F.explode("files").alias("e")).select("e.*")
 
 

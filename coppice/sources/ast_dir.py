@@ -1,76 +1,111 @@
 """The ``ast_dir`` sink: one JSON file a row and a manifest over all of them.
 
 Rows have file_id, path, sha256, bytes, node_count, parse_ok,
-parse_error_count, ast_json, ast_sha256.  Old output is cleared first, tasks
-write under a temporary name and rename, and the manifest is written by the
-commit alone, so a failed run leaves none.  The manifest holds an entry for
-every file by its format, so its entries (not the documents) meet at the commit.
+parse_error_count, ast_json, ast_sha256.  Old output is cleared first, and tasks
+write under a temporary name and rename.  The entry of each file goes into a
+part file of its task; ``write_manifest`` reads them sorted by path, a partition
+at a time, once the write has succeeded, so a failed run leaves no manifest and
+no list of files is held anywhere.  The folder must be one that all executors
+and the driver see.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from coppice.functions.literals import canonical
 from coppice.plans.extract import PARSER, SCHEMA_VERSION, TOOL
 
 COLUMNS = "file_id string, path string, sha256 string, bytes bigint, node_count int, parse_ok boolean, parse_error_count int, ast_json string, ast_sha256 string"
+ENTRY = "ast string, astSha256 string, bytes bigint, fileId string, nodeCount int, parseErrorCount int, parseOk boolean, path string, sha256 string"
+PARTS = "ast-entries"
 
 
 @dataclass
-class Entries(WriterCommitMessage):
-    entries: list[dict]
-
-
-def manifest_of(entries: list[dict], excluded: list[dict], extensions: list[str]) -> dict:
-    """The manifest; contentHash covers everything else in it."""
-    out = {
-        "excluded": excluded, "extensions": sorted(extensions), "files": sorted(entries, key=lambda e: os.fsencode(e["path"])),
-        "parser": PARSER, "schemaVersion": SCHEMA_VERSION, "tool": TOOL,
-        "totals": {"files": len(entries), "nodes": sum(e["nodeCount"] for e in entries), "parseFailures": sum(not e["parseOk"] for e in entries)},
-    }
-    return out | {"contentHash": hashlib.sha256((canonical(out) + "\n").encode()).hexdigest()}
+class Written(WriterCommitMessage):
+    part: str
+
+
+def put(out: str, name: str, pieces: Iterable[str]) -> None:
+    """A file below ``out``, there whole or not at all."""
+    temporary = os.path.join(out, f"{name}.{uuid.uuid4().hex}")
+    with open(temporary, "wb") as f:
+        f.writelines(p.encode() for p in pieces)
+    os.replace(temporary, os.path.join(out, name))
+
+
+def manifest_text(head: dict, entries: Iterable[dict], indent: int | None) -> Iterator[str]:
+    """The canonical text of ``head`` with ``entries`` as its list of files, piece by piece."""
+    mark = "\0"
+    before, after = canonical(head | {"files": [mark]}, indent).split(canonical(mark))
+    yield before
+    gap, first = before[before.rindex("[") + 1 :], True
+    for e in entries:
+        yield ("" if first else "," + gap) + canonical(e, indent).replace("\n", "\n" + gap.strip("\n"))
+        first = False
+    yield after + "\n"
+
+
+def write_manifest(spark: SparkSession, out: str, excluded: list[dict], extensions: list[str]) -> dict:
+    """Write the manifest over the entries that tasks left; it is returned without its list of files.
+
+    contentHash covers everything else in the compact text.  Entries come to
+    the driver sorted, a partition at a time, and are not kept.
+    """
+    parts = os.path.join(out, PARTS)
+    rows = spark.read.schema(ENTRY).json(parts).orderBy("path") if os.listdir(parts) else spark.createDataFrame([], ENTRY)
+    files, nodes, failures = rows.agg(F.count("*"), F.coalesce(F.sum("nodeCount"), F.lit(0)), F.count_if(~F.col("parseOk"))).first()
+    head = {"excluded": excluded, "extensions": sorted(extensions), "parser": PARSER, "schemaVersion": SCHEMA_VERSION, "tool": TOOL, "totals": {"files": files, "nodes": nodes, "parseFailures": failures}}
+    entries = lambda: (r.asDict() for r in rows.toLocalIterator()) if files else iter(())
+    digest = hashlib.sha256()
+    for piece in manifest_text(head, entries(), None) if files else [canonical(head | {"files": []}) + "\n"]:
+        digest.update(piece.encode())
+    head["contentHash"] = digest.hexdigest()
+    put(out, "manifest.json", manifest_text(head, entries(), 1) if files else [canonical(head | {"files": []}, 1) + "\n"])
+    shutil.rmtree(parts)
+    return head
 
 
 class AstWriter(DataSourceWriter):
     def __init__(self, options: dict):
         self.out = options["path"]
-        self.excluded, self.extensions = json.loads(options.get("excluded", "[]")), json.loads(options.get("extensions", "[]"))
 
     def clear(self) -> None:
-        shutil.rmtree(os.path.join(self.out, "ast"), ignore_errors=True)
-        os.makedirs(os.path.join(self.out, "ast"), exist_ok=True)
+        for name in ("ast", PARTS):
+            shutil.rmtree(os.path.join(self.out, name), ignore_errors=True)
+            os.makedirs(os.path.join(self.out, name), exist_ok=True)
         if os.path.exists(manifest := os.path.join(self.out, "manifest.json")):
             os.remove(manifest)
 
-    def write(self, iterator: Iterator) -> Entries:
-        entries = []
-        for row in iterator:
-            name = f"ast/{row.file_id}.json"
-            self.put(name, row.ast_json)
-            entries.append({"ast": name, "astSha256": row.ast_sha256, "bytes": row.bytes, "fileId": row.file_id, "nodeCount": row.node_count, "parseErrorCount": row.parse_error_count, "parseOk": row.parse_ok, "path": row.path, "sha256": row.sha256})
-        return Entries(entries)
-
-    def put(self, name: str, text: str) -> None:
-        temporary = os.path.join(self.out, f"{name}.{uuid.uuid4().hex}")
-        with open(temporary, "wb") as f:
-            f.write(text.encode())
-        os.replace(temporary, os.path.join(self.out, name))
-
-    def commit(self, messages: list[Entries]) -> None:
-        entries = [e for m in messages if m for e in m.entries]
-        self.put("manifest.json", canonical(manifest_of(entries, self.excluded, self.extensions), indent=1) + "\n")
-
-    def abort(self, messages: list[Entries]) -> None:
-        """What was written stays; there is no manifest."""
+    def write(self, iterator: Iterator) -> Written:
+        part, entries = f"{PARTS}/{uuid.uuid4().hex}.json", os.path.join(self.out, f".{uuid.uuid4().hex}")
+        with open(entries, "wb") as f:
+            for row in iterator:
+                name = f"ast/{row.file_id}.json"
+                put(self.out, name, [row.ast_json])
+                entry = {"ast": name, "astSha256": row.ast_sha256, "bytes": row.bytes, "fileId": row.file_id, "nodeCount": row.node_count, "parseErrorCount": row.parse_error_count, "parseOk": row.parse_ok, "path": row.path, "sha256": row.sha256}
+                f.write(f"{canonical(entry)}\n".encode())
+        os.replace(entries, os.path.join(self.out, part))
+        return Written(part)
+
+    def commit(self, messages: list[Written]) -> None:
+        """Parts of attempts that did not count go."""
+        counted = {os.path.basename(m.part) for m in messages if m}
+        for name in os.listdir(os.path.join(self.out, PARTS)):
+            if name not in counted:
+                os.remove(os.path.join(self.out, PARTS, name))
+
+    def abort(self, messages: list[Written]) -> None:
+        """Documents that were written stay; there is no manifest."""
 
 
 class AstDir(DataSource):

@@ -44,7 +44,9 @@ def contents(out):
 
 def test_tree_documents_and_manifest(spark, tree, tmp_path):
     out = tmp_path / "out"
-    m = extract_tree(spark, str(tree), str(out))
+    returned = extract_tree(spark, str(tree), str(out))
+    m = json.loads((out / "manifest.json").read_text())
+    assert returned == {k: v for k, v in m.items() if k != "files"} and sorted(p.name for p in out.iterdir()) == ["ast", "manifest.json"]
     assert [f["path"] for f in m["files"]] == sorted(FILES, key=os.fsencode)
     assert m["totals"]["files"] == 6 and m["totals"]["parseFailures"] == 1 and m["excluded"] == [] and m["extensions"] == [".inc", ".php"]
     for f in m["files"]:
@@ -120,8 +122,11 @@ def test_golden_empty_file(spark, tmp_path):
     (tmp_path / "e").mkdir()
     (tmp_path / "e" / "empty.php").write_bytes(b"")
     for pretty, expected in ((False, "752bf81d79e6cd2083570f3e4d4f725fd5ebf05676f355ddaea8d01724c53855"), (True, "d3fc519497a98d44a53f26e3f03d3da6fdeb788ba0bf549d2c7e55ffe3955077")):
-        m = extract_tree(spark, str(tmp_path / "e"), str(tmp_path / "o"), pretty=pretty)
-        assert m["files"][0]["astSha256"] == expected
+        extract_tree(spark, str(tmp_path / "e"), str(tmp_path / "o"), pretty=pretty)
+        assert [r.astSha256 for r in manifest_entries(spark, str(tmp_path / "o")).collect()] == [expected]
+    (tmp_path / "e" / "empty.php").unlink()
+    m = extract_tree(spark, str(tmp_path / "e"), str(tmp_path / "o"))
+    assert m["totals"] == {"files": 0, "nodes": 0, "parseFailures": 0} and json.loads((tmp_path / "o" / "manifest.json").read_text()) == m | {"files": []}
 
 
 def trees_of(spark, sources):
