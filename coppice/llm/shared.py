@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +17,10 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Texts are handled in slices of about this many bytes, so a Python worker's
 #: memory does not follow the Arrow batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 512 << 10
+
+#: Bytes of an Arrow batch between Spark and a Python worker (a longer row is a batch by itself).
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own if all is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return folder or tempfile.mkdtemp(prefix="coppice-")
 
 
+def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes, unless the session sets a bound of its own."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # the default
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # a worker outlives its task
+
+    return df.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
@@ -61,13 +80,13 @@ def texts_of(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows holding about SLICE_BYTES of ``column`` (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of rows holding about ``most`` bytes of ``column`` (one row at least)."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = held = 0
         for row, n in enumerate(lengths):
-            if row > start and held + n > SLICE_BYTES:
+            if row > start and held + n > most:
                 yield batch.slice(start, row - start)
                 start, held = row, 0
             held += int(n)
