@@ -7,8 +7,9 @@ probability of good quality then decides.  Only pattern counts (at most
 3 ** number of rules, whatever the corpus size) reach the driver.
 
 Defined cases: a null text counts as empty (no words, so it fails the base
-rules); repeated rows are judged alike; an empty table gives an empty result;
-all columns of the input are kept and none of their names matters, since the
+rules); repeated rows are judged alike; an empty table gives an empty result; a
+text of any length is looked at whole, in pieces; a posterior equal to the
+threshold keeps; all columns of the input are kept and none of their names matters, since the
 statistics travel in one struct.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, slices, texts_of
-from .words import Words
+from .shared import cut, mapped, slices, texts_of
+from .words import PIECE, Words
 
 STATS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -34,6 +35,26 @@ SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 WINDOW = 3
 
 
+def _class(test) -> np.ndarray:
+    return np.array([test(chr(b)) for b in range(256)], np.int64)
+
+
+#: Bytes that a statistic counts.
+CLASSES = {
+    "n_marks": _class(lambda c: "!" <= c <= "~" and not c.isalnum()), "n_upper": _class(lambda c: "A" <= c <= "Z"),
+    "n_letters": _class(lambda c: "A" <= c <= "Z" or "a" <= c <= "z"), "n_exclaim": _class(lambda c: c == "!"), "n_pipes": _class(lambda c: c == "|"),
+}
+
+
+def byte_counts(words: Words) -> np.ndarray:
+    """How often each byte occurs in each row, in pieces, as counting widens its input."""
+    out = np.zeros((len(words.offsets) - 1, 256), np.int64)
+    for row, (start, end) in enumerate(zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist())):
+        for at in range(start, end, PIECE):
+            out[row] += np.bincount(words.data[at : min(at + PIECE, end)], minlength=256)
+    return out
+
+
 def line_counts(text: str) -> tuple[int, int]:
     """Lines holding a word, and those of them equal to an earlier line."""
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
@@ -48,12 +69,9 @@ def text_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     n_words = words.counts()
     out = {s: np.zeros(len(texts), np.int64) for s in STATS}
     out["n_words"] = n_words
-    upper = np.isin(words.data, np.arange(65, 91, dtype=np.uint8))
-    letters = upper | np.isin(words.data, np.arange(97, 123, dtype=np.uint8))
-    marks = (words.data > 32) & (words.data < 127) & ~letters & ~np.isin(words.data, np.arange(48, 58, dtype=np.uint8))
-    for name, hit in (("n_marks", marks), ("n_upper", upper), ("n_letters", letters), ("n_exclaim", words.data == ord("!")), ("n_pipes", words.data == ord("|"))):
-        total = np.concatenate([[0], np.cumsum(hit)])
-        out[name] = total[words.offsets[1:]] - total[words.offsets[:-1]]
+    seen = byte_counts(words)
+    for name, wanted in CLASSES.items():
+        out[name] = seen @ wanted
     for row, text in enumerate(texts.to_pylist()):
         out["word_chars"][row] = len(text) - sum(map(text.count, BLANKS))
         out["n_symbols"][row] = sum(map(text.count, SYMBOLS))
@@ -90,7 +108,7 @@ def with_stats(docs: DataFrame, keep: list[str], text: str = "text", name: str =
             columns = [batch.column("row"), struct] + [batch.column("text")] * carried
             yield pa.RecordBatch.from_arrays(columns, ["row", "stats", "text"][: len(columns)])
 
-    done = packed.mapInArrow(run, T.StructType(fields))
+    done = mapped(packed, run, T.StructType(fields))
     back = [F.col("text").alias(text) if c == text else F.col("row")[c].alias(c) for c in keep]
     return done.select(*back, F.col("stats").alias(name))
 
