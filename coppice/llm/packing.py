@@ -9,7 +9,8 @@ never do.
 
 Defined cases: a null text is empty and gives one piece with the closing id
 alone; repeated rows are packed each; an empty table gives no sequences; ties
-in length go by doc_id and start; other columns are ignored.
+in length go by doc_id and start; a text of any length is tokenised whole and cut
+into full pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, slices, texts_of
+from .shared import SLICE_BYTES, cut, mapped, slices, texts_of
 
 VOCABULARY, CLOSING_ID, SEQUENCE = "word_bpe_49k.json", 1, 2048
 #: Pieces a group has on average, and distinct strings and words a worker remembers the ids of.
-GROUP, MOST_CHUNKS, MOST_WORDS = 8192, 500_000, 400_000
+GROUP, MOST_CHUNKS, MOST_WORDS = 8192, 250_000, 150_000
 
 
 #: Printable ASCII and Latin-1 letters, which lower-case one by one and are in composed form already.
@@ -68,6 +69,8 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            del vocabulary
+        del settings
 
     def split_plain(self, chunk: str) -> list[str]:
         """What the splitting pattern makes of a plain string; letters alone stay whole, and so before a full stop or comma."""
@@ -126,7 +129,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -
         import public_tokenizers
 
         encoder = encoder_at(path or public_tokenizers.path(VOCABULARY))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 * SLICE_BYTES):
             row, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(encoder.encode(texts_of(batch.column("text")).to_pylist())):
                 for at in range(0, len(ids), 4 * sequence):
@@ -140,7 +143,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return mapped(columns, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
