@@ -9,8 +9,9 @@ spent, the last one in part.
 
 Defined cases: a null text has size 0; a null source is a source; a source
 without words has target 0; rows of equal id, source and size are decided on
-one by one, in any order among equals; an empty table gives an empty mix; other columns are ignored (plan) or
-kept (applied).
+one by one, in any order among equals; a text of any length counts whole; an
+empty table gives an empty mix; other columns are ignored (plan) or kept
+(applied).
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ it, and each word of its kind's context list nearby raises it further; it is
 added at THRESHOLD or more, and only where no stronger span overlaps it.
 
 Defined cases: a null text is empty and has no spans; repeated rows give the
-same spans each; other columns are ignored (span table) or kept (masking).
+same spans each; a text of any length is searched whole, in time linear in it;
+of proposals with equal scores the earlier goes first; an empty table gives an
+empty result; other columns are ignored (span table) or kept (masking).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, texts_of
+from .shared import mapped, slices, texts_of
 from .spans import Occupied, Span, masked, span_table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -135,7 +137,7 @@ def mapped_text(docs: DataFrame, change: Callable[[str], str]) -> DataFrame:
             out = [None if t is None else change(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
-    done = packed.mapInArrow(run, packed.schema)
+    done = mapped(packed, run, packed.schema)
     back = {c: F.col("row")[c] for c in docs.columns if c != "text"} | {"text": F.col("text")}
     if "n_chars" in back:
         back["n_chars"] = F.when(F.col("text").isNull(), F.col("row")["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)

@@ -12,7 +12,9 @@ drawn by a hash of their id; documents whose crc32(id) mod 4 is 2 are held out.
 Defined cases: a null text is empty and scored as such; labels other than 0 and
 1 are ignored, and of repeated labels of one id the smaller counts; without
 labels of both classes the score is the share of label 1 (with one more of
-each); repeated rows score alike; other columns are ignored.
+each); repeated rows score alike, and so do rows with equal statistics; a text of
+any length is looked at whole; a score equal to THRESHOLD predicts 1; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

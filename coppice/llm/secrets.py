@@ -11,7 +11,9 @@ of its parts, so a key joined to words by such a sign is found; a key glued to
 words without a sign is measured with them.
 
 Defined cases: a null text is empty and has no spans; repeated rows give the
-same spans each; other columns are ignored.
+same spans each; a text of any length is searched whole, in time linear in it;
+of stretches with equal sums the shorter is taken; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, texts_of
+from .shared import mapped, slices, texts_of
 
 Span = tuple[int, int, str]  # start, end (code points, end exclusive), kind
 
@@ -72,7 +72,7 @@ def span_table(docs: DataFrame, find: Callable[[], Callable[[str], tuple[list[Sp
             columns = [batch.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in base_kinds), pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(added, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 def masked(text: str, spans: list[Span]) -> str:
