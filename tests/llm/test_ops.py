@@ -346,9 +346,9 @@ def test_sharding(docs, empty):
 
 
 def test_communication_matrix():
-    m = sharding.communication_matrix([5, 0, 17, 100], 7)
+    m = sharding.communication_matrix([5, 0, 17, 100], [18, 18, 18, 17, 17, 17, 17], np.random.default_rng(3))
     assert m.sum(1).tolist() == [5, 0, 17, 100] and m.sum(0).max() - m.sum(0).min() <= 1
-    assert sharding.communication_matrix([3 * 10**9, 10**9], 4).sum(0).tolist() == [10**9] * 4
+    assert sharding.communication_matrix([3 * 10**9, 10**9], [10**9] * 4, np.random.default_rng(3)).sum(0).tolist() == [10**9] * 4
 
 
 CARD, IBAN = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
@@ -431,3 +431,144 @@ def test_occupied():
     assert taken.free(0, 5) and taken.free(12, 20) and not taken.free(11, 13) and not taken.free(0, 30)
     taken.add(12, 14)
     assert not taken.free(13, 15) and taken.free(14, 20)
+
+
+def test_ngram_rows_without_id_and_with_one_id(spark):
+    """A row without doc_id links others; a doc_id with two texts is one document; each text is judged by itself."""
+    base = [f"w{i}" for i in range(100)]
+    near = lambda n: " ".join(base[:n] + [f"x{i}" for i in range(100 - n)])
+    rows = [(3, near(100), 1), (None, near(92), 1), (2, near(84), 1), (7, "quite another text here today", 1), (7, "one more text without a copy", 2), (8, "one more text without a copy", 3), (9, None, 4), (9, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    got = sorted(map(tuple, ngram_join.ngram_components(df, 5, 80).collect()), key=str)
+    of = collections.defaultdict(set)
+    for doc_id, _, component in got:
+        of[doc_id].add(component)
+    assert of == {3: {2}, None: {2}, 2: {2}, 7: {7}, 8: {7}, 9: {9}}
+    kept = sorted((r.doc_id, r.text, r.row_key) for r in ngram_join.keep_first(df, 5, 80).fillna("", ["text"]).collect())
+    assert kept == [(2, near(84), 1), (7, "one more text without a copy", 2), (7, "quite another text here today", 1), (9, "", 4), (9, "", 4)]
+
+
+def test_ngram_large_groups(spark):
+    """Groups beyond a block and beyond what a task gathers, with links between components only."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(3):
+        base = words(rng, 120, 5000).split()
+        for k in range(400):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 12)):
+                copy[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            rows.append((1000 * g + k, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df, 3, 90).collect()}
+    assert got == brute_components(rows, 3, 90)
+
+
+def test_tile_members():
+    """Packed postings give every shared tile with all sets that post it."""
+    rng = np.random.default_rng(2)
+    elements = [np.unique(rng.integers(0, 1 << 63, 200, dtype=np.int64).astype(np.uint64)) for _ in range(20)]
+    elements += [np.unique(np.concatenate([e[:195], rng.integers(0, 1 << 63, 5, dtype=np.int64).astype(np.uint64)])) for e in elements[:10] for _ in range(3)]
+    signatures = [ngram_join.signature(e) for e in elements]
+    for i in range(10):
+        for j in range(20 + 3 * i, 23 + 3 * i):
+            bits = int(np.bitwise_count(np.bitwise_xor(*ngram_join.folded([signatures[i], signatures[j]]))).sum())
+            assert bits <= len(np.setxor1d(elements[i], elements[j])) and ngram_join.may_link(np.array(400), np.array(bits), 90)
+
+
+def test_nearest_by_footrule(spark):
+    """Files large enough that the footrule decides what is rescored, with more pivots than an order keeps; and the exact setting."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    exact = x.astype(np.float64)
+    queries = np.arange(0, 20_000, 500)
+    score = exact[queries] @ exact.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    truth = {int(q): set(np.lexsort((np.arange(20_000), -s))[:20].tolist()) for q, s in zip(queries, score)}
+    found = collections.defaultdict(set)
+    for r in permutation_index.nearest(df, 500, 20).collect():
+        found[r.query_id].add(r.vec_id)
+    assert sum(len(found[q] & t) for q, t in truth.items()) >= 0.9 * 20 * len(truth)
+    few = df.where("vec_id < 2000")
+    exact_few = exact[:2000]
+    got = collections.defaultdict(list)
+    for r in permutation_index.nearest(few, 100, 20, probed=1, reranked=1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 2000, 100):
+        s = exact_few @ exact_few[q]
+        s[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(2000), -s))[:20].tolist()
+
+
+def test_nearest_takes_the_usual_length(spark):
+    rows = [(i, [float(i % 7 + 1), 1.0, 2.0]) for i in range(30)] + [(100 + i, [5.0] * 8) for i in range(5)]
+    got = permutation_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20).collect()
+    assert {r.query_id for r in got} == {0, 20} and all(r.vec_id < 100 for r in got)
+
+
+def test_hypergeometric_law():
+    """Inversion against exact binomials of a small population, and margins of a large one."""
+    from math import comb
+
+    rng = np.random.default_rng(1)
+    good, bad, n = 12, 20, 9
+    drawn = np.bincount([sharding.hypergeometric(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1)
+    law = np.array([comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(n + 1)]) * 20_000
+    assert ((drawn - law) ** 2 / np.maximum(law, 1)).sum() < 35
+    big = np.array([sharding.hypergeometric(rng, 10**12, 3 * 10**12, 4 * 10**9) for _ in range(400)])
+    assert abs(big.mean() - 10**9) < 5 * (4e9 * 0.25 * 0.75) ** 0.5 / 20 and 0.8 < big.std() / (4e9 * 0.25 * 0.75) ** 0.5 < 1.2
+
+
+def test_two_level_matrix(spark):
+    """Every partition's ends reach its rows, shards get their exact sizes, and one cell follows the law of one level."""
+    counted = spark.createDataFrame([(p, 3 + p % 5) for p in range(16)], "part long, n long").repartition(3)
+    first = []
+    for seed in range(40):
+        ends = {r.part: r.ends for r in sharding.dealt_ends(counted, 16, 5, seed).collect()}
+        rows = np.diff(np.array([[0, *ends[p]] for p in range(16)]), axis=1)
+        assert rows.sum(1).tolist() == [3 + p % 5 for p in range(16)] and (rows >= 0).all() and rows.sum(0).max() - rows.sum(0).min() <= 1
+        first.append(rows[4, 0])
+    assert 0.7 < np.mean(first) < 2.1  # 7 / 5 on average
+
+
+def test_base_spans_equal_plain_patterns():
+    """Cards, phones and secrets: the searches in use against the plain patterns, on random text."""
+    card, phone = re.compile(r"[0-9](?:[\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    access, hexes = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+
+    def luhn(s):
+        d = [int(c) for c in s if c.isdigit()][::-1]
+        return sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])
+
+    rng = random.Random(6)
+    n_cards = n_secrets = 0
+    for _ in range(12000):
+        text = "".join(rng.choice(["0", "1", "4", "7", "9", "41", "55", "1234", "5678", "90", " ", "-", "+", "(", ")", ".", "a"]) for _ in range(rng.randrange(60)))
+        expected = [(m.start(), m.end(), "card") for m in card.finditer(text) if 14 <= sum(c.isdigit() for c in m[0]) <= 19 and luhn(m[0]) % 10 == 0]
+        n_cards += len(expected)
+        expected += [(m.start(), m.end(), "phone") for m in phone.finditer(text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+        assert [s for s in pii.base_spans(text) if s[2] in ("card", "phone")] == expected
+        text = "".join(rng.choice(["password", "Token", "api_KEY", "apikey", "secret", "ſecret", "AKIA", "A1B2", "deadbeef", "0123456789abcdef", '"', "'", " ", ":", "=", "x", "-", "+/", "İ"]) for _ in range(rng.randrange(14)))
+        expected = [(m.start(), m.end(), "assign") for m in assign.finditer(text) if len(m[1]) >= 8] + [(m.start(), m.end(), "access") for m in access.finditer(text) if len(m[0]) >= 16] + [(m.start(), m.end(), "hex") for m in hexes.finditer(text) if len(m[0]) >= 32]
+        n_secrets += len(expected)
+        assert secrets.base_spans(text) == expected
+    assert n_cards >= 15 and n_secrets > 500
+
+
+def test_rules_and_scores_by_hand(spark):
+    """Compiled rules and scores against the same conditions in plain Python, bounds met exactly included."""
+    rng = random.Random(3)
+    rules = [tuple(sorted({f: (f, low, high) for f, low, high in ((rng.randrange(3), rng.choice([float("-inf"), 0.0, 1.0]), rng.choice([float("inf"), 2.0, 3.0])) for _ in range(2))}.values())) for _ in range(12)]
+    rules = [r for r in rules if any(low != float("-inf") or high != float("inf") for _, low, high in r)]
+    model = rule_ensemble.RuleEnsemble(-0.3, [(rng.uniform(-1, 1), r) for r in rules])
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0, 2.0, 3.0, 4.0]) for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, v array<double>")
+    got = {r.i: r.score for r in df.select("i", model.score([F.col("v")[k] for k in range(3)]).alias("score")).collect()}
+    for i, v in rows:
+        odds = -0.3 + sum(w for w, r in model.weighted if all(low < v[f] <= high for f, low, high in r))
+        assert abs(got[i] - 1 / (1 + np.exp(-odds))) < 1e-12
+    text = "If (feature 0 <= 0.5)\n   If (feature 1 > 2.0)\n    Predict: 1.0\n   Else (feature 1 <= 2.0)\n    Predict: 0.0\n  Else (feature 0 > 0.5)\n   Predict: 1.0"
+    inf = float("inf")
+    assert set(rule_ensemble.rules_of("Tree 0:\n  " + text)) == {((0, -inf, 0.5),), ((0, -inf, 0.5), (1, 2.0, inf)), ((0, -inf, 0.5), (1, -inf, 2.0)), ((0, 0.5, inf),)}
