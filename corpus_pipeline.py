@@ -3,6 +3,12 @@
 Every stage takes the documents its predecessor kept; all but the last return
 the columns of documents.  Near copies are sets of five-word shingles with a
 similarity of 0.8 or more.
+
+Defined cases: a null, empty or wordless text fails the quality rules and goes;
+rows equal in doc_id and text are one document to the near-duplicate stage,
+which keeps it once; rows with a null doc_id are kept where nothing with an id is
+their copy; texts of any length go through whole; an empty table stays empty;
+further columns, whatever their names, are carried to the last stage.
 """
 
 from __future__ import annotations
