@@ -142,8 +142,8 @@ def parsed(files: DataFrame) -> DataFrame:
     c, file = F.col("content"), C.file_id(F.col("file_ord"))
     all_kids = F.coalesce("top", F.array().cast(_KIDS))
     ends = F.struct(F.lit(1).alias("startLine"), C.last_line(c).alias("endLine"), F.lit(0).alias("startCol"), C.end_col(c).alias("endCol"), F.lit(0).alias("startByte"), F.octet_length(c).alias("endByte"))
-    count = F.coalesce(F.size("found"), F.lit(0))
-    root = _node(file, F.lit(0), F.when(count > 0, count).otherwise(0) + 1, nothing("int"), F.lit("File"), ends, all_kids, F.array(F.struct(F.lit("stmts").alias("name"), F.lit(True).alias("many"))), F.array().cast(_HOLES), F.lit("{}"))
+    count = F.coalesce(F.array_size("found"), F.lit(0))
+    root = _node(file, F.lit(0), count + 1, nothing("int"), F.lit("File"), ends, all_kids, F.array(F.struct(F.lit("stmts").alias("name"), F.lit(True).alias("many"))), F.array().cast(_HOLES), F.lit("{}"))
 
     def node(e: Column) -> Column:
         o = e["own"]
@@ -153,7 +153,7 @@ def parsed(files: DataFrame) -> DataFrame:
     found = F.coalesce(F.transform("found", node), F.array().cast(f"array<{_NODE}>"))
     errors = F.transform(F.coalesce("errors", F.array().cast("array<struct<line:int,message:string>>")), lambda e: F.struct(e["message"].alias("message"), e["line"].alias("startLine"), e["line"].alias("endLine")))
     joined = given.join(of_file, "file_ord", "left")
-    return joined.select("file_ord", file.alias("file_id"), "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"), F.concat(F.array(root.cast(_NODE)), found).alias("nodes"), errors.alias("parse_errors"))
+    return joined.select("file_ord", file.alias("file_id"), "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"), (count + 1).alias("node_count"), F.concat(F.array(root.cast(_NODE)), found).alias("nodes"), errors.alias("parse_errors"))
 
 
 def _node(file: Column, n: Column, subtree_end: Column, parent: Column, kind: Column, loc: Column, kids: Column, fields: Column, holes: Column, attrs: Column) -> Column:
@@ -200,7 +200,7 @@ def documents(files: DataFrame, pretty: bool = False) -> DataFrame:
     """The AST document of each file as canonical JSON, and its hash."""
     p = parsed(files)
     root = C.node_id(F.col("file_id"), F.lit(0))
-    count = F.size("nodes")
+    count = F.col("node_count")
     compact = F.concat(
         F.lit('{"bytes":'), _number(F.col("bytes")), F.lit(',"fileId":"'), F.col("file_id"), F.lit('","nodeCount":'), _number(count), F.lit(',"nodes":['),
         F.array_join(F.transform("nodes", lambda n: _node_json(F.col("file_id"), n)), ","), F.lit('],"parseErrors":'), _errors_json(F.col("parse_errors")),
@@ -209,7 +209,7 @@ def documents(files: DataFrame, pretty: bool = False) -> DataFrame:
     )
     out = p.select(
         "file_ord", "file_id", "path", "sha256", "bytes", "parse_errors", (F.size("parse_errors") == 0).alias("parse_ok"),
-        F.size("parse_errors").alias("parse_error_count"), root.alias("root_id"), count.alias("node_count"), "nodes", compact.alias("ast_json"),
+        F.size("parse_errors").alias("parse_error_count"), root.alias("root_id"), "node_count", "nodes", compact.alias("ast_json"),
     )
     if pretty:
         out = out.withColumn("ast_json", indented("ast_json"))
