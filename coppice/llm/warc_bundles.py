@@ -15,8 +15,8 @@ folder's URI (pyarrow.fs), by default the folder all executors share.
 
 Defined cases: a null html is an empty payload; a null page_id is written as
 such, and a null url as a URN of the page; rows repeating both page_id and
-payload of a response are responses too; an empty table writes no bundle; other
-columns are ignored.
+payload of a response are responses too; a payload of any length is one record in
+one frame; an empty table writes no bundle; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, shared_dir, slices
+from .shared import broadcast_if_small, cut, mapped, shared_dir, slices
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 256 << 20, 3
+#: Plain bytes of records that a task reads back on average.
+TASK_BYTES = 64 << 20
 DATE = "2025-01-01T00:00:00Z"
 # Fixed values of the seekable format: skippable frame magic, seek table magic, table without checksums.
 SKIPPABLE, SEEKABLE, DESCRIPTOR = 0x184D2A5E, 0x8F92EAB1, 0
@@ -131,9 +133,11 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write every page; the index (page_id, record_id, file, frame, at, length)."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    firsts = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
-    known = rows.join(firsts, "digest", "left")
-    known = known.withColumn("revisit", (F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")))
+    # Only digests that occur again matter, so payloads stay where they are while those are few.
+    repeated = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = cut(repeated.select("digest", "first", F.lit(True).alias("again")))
+    known = rows.join(broadcast_if_small(repeated), "digest", "left")
+    known = known.withColumn("revisit", (F.octet_length("payload") >= least) & F.coalesce("again", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = open_folder(folder)
@@ -158,7 +162,7 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     index_names = ["page_id", "record_id", "file", "frame", "at", "length"]
     index_types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
     schema = "page_id long, record_id string, file string, frame long, at long, length long"
-    return known.select("page_id", "url", "payload", "first", "revisit").mapInArrow(run, schema)
+    return mapped(known.select("page_id", "url", "payload", "first", "revisit"), run, schema)
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
@@ -202,9 +206,12 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 out, held = [], 0
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
 
-    # A frame's records stay together; the frames of one bundle may go to several tasks.
-    dealt = index.select("file", "frame", "at").repartition("file", "frame").sortWithinPartitions("file", "frame", "at")
-    return dealt.mapInArrow(run, schema)
+    # A frame's records stay together; the frames of one bundle may go to several tasks.  Rows of the index are
+    # small and what they point to is not, so the number of tasks follows the bytes behind them.
+    behind = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(2 * index.sparkSession.sparkContext.defaultParallelism, behind // TASK_BYTES)
+    dealt = index.select("file", "frame", "at").repartition(tasks, "file", "frame").sortWithinPartitions("file", "frame", "at")
+    return mapped(dealt, run, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
