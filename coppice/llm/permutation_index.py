@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by the order in which it sees a set of pivots.  It is
-posted to the inverted files of its first POSTED pivots, with the first KEPT of
-the order; a query probes the files of its nearest third of pivots.  In a file
-candidates are ranked by the footrule distance of their orders to the query's,
-and the best RERANKED share is rescored by the inner product in double
-precision.  Pivots grow as the square root of the number of vectors.
+posted to the inverted files of its first ``posted`` pivots, with the first KEPT
+of the order; a query probes the files of its nearest pivots, ``probes`` times
+the root of their number.  In a file candidates are ranked by the footrule
+distance of their orders to the query's, and the best ``reranked`` share is
+rescored by the inner product in double precision.  Pivots grow as the square
+root of the number of vectors, so the share of the table that a query meets
+falls as the table grows; one law holds at every size, and with all files probed
+and all rows rescored the search is exact.
 
 Inner products need no unit vectors: with one more coordinate, the root of the
 largest squared norm less the vector's own (0 for a query), the nearest by angle
@@ -15,10 +18,11 @@ Files of a popular pivot are cut into blocks on both sides, so no task holds
 one whole; pivots are a bounded sample (at most MOST_PIVOTS distinct vectors by
 a hash of the id), every vector is indexed.
 
-Defined cases: null and zero vectors, those of another length than the first
-pivot's, and those with null or non-finite components take no part, as query or
-candidate; a null vec_id takes no part; repeated rows of one id count once;
-equal scores go to the smaller vec_id; other columns are ignored.
+Defined cases: null and zero vectors, those of another length than most (of
+equally frequent lengths the smallest), and those with null or non-finite
+components take no part, as query or candidate; a null vec_id takes no part;
+repeated rows of one id count once; equal scores go to the smaller vec_id; an
+empty table gives no rows; other columns, long texts among them, are ignored.
 """
 
 from __future__ import annotations
@@ -32,32 +36,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, mapped
 
-POSTED, KEPT, RERANKED, LEAST_RERANKED = 4, 64, 0.45, 160
-LEAST_PIVOTS, MOST_PIVOTS, LEAST_PROBES, BLOCK_ROWS = 256, 4096, 24, 8192
+POSTED, KEPT, RERANKED, PROBES = 4, 64, 0.6, 3.6
+MOST_PIVOTS, BLOCK_ROWS = 4096, 8192
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v binary of doubles, norm2): each id once, without vectors that take no part."""
-    v = F.col("embedding").cast("array<double>")
-    kept = vectors.select(F.col("vec_id").cast("long"), v.alias("e")).where("vec_id is not null and e is not null and size(e) > 0")
+def usable(vectors: DataFrame) -> tuple[DataFrame, type]:
+    """(vec_id, v binary, norm2), each id once, without vectors that take no part; and the number type of v.
+
+    Vectors of floats stay floats, half the bytes to move; they are widened before any product.
+    """
+    narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = np.float32 if narrow else np.float64
+    e = F.col("embedding") if narrow else F.col("embedding").cast("array<double>")
+    kept = vectors.select(F.col("vec_id").cast("long"), e.alias("e")).where("vec_id is not null and e is not null and size(e) > 0")
     kept = kept.where("forall(e, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(e, x -> x <> 0)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.array(x, np.float64) for x in batch.column("e").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([float(x @ x) for x in rows], pa.float64())], ["vec_id", "v", "norm2"])
+            rows = [np.array(x, kind) for x in batch.column("e").to_pylist()]
+            norms = [float((wide := x.astype(np.float64)) @ wide) for x in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array(norms, pa.float64())], ["vec_id", "v", "norm2"])
 
-    return kept.mapInArrow(run, "vec_id long, v binary, norm2 double").dropDuplicates(["vec_id"])
+    return mapped(kept, run, "vec_id long, v binary, norm2 double").dropDuplicates(["vec_id"]), kind
 
 
-def choose_pivots(vectors: DataFrame, n_rows: int, seed: int = 7) -> np.ndarray:
+def choose_pivots(vectors: DataFrame, n_rows: int, kind: type, seed: int = 7) -> np.ndarray:
     """Distinct vectors of the smallest id hashes, about twice the root of the table and MOST_PIVOTS at most."""
-    n = min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << round(2 * n_rows**0.5).bit_length() - 1))
+    n = min(MOST_PIVOTS, max(1, round(2 * n_rows**0.5)))
     sample = vectors.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(n).select("v").collect()
-    rows = [np.frombuffer(r.v, np.float64) for r in sample]
-    return np.stack([r for r in rows if len(r) == len(rows[0])]) if rows else np.zeros((0, 1))
+    return np.stack([np.frombuffer(r.v, kind) for r in sample]).astype(np.float64)
 
 
 def lifted(x: np.ndarray, most: float) -> np.ndarray:
@@ -66,9 +75,13 @@ def lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], axis=1) / most**0.5
 
 
-def posted(vectors: DataFrame, pivots: np.ndarray, most: float, first: int, query: bool) -> DataFrame:
+def order_type(n_pivots: int) -> type:
+    return np.uint8 if n_pivots <= 256 else np.int16
+
+
+def posted(vectors: DataFrame, kind: type, pivots: np.ndarray, most: float, first: int, query: bool) -> DataFrame:
     """(pivot, vec_id, v, seen): a row for each of the ``first`` pivots of every vector; seen is its order."""
-    anchors, kept = lifted(pivots, most), min(KEPT, len(pivots))
+    anchors, kept, small = lifted(pivots, most), min(KEPT, len(pivots)), order_type(len(pivots))
     given = vectors.sparkSession.sparkContext.broadcast(anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,67 +89,66 @@ def posted(vectors: DataFrame, pivots: np.ndarray, most: float, first: int, quer
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                raw = batch.column("v").to_pylist()
-                right = [i for i, b in enumerate(raw) if len(b) == 8 * (anchors.shape[1] - 1)]
-                if not right:
-                    continue
-                x = np.frombuffer(b"".join(raw[i] for i in right), np.float64).reshape(len(right), -1)
+                x = np.frombuffer(b"".join(batch.column("v").to_pylist()), kind).reshape(batch.num_rows, -1).astype(np.float64)
                 if query:  # its own length plays no part
                     near = (x / np.sqrt((x * x).sum(1))[:, None]) @ anchors[:, :-1].T
                 else:
                     near = lifted(x, most) @ anchors.T
-                order = np.argsort(-near, axis=1, kind="stable").astype(np.int16)
-                take = np.repeat(np.array(right, np.int64), first)
-                seen = [o[:kept].tobytes() for o in order]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(order[:, :first].ravel().astype(np.int32)), batch.column("vec_id").take(pa.array(take)),
-                        batch.column("v").take(pa.array(take)), pa.array([s for s in seen for _ in range(first)], pa.binary()),
-                    ], ["pivot", "vec_id", "v", "seen"],
-                )
-
-    return vectors.select("vec_id", "v").mapInArrow(run, "pivot int, vec_id long, v binary, seen binary")
-
-
-def nearest_in_block(queries: pd.DataFrame, data: pd.DataFrame, n_pivots: int, k: int) -> pd.DataFrame:
-    """The k best of ``data`` for each query, of those ranked first by footrule."""
-    kept = min(KEPT, n_pivots)
+                order = np.argsort(-near, axis=1, kind="stable")
+                take = pa.array(np.repeat(np.arange(batch.num_rows), first))
+                seen = [o.tobytes() for o in order[:, :kept].astype(small)]
+                made = [pa.array(order[:, :first].ravel().astype(np.int32)), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(seen, pa.binary()).take(take)]
+                yield pa.RecordBatch.from_arrays(made, ["pivot", "vec_id", "v", "seen"])
+
+    return mapped(vectors.select("vec_id", "v"), run, "pivot int, vec_id long, v binary, seen binary")
+
+
+def nearest_in_block(queries: pd.DataFrame, data: pd.DataFrame, kind: type, n_pivots: int, k: int, reranked: float) -> pd.DataFrame:
+    """The k best of ``data`` for each query, of those ranked first by footrule (2 * k at least)."""
+    kept, small = min(KEPT, n_pivots), order_type(n_pivots)
     data = data.sort_values("vec_id", kind="stable")
     ids = data["vec_id"].to_numpy()
-    x = np.frombuffer(b"".join(data["v"]), np.float64).reshape(len(data), -1)
-    seen = np.frombuffer(b"".join(data["seen"]), np.int16).reshape(len(data), kept)
+    x = np.frombuffer(b"".join(data["v"]), kind).reshape(len(data), -1).astype(np.float64)
+    seen = np.frombuffer(b"".join(data["seen"]), small).reshape(len(data), kept)
     place = np.arange(kept, dtype=np.int16)
-    take = min(len(data), max(LEAST_RERANKED, k + 1, int(RERANKED * len(data))))
+    take = min(len(data), max(2 * k, int(np.ceil(reranked * len(data)))))
     out: list[tuple] = []
     for query_id, v, order in zip(queries["vec_id"], queries["v"], queries["seen"], strict=True):
         if take < len(data):
             rank = np.full(n_pivots, kept, np.int16)
-            rank[np.frombuffer(order, np.int16)] = place
+            rank[np.frombuffer(order, small)] = place
             footrule = np.abs(rank[seen] - place).sum(axis=1, dtype=np.int64)
             # Ties go by position, that is by vec_id.
             chosen = np.sort(np.argpartition(footrule * len(data) + np.arange(len(data)), take - 1)[:take])
         else:
             chosen = np.arange(len(data))
         chosen = chosen[ids[chosen] != query_id]
-        score = (x[chosen] * np.frombuffer(v, np.float64)).sum(axis=1)
+        score = (x[chosen] * np.frombuffer(v, kind).astype(np.float64)).sum(axis=1)
         best = np.lexsort((ids[chosen], -score))[:k]
         out += [(query_id, ids[chosen[i]], score[i]) for i in best]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
-def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): for vectors whose id is divisible by ``every`` their k nearest found."""
+def nearest(vectors: DataFrame, every: int, k: int, n_posted: int = POSTED, probes: float = PROBES, reranked: float = RERANKED) -> DataFrame:
+    """(query_id, rank, vec_id, score): for vectors whose id is divisible by ``every`` their k nearest found.
+
+    A vector stands in ``n_posted`` files; a query probes ``probes`` times the
+    root of their number and rescores the share ``reranked`` of each.
+    """
     spark = vectors.sparkSession
-    held = cut(usable(vectors))
-    n_rows, most = held.agg(F.count("*"), F.max("norm2")).first()
+    given, kind = usable(vectors)
+    given = cut(given)
     schema = "query_id long, rank int, vec_id long, score double"
-    if not n_rows:
+    length = given.groupBy(F.octet_length("v").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    if length is None:
         return spark.createDataFrame([], schema)
-    pivots = choose_pivots(held, n_rows)
+    held = given.where(F.octet_length("v") == length["length"])
+    most = held.agg(F.max("norm2")).first()[0]
+    pivots = choose_pivots(held, length["count"], kind)
     n_pivots = len(pivots)
-    probes = min(n_pivots, max(LEAST_PROBES, n_pivots // 3))
-    data = posted(held, pivots, most, min(POSTED, n_pivots), query=False)
-    queries = posted(held.where(F.col("vec_id") % every == 0), pivots, most, probes, query=True)
+    probed = int(min(n_pivots, np.ceil(probes * n_pivots**0.5)))
+    data = posted(held, kind, pivots, most, min(n_posted, n_pivots), query=False)
+    queries = posted(held.where(F.col("vec_id") % every == 0), kind, pivots, most, probed, query=True)
     # Sizes of the files on either side: one row a pivot, so at most MOST_PIVOTS.
     blocks = lambda df, name: df.groupBy("pivot").agg(F.expr(f"cast(ceil(count(*) / {BLOCK_ROWS}) as int)").alias(name))
     sizes = cut(blocks(data, "i_n").join(blocks(queries, "j_n"), "pivot"))
@@ -147,7 +159,7 @@ def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
     columns = ["pivot", "i", "j", "vec_id", "v", "seen"]
     left, right = queries.select(columns).groupBy("pivot", "i", "j"), data.select(columns).groupBy("pivot", "i", "j")
     found = left.cogroup(right).applyInPandas(
-        lambda q, d: nearest_in_block(q, d, n_pivots, k) if len(q) and len(d) else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")}),
+        lambda q, d: nearest_in_block(q, d, kind, n_pivots, k, reranked) if len(q) and len(d) else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")}),
         "query_id long, vec_id long, score double",
     )
     # A candidate met in several files has the same score in each.

@@ -494,7 +494,7 @@ def test_nearest_by_footrule(spark):
     few = df.where("vec_id < 2000")
     exact_few = exact[:2000]
     got = collections.defaultdict(list)
-    for r in permutation_index.nearest(few, 100, 20, probed=1, reranked=1).orderBy("query_id", "rank").collect():
+    for r in permutation_index.nearest(few, 100, 20, probes=float("inf"), reranked=1).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     for q in range(0, 2000, 100):
         s = exact_few @ exact_few[q]
