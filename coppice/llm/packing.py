@@ -16,10 +16,12 @@ into full pieces; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from .shared import SLICE_BYTES, cut, mapped, slices, texts_of
 
 VOCABULARY, CLOSING_ID, SEQUENCE = "word_bpe_49k.json", 1, 2048
 #: Pieces a group has on average, and distinct strings and words a worker remembers the ids of.
-GROUP, MOST_CHUNKS, MOST_WORDS = 8192, 250_000, 150_000
+GROUP, MOST_CHUNKS, MOST_WORDS = 8192, 300_000, 150_000
 
 
 #: Printable ASCII and Latin-1 letters, which lower-case one by one and are in composed form already.
@@ -50,6 +52,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,18 +76,24 @@ class Encoder:
             del vocabulary
         del settings
 
-    def split_plain(self, chunk: str) -> list[str]:
-        """What the splitting pattern makes of a plain string; letters alone stay whole, and so before a full stop or comma."""
-        if chunk.isalpha():
-            return [chunk.lower()]
-        if chunk[-1] in ".," and chunk[:-1].isalpha():
-            return [chunk[:-1].lower(), chunk[-1]]
-        return self.pattern.findall(chunk.lower())
-
     def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if PLAIN.fullmatch(c) and "<|" not in c] if self.pattern else []
-        split = {c: self.split_plain(c) for c in plain}
-        new = list({w for words in split.values() for w in words} - self.words.keys())
+        """Remember the ids of new chunks, by way of the words that plain ones fall into."""
+        single: dict[str, str] = {}
+        several: dict[str, list[str]] = {}
+        other: list[str] = []
+        for c in chunks:
+            if self.pattern is None or "<|" in c or not PLAIN.fullmatch(c):
+                other.append(c)
+            elif c.isalpha():
+                single[c] = c.lower()
+            elif c[-1] in ".," and c[:-1].isalpha():  # what the pattern would give
+                several[c] = [c[:-1].lower(), c[-1]]
+            else:
+                several[c] = self.pattern.findall(c.lower())
+        known = self.words
+        new = set(single.values())
+        new.update(*several.values())
+        new = [w for w in new if w not in known]
         if new:
             joined = [" ".join(new[i : i + 1000]) for i in range(0, len(new), 1000)]
             ids = np.concatenate([np.array(e.ids, np.int64) for e in self.model.encode_batch_fast(joined, add_special_tokens=False)])
@@ -91,29 +101,26 @@ class Encoder:
             if len(ends) != len(new):
                 raise ValueError("a word did not end in one token of the vocabulary")
             flat, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
-            self.words.update(zip(new, [flat[a:b] for a, b in zip([0, *ends], ends)]))
-        known = self.words
-        for c, words in split.items():
-            self.chunks[c] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-        other = [c for c in chunks if c not in split]
+            known.update(zip(new, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+        self.chunks.update({c: known[w] for c, w in single.items()})
+        self.chunks.update({c: b"".join([known[w] for w in words]) for c, words in several.items()})
         for c, encoded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.chunks[c] = np.array(encoded.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the closing one, as little-endian 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
+        # What was met first stays: common words come early.
         if len(self.chunks) > MOST_CHUNKS:
-            self.chunks.clear()
+            self.chunks = dict(islice(self.chunks.items(), MOST_CHUNKS // 5))
         if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        found = [list(map(self.chunks.get, words)) for words in split]
-        gaps = [i for i, ids in enumerate(found) if None in ids]
-        self.learn(list({w for i in gaps for w, ids in zip(split[i], found[i]) if ids is None}))
-        known = self.chunks
-        for i in gaps:
-            found[i] = [known[w] if ids is None else ids for w, ids in zip(split[i], found[i])]
+            self.words = dict(islice(self.words.items(), MOST_WORDS // 5))
+        met: set[str] = set()
+        met.update(*split)
+        self.learn([c for c in met if c not in self.chunks])
+        of = self.chunks.__getitem__
         closing = np.array([CLOSING_ID], "<u4").tobytes()
-        return [b"".join(ids) + closing for ids in found]
+        return [b"".join(map(of, words)) + closing for words in split]
 
 
 @cache
