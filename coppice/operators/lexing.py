@@ -43,17 +43,24 @@ def kind_of(pos: Column, t: Column) -> Column:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """(file_ord, pos, type, text, and PLACE) of every match; ``files`` is dealt by file_ord."""
+    """(file_ord, pos, type, text, tag, opened, and PLACE) of every match; ``files`` is dealt by file_ord.
+
+    Of gaps and space only what matters goes on: the bytes of the closing tag a
+    gap begins with (with its newline) and of the opening tag it ends with.
+    """
     cut = files.select("file_ord", F.posexplode(F.regexp_extract_all(C.byte_text(F.col("content")), F.lit(TOKEN), F.lit(0))).alias("pos", "text"))
     text, size = F.col("text"), F.length("text")
     breaks = size - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     after = F.when(breaks > 0, size - F.locate("\n", F.reverse(text)) + 1)  # characters up to the last line's start
     before = W.partitionBy("file_ord").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    placed = cut.select("file_ord", "pos", "text", size.alias("size"), breaks.alias("breaks"), after.alias("after"), kind_of(F.col("pos"), text).alias("type"))
+    kind = kind_of(F.col("pos"), text)
+    tag = F.when(F.col("pos") == 0, 0).when(text.startswith("?>\r\n"), 4).when(text.startswith("?>\n"), 3).otherwise(2)
+    opened = F.when(text.endswith("<?="), 3).when(F.lower(F.substring(text, -5, 5)) == "<?php", 5).otherwise(0)
+    placed = cut.select("file_ord", "pos", F.when(kind.isin("gap", "skip"), "").otherwise(text).alias("text"), tag.alias("tag"), opened.alias("opened"), size.alias("size"), breaks.alias("breaks"), after.alias("after"), kind.alias("type"))
     placed = placed.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")).withColumn("line", (F.coalesce(F.sum("breaks").over(before), F.lit(0)) + 1).cast("int"))
     placed = placed.withColumn("line_start", F.coalesce(F.max(F.col("start") + F.col("after")).over(before), F.lit(0)))
     placed = placed.withColumn("end", F.col("start") + F.col("size")).withColumn("end_line", F.col("line") + F.col("breaks"))
-    return placed.withColumn("end_line_start", F.coalesce(F.col("start") + F.col("after"), "line_start")).select("file_ord", "pos", "type", "text", *PLACE)
+    return placed.withColumn("end_line_start", F.coalesce(F.col("start") + F.col("after"), "line_start")).select("file_ord", "pos", "type", "text", "tag", "opened", *PLACE)
 
 
 def items(files: DataFrame) -> DataFrame:
@@ -65,8 +72,7 @@ def items(files: DataFrame) -> DataFrame:
     """
     t = tokens(files).where("type <> 'skip'")
     text, place = F.col("text"), {c: F.col(c) for c in PLACE}
-    tag = F.when(F.col("pos") == 0, 0).when(text.startswith("?>\r\n"), 4).when(text.startswith("?>\n"), 3).otherwise(2)
-    opened = F.when(text.endswith("<?="), 3).when(F.lower(F.substring(text, -5, 5)) == "<?php", 5).otherwise(0)
+    tag, opened = F.col("tag"), F.col("opened")
     begin, stop = F.col("start") + tag, F.col("end") - opened
     broken = tag > 2  # the tag's own newline is not of the HTML
     here = F.struct(begin.alias("start"), F.when(broken, F.col("line") + 1).otherwise(F.col("line")).alias("line"), F.when(broken, begin).otherwise(F.col("line_start")).alias("line_start"))

@@ -86,10 +86,7 @@ def without_broken(df: DataFrame) -> DataFrame:
     # What is left behind the error stands at the top.
     behind = F.col("first").isNotNull() & (F.col("at") > F.col("last"))
     kind = F.when(F.col("at") == F.col("first"), F.when(F.col("opens").isNotNull(), "unclosed").otherwise("unexpected")).otherwise(F.col("type"))
-    for c, v in (("type", kind), ("level", F.when(behind, 0).otherwise(F.col("level"))), ("opens", F.when(~behind, F.col("opens"))), ("closes", F.when(~behind, F.col("closes")))):
-        kept = kept.withColumn(f"new_{c}", v)
-    for c in ("type", "level", "opens", "closes"):
-        kept = kept.drop(c).withColumnRenamed(f"new_{c}", c)
+    kept = kept.withColumns({"type": kind, "level": F.when(behind, 0).otherwise(F.col("level")), "opens": F.when(~behind, F.col("opens")), "closes": F.when(~behind, F.col("closes"))})
     return kept.drop("first", "last", "wrong")
 
 
@@ -114,10 +111,9 @@ def statements(df: DataFrame) -> DataFrame:
     held = held.withColumn("outer", F.col("level") == F.coalesce(F.col("holder.level") + 1, F.lit(0)))
     # A closing mark belongs to its block; else and elseif also begin what follows.
     held = held.where("not ends_block or word in ('else', 'elseif')")
-    for c in ("end", "end_line", "end_line_start"):
-        upto = F.when(F.col("partner.goes_on"), F.col(f"partner.{c.removeprefix('end_') if c != 'end' else 'start'}")).otherwise(F.col(f"partner.{c}"))
-        held = held.withColumn(c, F.when(F.col("opens_block"), upto).otherwise(F.col(c)))
-    held = held.withColumn("type", F.when(F.col("opens_block"), "block").otherwise(F.col("type")))
+    upto = lambda c: F.when(F.col("partner.goes_on"), F.col(f"partner.{c.removeprefix('end_') if c != 'end' else 'start'}")).otherwise(F.col(f"partner.{c}"))
+    whole = {c: F.when(F.col("opens_block"), upto(c)).otherwise(F.col(c)) for c in PLACE[3:]}
+    held = held.withColumns(whole | {"type": F.when(F.col("opens_block"), "block").otherwise(F.col("type"))})
     stream = _in_file("block")
     before = stream.rowsBetween(W.unboundedPreceding, -1)
     html = F.col("type").isin("html", "unclosed", "unexpected")  # a statement by itself

@@ -82,13 +82,12 @@ def found_nodes(files: DataFrame) -> DataFrame:
     df = df.withColumn("upto", F.max(ends).over(W.partitionBy("file_ord", "block", "root", "chain")))
     df = df.withColumn("upto", F.when(F.col("kind") == "Stmt_Case", F.max("upto").over(W.partitionBy("file_ord", "block", "root", "case"))).otherwise(F.col("upto")))
     heads = F.col("root") & ~F.col("chained") & F.col("kind").isin("Stmt_If", "Stmt_TryCatch", "Stmt_Do", "Stmt_Case")
-    for c in PLACE[3:]:
-        df = df.withColumn(c, F.when(heads, F.col("upto")[c]).otherwise(F.col(c)))
+    df = df.withColumns({c: F.when(heads, F.col("upto")[c]).otherwise(F.col(c)) for c in PLACE[3:]})
     # What has no head of its kind, or comes a second time, is a statement like others.
     field, head, again = F.lit(None).cast("string"), F.last(F.when(~F.col("chained"), F.col("kind")), ignorenulls=True).over(order), F.row_number().over(W.partitionBy("file_ord", "block", "root", "chain", "kind").orderBy("stmt")) > 1
     for kind, (name, of) in nesting.CHAINED.items():
         field = F.when((F.col("kind") == kind) & (F.col("head") == of) & (F.lit(name in nesting.LISTED) | ~F.col("again")), name).otherwise(field)
-    df = df.withColumn("head", head).withColumn("again", again)
+    df = df.withColumns({"head": head, "again": again})
     return df.withColumn("field", F.when(F.col("chained"), F.coalesce(field, F.lit("stmts"))).otherwise(F.col("field"))).drop("chained", "chain", "case", "upto", "head", "again")
 
 
