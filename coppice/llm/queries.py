@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing, permutation_index, pii, quality_rules, rule_ensemble, secrets, sharding, warc_bundles
+from . import filter_audit, mixing, ngram_join, packing, permutation_index, pii, quality_rules, rule_ensemble, secrets, sharding, warc_bundles
 from .shared import table
 
 
@@ -51,6 +51,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_table(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_pii": op9_pii,
         "op10_secrets": op10_secrets,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
@@ -71,4 +76,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard": ngram_join.NGRAM_SQL.format(width=3, percent=90),
         "op4_mixing": mixing.MIX_SQL,
         "op6_warc_bundles": warc_bundles.ROUND_TRIP_SQL,
+        "op11_filter_audit": filter_audit.AUDIT_SQL,
     }
