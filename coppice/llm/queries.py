@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, language_model, mixing, ngram_join, packing, permutation_index, pii, quality_rules, rule_ensemble, secrets, sharding, warc_bundles
+from . import filter_audit, language_model, mixing, ngram_join, packing, permutation_index, pii, quality_rules, rule_ensemble, secrets, sharding, token_alignment, warc_bundles
 from .shared import table
 
 
@@ -59,6 +59,10 @@ def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secrets": op10_secrets,
         "op11_filter_audit": op11_filter_audit,
         "op12_language_model": op12_language_model,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 

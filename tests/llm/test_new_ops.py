@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from coppice.llm import filter_audit, language_model
+from coppice.llm import filter_audit, language_model, token_alignment
 from coppice.llm.mapped_arrays import Reader, Table, bits_for, packed, reduced, summed, unpacked
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -215,3 +215,109 @@ def test_language_model_of_little(spark):
         text = "b" if r.held_out else "a a a a"
         assert r.score == pytest.approx(sum(math.log10(model.p(g)) for g in model.ngrams(tokens_of(text))))
     assert language_model.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# --- token alignment ------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    import public_tokenizers
+
+    return token_alignment.Tokenizers(public_tokenizers.path(token_alignment.TOKENIZER_A), public_tokenizers.path(token_alignment.TOKENIZER_B))
+
+
+def plain_tokens(tokenizers, text):
+    """[(id, first byte, byte behind)] of both tokenizers over the whole text; nothing where they don't spell it."""
+    if not text:
+        return [], []
+    a, b = tokenizers.a.encode(" " + text, add_special_tokens=False).ids, tokenizers.b.encode(text)
+    out = []
+    for ids, table in ((a, tokenizers.bytes_a), (b, tokenizers.bytes_b)):
+        if b"".join(table[i] for i in ids) != (" " + text).encode():
+            return [], []
+        at, placed = 0, []
+        for i in ids:
+            placed.append((i, at, at + len(table[i])))
+            at += len(table[i])
+        out.append(placed)
+    return out
+
+
+def plain_alignment(tokenizers, texts):
+    placed, links, counts = [plain_tokens(tokenizers, t) for t in texts], [], Counter()
+    for a, b in placed:
+        own, j = [], 0
+        for x, s, e in a:  # a sweep over both, not the operator's arrays
+            while j < len(b) and b[j][2] <= s:
+                j += 1
+            k = j
+            while k < len(b) and b[k][1] < e:
+                own.append((x, b[k][0]))
+                k += 1
+        links.append(own)
+        counts.update(own)
+    best = {}
+    for (_, y), n in counts.items():
+        best[y] = max(n, best.get(y, 0))
+    out = []
+    for (a, b), own in zip(placed, links, strict=True):
+        cuts = sorted({e for _, _, e in a} & {e for _, _, e in b})
+        parts, i, j = [], 0, 0
+        for c in cuts:
+            ga, gb = [], []
+            while i < len(a) and a[i][2] <= c:
+                ga.append(str(a[i][0]))
+                i += 1
+            while j < len(b) and b[j][2] <= c:
+                gb.append(str(b[j][0]))
+                j += 1
+            parts.append(",".join(ga) + "|" + ",".join(gb))
+        groups = hashlib.sha256(";".join(parts).encode()).hexdigest() if parts else ""
+        out.append((len(a), len(b), len(cuts), len(own), sum(counts[p] == best[p[1]] for p in own), sum(counts[p] for p in own), groups))
+    return out
+
+
+ODD = [
+    None, "", " ", "  ", "\n", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \n b", "\ta\t\tb", "it's they'll 'd", "x\u00a0y", "x\u3000y z", "\u2581", "a \u2581b", "<s> </s> <unk> <0x41> <|endoftext|>", "\x00\x01 \x1c x!\x1c y",
+    "Äöü ßé", "日本語 の テスト", "😀 👩‍👩‍👧 x", "e\u0301 ﬁ １２", "\r\n a\r", "foo.\nBar baz\n", "1234567 12 3", "\u0085 a\u2028b", "a\u200bb", "\ufeffa", "a" * 3000, "ab " * 2000, "!?." * 500,
+]
+
+
+def test_stretches_are_tokenized_as_in_their_text(tokenizers):
+    rng = np.random.default_rng(3)
+    alphabet = [" ", " ", "\n", "\t", "\r", "\x1c", "\x1f", "\x85", "\u00a0", "\u3000", "\u200b", "\u180e", "a", "the", "Z", "1", "!", ".", "'s", "'", "é", "日", "😀", "\x00", "_", "<s>", "<|endoftext|>", "\u0301", "ﬁ"]
+    texts = [t for t in ODD if t and "\u2581" not in t] + ["".join(alphabet[i] for i in rng.integers(0, len(alphabet), rng.integers(1, 40))) for _ in range(4000)]
+    for text in texts:
+        split = token_alignment.STRETCH.findall(" " + text)
+        assert "".join(split) == " " + text
+        a, b = tokenizers.encode(split)
+        assert [i for x in a for i in x] == tokenizers.a.encode(" " + text, add_special_tokens=False).ids, repr(text)
+        assert [i for x in b for i in x] == tokenizers.b.encode(text), repr(text)
+
+
+def test_token_alignment_equals_a_sweep(spark, tokenizers):
+    texts = ODD + ["the cat sat on the mat's edge", "the cat", "the cat"] + [t for _, t in small_corpus(40)]
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, links string, n string").repartition(3)
+    got = rows_of(token_alignment.aligned(frame), ["doc_id"])
+    want = plain_alignment(tokenizers, texts)
+    for i, w in enumerate(want):
+        g = got[(i,)]
+        assert tuple(g[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")) == w, repr(texts[i])[:80]
+
+
+def test_token_alignment_forgets_stretches_and_sends_sums_on(spark, tokenizers, monkeypatch):
+    """With bounds of a few stretches and pairs the results are the same."""
+    monkeypatch.setattr(token_alignment, "MOST_STRETCHES", 5)
+    aligner = token_alignment.Aligner(tokenizers)
+    texts = [t for _, t in small_corpus(30)]
+    want = plain_alignment(tokenizers, texts)
+    for t, w in zip(texts, want, strict=True):
+        counts, written, pairs, times = next(aligner.align([t]))
+        assert tuple(counts) == w[:4] and (hashlib.sha256(written.encode()).hexdigest() if written else "") == w[6] and times.sum() == w[3]
+
+
+def test_token_alignment_of_nothing(spark):
+    assert token_alignment.aligned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = token_alignment.aligned(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string")).collect()
+    assert sorted((r.n_a, r.n_links, r.count_sum, r.groups_sha256) for r in rows) == [(0, 0, 0, "")] * 2
