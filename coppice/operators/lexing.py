@@ -1,76 +1,183 @@
-"""Source files to items: one regular expression cuts a file, windows place the pieces.
+"""Source files to items: the tokens of each stretch, and what stands between scripts in parts.
 
-A file is decoded one character a byte, so lengths are bytes.  One match is a
-gap (all from a closing tag, or the file's beginning, to the next opening tag),
-white space, a comment, or a token of the script.  Offsets and lines are running
-sums over the matches of a file; files are dealt by their number once, and every
-window below keeps to that.
+A file is one stretch of bytes, or is cut into several that any task may take.
+The token automaton (functions/automaton) tells what a stretch does to each mode
+the lexer may be in; along the stretches of a file these maps are composed into
+the mode each begins in, and then every stretch gives its tokens by itself.  A
+token that goes on beyond its stretch is put together from its parts.  Tokens
+are the same for any size of stretches, and take linear time.
+
+A token is a gap (all from a closing tag, or the file's beginning, to the next
+opening tag), a string or another token of the script.  Space and comments are
+left out.  What is never closed (type open) reaches to the file's end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coppice.functions import columns as C
-
-_IDENT = r"[A-Za-z_\x80-\xff][A-Za-z0-9_\x80-\xff]*+"
-_OPEN = r"(?:<\?(?:[pP][hH][pP](?=[ \t\r\n]|\z)|=)|\z)"
-#: A closing quote is one with an even number of backslashes before it.
-_QUOTED = r"{q}.*?{q}(?<=(?<!\\)(?:\\\\){{0,64}}{q})"
-#: What a file is cut into, in this order; no part repeats a group, so long matches need no stack.
-TOKEN = "(?s)" + "|".join([
-    r"\A.*?" + _OPEN, r"\?>(?:\r?\n)?.*?" + _OPEN, r"[ \t\r\n\x0B\f]++", r"(?://|#(?!\[)).*?(?=\?>|[\r\n]|\z)", r"/\*.*?(?:\*/|\z)", r"\$" + _IDENT,
-    r"0[xX][0-9a-fA-F_]++|0[bB][01_]++|0[oO][0-7_]++", r"(?:[0-9][0-9_]*+)?\.[0-9][0-9_]*+(?:[eE][+-]?[0-9]++)?|[0-9][0-9_]*+(?:\.(?!\.))?(?:[eE][+-]?[0-9]++)?",
-    r"\\?" + _IDENT + r"(?:\\" + _IDENT + ")*+", *(_QUOTED.format(q=q) for q in "'\"`"),
-    r"<<<[ \t]*+(['\"]?)(" + _IDENT + r")\1\r?\n.*?(?<=\n)[ \t]*+\2(?![A-Za-z0-9_\x80-\xff])",
-    r"<=>|\*\*=|\.\.\.|<<=|>>=|===|!==|\?\?=|\?->|\+\+|--|->|=>|::|==|!=|<>|<=|>=|&&|\|\||\?\?|\+=|-=|\*=|/=|\.=|%=|&=|\|=|\^=|<<|>>|\*\*|\#\[|.",
-])
+from coppice.functions.automaton import Stretch, cuts
+from coppice.operators.written import written
+
+#: Bytes of a stretch, and tokens a task hands on at once.
+STRETCH_BYTES, BATCH_TOKENS = 256 << 10, 50_000
 #: Where an item begins and ends, and the lines there: (start, line, line_start, end, end_line, end_line_start).
 PLACE = ("start", "line", "line_start", "end", "end_line", "end_line_start")
 
+_STRETCH = "file_ord long, stretch int, first boolean, last boolean, begin int, line int, line_start int, data binary"
+_PIECE = "file_ord long, type string, text string, tag int, opened int, " + ", ".join(f"`{c}` int" for c in PLACE) + ", begins boolean, whole boolean"
+_COLUMNS = ["file_ord", "type", "text", "tag", "opened", *PLACE]
+_ARROW_PIECE = [pa.int64(), pa.string(), pa.string(), *[pa.int32()] * 8, pa.bool_(), pa.bool_()]
+
+
+def stretches(files: DataFrame, size: int) -> DataFrame:
+    """Each file in stretches of about ``size`` bytes, with the byte and line each begins at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, data in zip(batch.column("file_ord").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                at, line, line_start = 0, 1, 0
+                for stretch, end in enumerate(ends := cuts(data, size)):
+                    part = data[at:end]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((n, stretch, stretch == 0, end == ends[-1], at, line, line_start, part), _ARROW_STRETCH, strict=True)], _STRETCH_NAMES)
+                    line += part.count(b"\n")
+                    line_start = at + part.rfind(b"\n") + 1 if b"\n" in part else line_start
+                    at = end
+
+    return files.select(F.col("file_ord").cast("long").alias("file_ord"), "content").mapInArrow(run, _STRETCH)
+
+
+_STRETCH_NAMES = [x.split()[0] for x in _STRETCH.split(", ")]
+_ARROW_STRETCH = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def modes(parts: DataFrame) -> DataFrame:
+    """(file_ord, stretch, mode): the mode each stretch begins in, by composing the maps of those before it.
+
+    A file is composed in one place, from one map a stretch; its bytes stay where they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fresh = [s == b for s, b in zip(batch.column("line_start").to_pylist(), batch.column("begin").to_pylist(), strict=True)]
+            found = [Stretch(data, f).effects() for data, f in zip(batch.column("data").to_pylist(), fresh, strict=True)]
+            # What stays as it is need not be said.
+            moved = [[(a, b) for a, b in x.items() if a != b] for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("file_ord"), batch.column("stretch"), pa.array(moved, pa.map_(pa.string(), pa.string()))], ["file_ord", "stretch", "effect"])
+
+    maps = parts.select("file_ord", "stretch", "begin", "line_start", "data").mapInArrow(run, "file_ord long, stretch int, effect map<string,string>")
+    listed = maps.groupBy("file_ord").agg(F.array_sort(F.collect_list(F.struct("stretch", F.map_entries("effect").alias("effect")))).alias("maps"))
+    nothing = F.struct(F.lit("gap").alias("now"), F.array().cast("array<string>").alias("modes"))
 
-def kind_of(pos: Column, t: Column) -> Column:
-    """gap, skip, var, num, name, str or op."""
-    first, two = F.substring(t, 1, 1), F.substring(t, 1, 2)
-    return (
-        F.when((pos == 0) | (two == "?>"), "gap")
-        .when(first.isin(" ", "\t", "\r", "\n", "\x0b", "\f") | two.isin("//", "/*") | ((first == "#") & (two != "#[")), "skip")
-        .when((first == "$") & (F.length(t) > 1), "var").when(t.rlike(r"^\.?[0-9]"), "num").when(t.rlike(r"^\\?[A-Za-z_\x80-\xff]"), "name")
-        .when((first.isin("'", '"', "`") & (F.length(t) > 1)) | (t.startswith("<<<") & (F.length(t) > 3)), "str").otherwise("op")
-    )
+    def step(done, one):
+        after = F.coalesce(F.try_element_at(F.map_from_entries(one["effect"]), done["now"]), done["now"])
+        return F.struct(after.alias("now"), F.array_append(done["modes"], done["now"]).alias("modes"))
 
+    composed = listed.select("file_ord", F.posexplode(F.aggregate("maps", nothing, step)["modes"]).alias("stretch", "mode"))
+    return composed
 
-def tokens(files: DataFrame) -> DataFrame:
-    """(file_ord, pos, type, text, tag, opened, and PLACE) of every match; ``files`` is dealt by file_ord.
 
-    Of gaps and space only what matters goes on: the bytes of the closing tag a
-    gap begins with (with its newline) and of the opening tag it ends with.
+def pieces(parts: DataFrame) -> DataFrame:
+    """The tokens of each stretch, given the mode it begins in; a token that goes beyond it comes in pieces that are not whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in _ARROW_PIECE]
+
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for y in c for x in y], t) for c, t in zip(held, _ARROW_PIECE, strict=True)], _PIECE_NAMES)
+            for c in held:
+                c.clear()
+            return out
+
+        waiting = 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                columns = _pieces_of(r)
+                for c, new in zip(held, columns, strict=True):
+                    c.append(new)
+                waiting += len(columns[1])
+                if waiting > BATCH_TOKENS:
+                    yield made()
+                    waiting = 0
+        if held[0]:
+            yield made()
+
+    return parts.mapInArrow(run, _PIECE)
+
+
+_PIECE_NAMES = [x.split()[0].strip("`") for x in _PIECE.split(", ")]
+
+
+def _pieces_of(r: dict) -> list:
+    """The columns of one stretch's pieces."""
+    data, last = r["data"], r["last"]
+    kinds, texts, tags, opened, starts, ends, begins, whole = [], [], [], [], [], [], [], []
+    for start, end, kind, new, after in Stretch(data, r["line_start"] == r["begin"]).tokens(r["mode"], r["first"]):
+        closed = after == "code"
+        if kind == "skip" and closed and new:
+            continue
+        if last and not closed:
+            kind, closed = ("open" if kind == "str" or after == "block" else kind), True
+        kinds.append(kind)
+        begins.append(new)
+        whole.append(new and closed)
+        starts.append(start)
+        ends.append(end)
+        shown = data[start : start + 2 * new] if after == "block" else b"" if kind in ("gap", "skip") else data[start:end]
+        texts.append(shown.decode("latin-1"))
+        here = kind == "gap" and new and not (r["first"] and start == 0)
+        tags.append(0 if not here else 4 if data.startswith(b"?>\r\n", start) else 3 if data.startswith(b"?>\n", start) else 2)
+        opened.append(0 if kind != "gap" or after != "code" else 3 if data[:end].endswith(b"<?=") else 5)
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    place: list[np.ndarray] = []
+    for at in (np.array(starts, np.int64), np.array(ends, np.int64)):
+        n = np.searchsorted(breaks, at)
+        line_start = np.where(n > 0, r["begin"] + np.concatenate([[0], breaks + 1])[n], r["line_start"])
+        place += [(at + r["begin"]).astype(np.int32), (n + r["line"]).astype(np.int32), line_start.astype(np.int32)]
+    return [np.full(len(kinds), r["file_ord"], np.int64), kinds, texts, tags, opened, *place, begins, whole]
+
+
+def tokens(files: DataFrame, size: int = STRETCH_BYTES, large: bool = True) -> DataFrame:
+    """(file_ord, type, text, tag, opened, and PLACE) of every token.
+
+    A gap says how many bytes its closing tag has (with its newline) and how
+    many its opening tag.  ``large`` tells whether files may exceed ``size``;
+    these are written in stretches, so that any task may take some.
     """
-    cut = files.select("file_ord", F.posexplode(F.regexp_extract_all(C.byte_text(F.col("content")), F.lit(TOKEN), F.lit(0))).alias("pos", "text"))
-    text, size = F.col("text"), F.length("text")
-    breaks = size - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    after = F.when(breaks > 0, size - F.locate("\n", F.reverse(text)) + 1)  # characters up to the last line's start
-    before = W.partitionBy("file_ord").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    kind = kind_of(F.col("pos"), text)
-    tag = F.when(F.col("pos") == 0, 0).when(text.startswith("?>\r\n"), 4).when(text.startswith("?>\n"), 3).otherwise(2)
-    opened = F.when(text.endswith("<?="), 3).when(F.lower(F.substring(text, -5, 5)) == "<?php", 5).otherwise(0)
-    placed = cut.select("file_ord", "pos", F.when(kind.isin("gap", "skip"), "").otherwise(text).alias("text"), tag.alias("tag"), opened.alias("opened"), size.alias("size"), breaks.alias("breaks"), after.alias("after"), kind.alias("type"))
-    placed = placed.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")).withColumn("line", (F.coalesce(F.sum("breaks").over(before), F.lit(0)) + 1).cast("int"))
-    placed = placed.withColumn("line_start", F.coalesce(F.max(F.col("start") + F.col("after")).over(before), F.lit(0)))
-    placed = placed.withColumn("end", F.col("start") + F.col("size")).withColumn("end_line", F.col("line") + F.col("breaks"))
-    return placed.withColumn("end_line_start", F.coalesce(F.col("start") + F.col("after"), "line_start")).select("file_ord", "pos", "type", "text", "tag", "opened", *PLACE)
-
-
-def items(files: DataFrame) -> DataFrame:
+    long = F.octet_length("content") > size
+    small = files.where(~long) if large else files
+    one = small.select(F.col("file_ord").cast("long").alias("file_ord"), F.lit(True).alias("first"), F.lit(True).alias("last"), F.lit(0).alias("begin"), F.lit(1).alias("line"), F.lit(0).alias("line_start"), F.col("content").alias("data"), F.lit("gap").alias("mode"))
+    done = pieces(one).where("type <> 'skip'").select(*_COLUMNS)
+    if large:
+        parts = written(stretches(files.where(long), size).repartition("file_ord", "stretch"))
+        cut = pieces(parts.join(modes(parts), ["file_ord", "stretch"]))
+        done = done.unionByName(cut.where("whole and type <> 'skip'").select(*_COLUMNS)).unionByName(joined(cut.where("not whole")))
+    return done.withColumn("text", F.when(F.col("type") == "open", F.regexp_extract("text", r"^(?:['\"`]|/\*|<<<[^\r\n]*)", 0)).otherwise(F.col("text")))
+
+
+def joined(parts: DataFrame) -> DataFrame:
+    """Tokens put together from pieces, of which a stretch has two at most."""
+    numbered = parts.withColumn("token", F.sum(F.col("begins").cast("int")).over(W.partitionBy("file_ord").orderBy("start", "end")))
+    gathered = numbered.groupBy("file_ord", "token").agg(F.array_sort(F.collect_list(F.struct("start", "end", *[c for c in _COLUMNS if c not in ("file_ord", "start", "end")]))).alias("p"))
+    first, last = F.element_at("p", 1), F.element_at("p", -1)
+    text = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    own = {c: (last if c.startswith("end") or c in ("type", "opened") else first)[c] for c in _COLUMNS if c not in ("file_ord", "text")} | {"text": text}
+    return gathered.select("file_ord", *[own[c].alias(c) for c in _COLUMNS[1:]]).where("type <> 'skip'")
+
+
+def items(files: DataFrame, size: int = STRETCH_BYTES, large: bool = True) -> DataFrame:
     """(file_ord, at, type, text, and PLACE) of what a parser sees: no space, no comments, gaps in parts.
 
     A gap ends a statement (type term), may hold HTML (html, whose text is left
     out, as its place tells it) and may open an echo (name, echo).  ``at`` orders
     the items of a file.
     """
-    t = tokens(files).where("type <> 'skip'")
     text, place = F.col("text"), {c: F.col(c) for c in PLACE}
     tag, opened = F.col("tag"), F.col("opened")
     begin, stop = F.col("start") + tag, F.col("end") - opened
@@ -82,6 +189,7 @@ def items(files: DataFrame) -> DataFrame:
     html = part(1, "html", F.lit(""), {c: here[c] for c in ("start", "line", "line_start")} | end | {"end": stop})
     echo = part(2, "name", F.lit("<?="), {"start": stop, "line": end["end_line"], "line_start": end["end_line_start"], "end": F.col("end")} | end)
     whole = F.struct(F.lit(0).alias("n"), F.col("type").alias("type"), text.alias("text"), *[F.col(c).alias(c) for c in PLACE])
-    parts = F.when(F.col("type") == "gap", F.filter(F.array(term, html, echo), lambda p: (p["n"] == 0) | ((p["n"] == 1) & (p["end"] > p["start"])) | ((p["n"] == 2) & (opened == 3)))).otherwise(F.array(whole))
-    split = t.select("file_ord", "pos", F.explode(parts).alias("p"))
-    return split.select("file_ord", (F.col("pos").cast("long") * 3 + F.col("p.n")).alias("at"), "p.type", "p.text", *[f"p.{c}" for c in PLACE])
+    gap = F.filter(F.array(term, html, echo), lambda p: (p["n"] == 0) | ((p["n"] == 1) & (p["end"] > p["start"])) | ((p["n"] == 2) & (opened == 3)))
+    parts = F.when(F.col("type") == "gap", gap).otherwise(F.array(whole))
+    split = tokens(files, size, large).select("file_ord", F.col("start").alias("from"), F.explode(parts).alias("p"))
+    return split.select("file_ord", (F.col("from").cast("long") * 3 + F.col("p.n")).alias("at"), "p.type", "p.text", *[f"p.{c}" for c in PLACE])

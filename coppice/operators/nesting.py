@@ -22,9 +22,11 @@ HEADS = (
     "if", "elseif", "else", "while", "for", "foreach", "switch", "do", "try", "catch", "finally", "function", "class", "interface", "trait", "enum", "namespace", "declare", "abstract",
     "final", "readonly", "public", "protected", "private", "static", "var", "case", "default", "use", "const", "#[", "",
 )
-#: Statements that go on with the one before (a while only with a do): their field in it, and its kind; and the fields that are lists.
-CHAINED = {"Stmt_ElseIf": ("elseifs", "Stmt_If"), "Stmt_Else": ("else", "Stmt_If"), "Stmt_Catch": ("catches", "Stmt_TryCatch"), "Stmt_Finally": ("finally", "Stmt_TryCatch"), "Stmt_While": ("while", "Stmt_Do")}
+#: Statements that go on with one before: their field in its node. Fields that are lists.
+CHAINED = {"Stmt_ElseIf": "elseifs", "Stmt_Else": "else", "Stmt_Catch": "catches", "Stmt_Finally": "finally", "Stmt_While": "while"}
 LISTED = ("elseifs", "catches")
+#: Statements that may end in one without braces, and so reach as far as what goes on with that.
+OPEN_ENDED = ("Stmt_If", "Stmt_ElseIf", "Stmt_Else", "Stmt_For", "Stmt_Foreach", "Stmt_While", "Stmt_Do", "Stmt_TryCatch", "Stmt_Declare", "Stmt_Label")
 
 
 def _in_file(*more: str):
@@ -58,7 +60,7 @@ def blocks(items: DataFrame) -> DataFrame:
     headed, word = _neighbour(F.col("head"), -1), F.col("word")
     colon = op & (text == ":") & (headed.isin(*CONTROL) | (_neighbour(word, -1) == "else"))
     goes_on = ((word == "else") & (F.col("next") == ":")) | ((word == "elseif") & (_neighbour(F.col("behind"), 1) == ":"))
-    plain_brace = F.col("before").isin("->", "?->", "::", "$", "\\") | (headed == "match")
+    plain_brace = F.col("before").isin("->", "?->", "::", "$") | F.col("before").endswith("\\") | (headed == "match")
     opens = F.when(colon, ":").when((text == "{") & op & F.coalesce(plain_brace, F.lit(False)), "m").otherwise(F.col("opens"))
     closes = F.when(word.isin(*ENDS) | goes_on, ":").otherwise(F.col("closes"))
     df = df.withColumn("new_opens", opens).withColumn("closes", closes).drop("opens", "head", "behind", "next", "before").withColumnRenamed("new_opens", "opens")
@@ -73,7 +75,7 @@ def checked(df: DataFrame) -> DataFrame:
     same = lambda a, b: F.coalesce((a == b) | ((a == "m") & (b == "{")), F.lit(False))
     unpaired = (F.col("opens").isNotNull() & ~same(F.col("opens"), F.col("partner.mark"))) | (F.col("closes").isNotNull() & ~same(F.col("opened"), F.col("closes")))
     stray = (F.col("type") == "op") & F.col("text").rlike(r"^(?:['\"`\\]|[^\x20-\x7e])$")
-    return df.withColumn("wrong", unpaired | stray).drop("opened")
+    return df.withColumn("wrong", unpaired | stray | (F.col("type") == "open")).drop("opened")
 
 
 def without_broken(df: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def without_broken(df: DataFrame) -> DataFrame:
     kept = df.where("first is null or at <= last or at = first or type = 'html'")
     # What is left behind the error stands at the top.
     behind = F.col("first").isNotNull() & (F.col("at") > F.col("last"))
-    kind = F.when(F.col("at") == F.col("first"), F.when(F.col("opens").isNotNull(), "unclosed").otherwise("unexpected")).otherwise(F.col("type"))
+    kind = F.when(F.col("at") == F.col("first"), F.when(F.col("opens").isNotNull() | (F.col("type") == "open"), "unclosed").otherwise("unexpected")).otherwise(F.col("type"))
     kept = kept.withColumns({"type": kind, "level": F.when(behind, 0).otherwise(F.col("level")), "opens": F.when(~behind, F.col("opens")), "closes": F.when(~behind, F.col("closes"))})
     return kept.drop("first", "last", "wrong")
 
@@ -126,3 +128,61 @@ def statements(df: DataFrame) -> DataFrame:
     done = ends | (F.col("outer") & F.col("opens_block") & F.col("head").isin(*HEADS)) | (label & F.col("head").isin("case", "default"))
     held = held.withColumn("stmt", F.coalesce(F.sum(done.cast("int")).over(before), F.lit(0)) + F.sum(html.cast("int")).over(stream))
     return held.where("type <> 'term'").select("file_ord", "block", "stmt", "type", "text", "word", "at", *PLACE)
+
+
+def chained(nodes: DataFrame) -> DataFrame:
+    """Else, elseif, catch, finally, and the while of a do, brought to the statement they go on with.
+
+    ``nodes`` are those of statements (root: the first of each).  An else takes
+    the nearest if still open, at any depth of statements without braces, and a
+    while the nearest do.  That is matching of brackets: ifs open a level, an
+    else closes one, and the level before it is its partner's.  What was begun
+    with as many ifs open as the partner's level ends there; what no else ends
+    goes on to the end of its run, the statements that go on with one another.
+    The body of a do is a level of its own.  Sets the field and the ends, and
+    adds an error row for each that has nothing to go on with.
+    """
+    kind, root = F.col("kind"), F.col("root")
+    is_kind = lambda *kinds: F.coalesce(kind.isin(*[f"Stmt_{k}" for k in kinds]), F.lit(False))
+    order = ("stmt", "local")
+    here, before = W.partitionBy("file_ord", "block").orderBy(*order), W.partitionBy("file_ord", "block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    df = nodes.withColumn("dos", F.sum(F.when(is_kind("Do"), 1).when(root & is_kind("While"), -1).otherwise(0)).over(here))
+    # A while with no do open makes a new minimum, and counts for nothing.
+    df = df.withColumns({"least": F.least(F.lit(0), F.coalesce(F.min("dos").over(before), F.lit(0))), "ended": F.max(F.struct(*PLACE[3:])).over(before)})
+    df = df.withColumn("of_do", root & is_kind("While") & (F.col("dos") >= F.col("least"))).withColumn("level", F.col("dos") - F.least("least", "dos") - is_kind("Do").cast("int"))
+    goes_on = root & (is_kind("Else", "ElseIf", "Catch", "Finally") | F.col("of_do"))
+    within_do = F.coalesce(F.col("level") > F.lag(F.when(is_kind("Do"), F.col("level"))).over(here), F.lit(False))
+    df = df.withColumn("fresh", (root & ~goes_on) | within_do)
+    df = df.withColumn("run", F.sum(F.col("fresh").cast("int")).over(W.partitionBy("file_ord", "block", "level").orderBy(*order)))
+    run = W.partitionBy("file_ord", "block", "level", "run").orderBy(*order)
+    earlier = run.rowsBetween(W.unboundedPreceding, -1)
+    df = df.withColumns({
+        "ifs": F.coalesce(F.sum(F.when(is_kind("If"), 1).when(root & is_kind("Else"), -1).otherwise(0)).over(earlier), F.lit(0)),
+        "tried": F.last(F.when(is_kind("TryCatch") | (root & is_kind("Finally")), kind), ignorenulls=True).over(earlier),
+        "run_end": F.max(F.struct(*PLACE[3:])).over(run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
+    })
+    with_if = root & is_kind("Else", "ElseIf") & (F.col("ifs") > 0)
+    met = with_if | (root & is_kind("Catch", "Finally") & (F.coalesce("tried", F.lit("")) == "Stmt_TryCatch")) | F.col("of_do")
+    lost = root & is_kind("Else", "ElseIf", "Catch", "Finally") & ~met
+    # An else ends what was begun with as many ifs open as there are before it, and itself is begun with one less.
+    role = lambda name, key: F.struct(F.lit(name).alias("role"), key.cast("bigint").alias("key"))
+    own = role("own", F.col("ifs") - is_kind("Else").cast("int"))
+    df = df.withColumn("r", F.explode(F.when(with_if, F.array(own, role("ends", F.col("ifs")))).when(lost, F.array(own, role("lost", F.lit(-1)))).otherwise(F.array(own)))).select("*", "r.*").drop("r")
+    later = W.partitionBy("file_ord", "block", "level", "run", "key").orderBy(*order, "role").rowsBetween(1, W.unboundedFollowing)
+    df = df.withColumn("upto", F.coalesce(F.first(F.when(F.col("role") == "ends", F.col("ended")), ignorenulls=True).over(later), F.col("run_end"))).where("role <> 'ends'")
+    extends = is_kind(*[k.removeprefix("Stmt_") for k in OPEN_ENDED]) & ~F.col("of_do")
+    field = F.lit("stmts")
+    for k, name in CHAINED.items():
+        field = F.when(kind == k, name).otherwise(field)
+    is_lost = F.col("role") == "lost"
+    word = F.lower(F.regexp_replace(kind, "^Stmt_", ""))
+    df = df.withColumns({c: F.when(extends, F.col("upto")[c]).otherwise(F.col(c)) for c in PLACE[3:]} | {
+        "field": F.when(met, field).when(goes_on, "stmts").otherwise(F.col("field")), "message": F.when(is_lost, F.concat(F.lit("unexpected '"), word, F.lit("'"))).otherwise(F.col("message")),
+        "kind": F.when(~is_lost, kind), "root": root & ~is_lost,
+    })
+    # A case reaches to the next one of its block.
+    case = root & is_kind("Case")
+    df = df.withColumn("case", F.sum((F.col("root") & (F.col("kind") == "Stmt_Case")).cast("int")).over(here))
+    df = df.withColumn("upto", F.max(F.struct(*PLACE[3:])).over(W.partitionBy("file_ord", "block", "case")))
+    df = df.withColumns({c: F.when(case, F.col("upto")[c]).otherwise(F.col(c)) for c in PLACE[3:]})
+    return df.drop("dos", "least", "ended", "of_do", "level", "fresh", "run", "ifs", "tried", "run_end", "role", "key", "upto", "case")

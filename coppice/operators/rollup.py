@@ -17,11 +17,11 @@ def by_top_dir(files: DataFrame) -> DataFrame:
 
 
 def dominant_dir(files: DataFrame) -> DataFrame:
-    """The top directory with most nodes (ties to the smaller name) and its share."""
-    dirs = by_top_dir(files)
-    total = dirs.agg(F.sum("nodes").alias("total"))
-    first = dirs.orderBy(F.desc("nodes"), F.asc("top")).limit(1)
-    return first.crossJoin(F.broadcast(total)).select("top", "nodes", (F.col("nodes") / F.col("total")).alias("share"))  # one row each
+    """The top directory with most nodes (ties to the smaller name) and its share; sums and total come from one pass."""
+    sums = files.withColumn("top", C.top_dir(F.col("path"))).rollup("top").agg(F.sum("node_count").cast("long").alias("nodes"), F.grouping("top").alias("all"))
+    first = F.min(F.when(F.col("all") == 0, F.struct((-F.col("nodes")).alias("less"), "top")))
+    both = sums.agg(first.alias("first"), F.max(F.when(F.col("all") == 1, F.col("nodes"))).alias("total")).where("first is not null")
+    return both.select("first.top", (-F.col("first.less")).alias("nodes"), (-F.col("first.less") / F.col("total")).alias("share"))
 
 
 def dominance_warning(files: DataFrame, threshold: float = 0.5) -> DataFrame:

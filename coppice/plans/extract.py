@@ -1,9 +1,9 @@
 """From files to syntax tables.
 
-Items, brackets, blocks and statements are windows (operators/lexing, nesting);
-the only Python orders the expressions of one statement; numbering, parents,
-ids, hashing, documents, edges, entries and the manifest are Spark expressions
-over its rows.  Files are dealt by number once and meet nothing of each other.
+Tokens come from stretches of files (operators/lexing); brackets, blocks,
+statements and chains are windows over them (operators/nesting); a helper orders
+the expressions of one statement; numbering, parents, ids, hashing, documents,
+edges, entries and the manifest are Spark expressions over its rows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import json
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ from coppice.functions.literals import canonical
 from coppice.functions.statement import nodes_of
 from coppice.operators import lexing, nesting
 from coppice.operators.lexing import PLACE
+from coppice.operators.written import written
 
 SCHEMA_VERSION = "1.0"
 TOOL = {"name": "coppice", "version": __version__}
@@ -32,7 +32,10 @@ LOC = ("startLine", "endLine", "startCol", "endCol", "startByte", "endByte")
 
 _LOC = "struct<" + ",".join(f"{x}:int" for x in LOC) + ">"
 _NODE = f"struct<node_ord:int,subtree_end:int,parent_ord:int,kind:string,loc:{_LOC},children:array<int>,fields_json:string,attrs_json:string,edges:array<struct<field:string,pos:int,child_ord:int>>>"
-_KIDS, _HOLES = "array<struct<child_ord:int,field:string,pos:int>>", "array<struct<field:string,pos:int>>"
+_KIDS, _HOLES, _FIELDS = "array<struct<child_ord:int,field:string,pos:int>>", "array<struct<field:string,pos:int>>", "array<struct<name:string,many:boolean>>"
+_OWN = f"struct<node_ord:int,subtree_end:int,parent_ord:int,kind:string,loc:{_LOC},fields:{_FIELDS},holes:{_HOLES},attrs_json:string>"
+#: What is found in a file: its nodes with their children, the children of its root, and errors.
+_FOUND, _ERRORS = f"array<struct<key:int,own:{_OWN},kids:{_KIDS}>>", "array<struct<line:int,message:string>>"
 
 
 def statement_nodes(statements: pa.Array) -> pa.Array:
@@ -65,30 +68,12 @@ _ARROW_NODES = pa.list_(pa.struct([
 _NODES = "array<struct<kind:string,field:string,pos:int,fields:array<struct<name:string,many:boolean>>,holes:array<struct<field:string,pos:int>>,attrs:string,message:string," + ",".join(f"`{c}`:int" for c in PLACE) + ">>"
 
 
-def found_nodes(files: DataFrame) -> DataFrame:
+def found_nodes(files: DataFrame, large: bool = True) -> DataFrame:
     """(file_ord, block, stmt, local, and the fields of a found node) of every statement, chains and cases with their whole extent."""
-    items = nesting.statements(nesting.without_broken(nesting.checked(nesting.blocks(lexing.items(files)))))
+    items = nesting.statements(nesting.without_broken(nesting.checked(nesting.blocks(lexing.items(files, large=large)))))
     gathered = items.groupBy("file_ord", "block", "stmt").agg(F.array_sort(F.collect_list(F.struct("at", "type", "text", *PLACE))).alias("items"))
     read = gathered.select("file_ord", "block", "stmt", F.posexplode(F.arrow_udf(statement_nodes, _NODES)("items")).alias("local", "n")).select("file_ord", "block", "stmt", "local", "n.*")
-    root = (F.col("local") == 0) & F.col("kind").isNotNull()
-    df = read.withColumn("root", root)
-    order = W.partitionBy("file_ord", "block", "root").orderBy("stmt")
-    # An else, catch or finally, and the while of a do, goes on with the statement before; its head extends to it.
-    chained = F.col("kind").isin(*nesting.CHAINED) & ((F.col("kind") != "Stmt_While") | (F.lag("kind").over(order) == "Stmt_Do"))
-    df = df.withColumn("chained", F.col("root") & F.coalesce(chained, F.lit(False)))
-    df = df.withColumn("chain", F.last(F.when(~F.col("chained"), F.col("stmt")), ignorenulls=True).over(order))
-    df = df.withColumn("case", F.sum((F.col("kind") == "Stmt_Case").cast("int")).over(order))
-    ends = F.struct(*PLACE[3:])
-    df = df.withColumn("upto", F.max(ends).over(W.partitionBy("file_ord", "block", "root", "chain")))
-    df = df.withColumn("upto", F.when(F.col("kind") == "Stmt_Case", F.max("upto").over(W.partitionBy("file_ord", "block", "root", "case"))).otherwise(F.col("upto")))
-    heads = F.col("root") & ~F.col("chained") & F.col("kind").isin("Stmt_If", "Stmt_TryCatch", "Stmt_Do", "Stmt_Case")
-    df = df.withColumns({c: F.when(heads, F.col("upto")[c]).otherwise(F.col(c)) for c in PLACE[3:]})
-    # What has no head of its kind, or comes a second time, is a statement like others.
-    field, head, again = F.lit(None).cast("string"), F.last(F.when(~F.col("chained"), F.col("kind")), ignorenulls=True).over(order), F.row_number().over(W.partitionBy("file_ord", "block", "root", "chain", "kind").orderBy("stmt")) > 1
-    for kind, (name, of) in nesting.CHAINED.items():
-        field = F.when((F.col("kind") == kind) & (F.col("head") == of) & (F.lit(name in nesting.LISTED) | ~F.col("again")), name).otherwise(field)
-    df = df.withColumns({"head": head, "again": again})
-    return df.withColumn("field", F.when(F.col("chained"), F.coalesce(field, F.lit("stmts"))).otherwise(F.col("field"))).drop("chained", "chain", "case", "upto", "head", "again")
+    return nesting.chained(read.withColumn("root", (F.col("local") == 0) & F.col("kind").isNotNull()))
 
 
 def numbered_nodes(found: DataFrame) -> DataFrame:
@@ -116,17 +101,45 @@ def numbered_nodes(found: DataFrame) -> DataFrame:
     return done.withColumn("pos", F.when(F.col("root") & listed, nth).otherwise(F.col("pos")))
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """One row a file with its nodes and syntax errors; ``files`` has file_ord, path, content.
+@dataclass(frozen=True)
+class Look:
+    """What a quick look at the contents tells: whether any file has an opening tag, and whether any is longer than a stretch."""
 
-    Files are dealt by number once; all that follows keeps to that.
-    """
-    given = files.select("file_ord", "path", "content").repartition("file_ord")
+    tagged: bool = True
+    large: bool = True
+
+
+def looked(files: DataFrame) -> Look:
+    """A pass over the contents that saves building plans for what they don't hold; results are the same without it."""
+    seen = files.agg(F.max(_has_tag()).alias("tagged"), F.max(F.octet_length("content")).alias("size")).first()
+    return Look(bool(seen["tagged"]), (seen["size"] or 0) > lexing.STRETCH_BYTES)
+
+
+def _has_tag() -> Column:
+    return F.coalesce(F.instr(F.col("content").cast("string"), "<?") > 0, F.lit(False))
+
+
+def _root_loc() -> Column:
+    c = F.col("content")
+    return F.struct(F.lit(1).alias("startLine"), C.last_line(c).alias("endLine"), F.lit(0).alias("startCol"), C.end_col(c).alias("endCol"), F.lit(0).alias("startByte"), F.octet_length(c).alias("endByte"))
+
+
+def with_text_only(files: DataFrame) -> DataFrame:
+    """``files`` without an opening tag with what is found in them: one node of text, or none in an empty one."""
+    empty = lambda kind: F.array().cast(kind)
+    own = F.struct(F.lit(1), F.lit(2), F.lit(0), F.lit("Stmt_InlineHTML"), _root_loc(), empty(_FIELDS), empty(_HOLES), F.lit(None).cast("string"))
+    some = F.octet_length("content") > 0
+    found = F.when(some, F.array(F.struct(F.lit(1), own, empty(_KIDS))).cast(_FOUND))
+    return files.withColumns({"found": found, "top": F.when(some, F.array(F.struct(F.lit(1), F.lit("stmts"), F.lit(0))).cast(_KIDS)), "errors": F.lit(None).cast(_ERRORS)})
+
+
+def with_found(files: DataFrame, large: bool) -> DataFrame:
+    """``files`` with what is found in them; only what the lexer makes of them moves by file before that meets the contents."""
     loc = F.struct(F.col("line").alias("startLine"), F.col("end_line").alias("endLine"), (F.col("start") - F.col("line_start")).alias("startCol"), (F.col("end") - F.col("end_line_start")).alias("endCol"), F.col("start").alias("startByte"), F.col("end").alias("endByte"))
     own = F.struct("node_ord", "subtree_end", "parent_ord", "kind", loc.alias("loc"), "fields", "holes", F.col("attrs").alias("attrs_json"))
     edge = F.struct(F.col("node_ord").alias("child_ord"), "field", "pos")
     nothing = lambda c: F.lit(None).cast(c)
-    nodes = numbered_nodes(found_nodes(given)).select("file_ord", "node_ord", "parent_ord", "line", "end_line", "message", own.alias("own"), edge.alias("edge"))
+    nodes = numbered_nodes(found_nodes(files, large)).select("file_ord", "node_ord", "parent_ord", "line", "end_line", "message", own.alias("own"), edge.alias("edge"))
     types = {c: nodes.schema[c].dataType for c in ("own", "edge")}
     error = F.struct("line", "message")
     as_node = F.struct(F.col("node_ord").alias("key"), F.col("own"), nothing(types["edge"]).alias("edge"), F.lit(None).cast("struct<line:int,message:string>").alias("error"))
@@ -135,14 +148,26 @@ def parsed(files: DataFrame) -> DataFrame:
     roles = nodes.select("file_ord", F.explode(F.when(F.col("message").isNull(), F.array(as_node, as_child)).otherwise(F.array(as_error))).alias("r")).select("file_ord", "r.*")
     met = roles.groupBy("file_ord", "key").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list("edge")).alias("kids"), F.array_sort(F.collect_list("error")).alias("errors"))
     of_file = met.groupBy("file_ord").agg(
-        F.array_sort(F.collect_list(F.when(F.col("key") > 0, F.struct("key", "own", "kids")))).alias("found"), F.first(F.when(F.col("key") == 0, F.col("kids")), ignorenulls=True).alias("top"),
-        F.flatten(F.collect_list("errors")).alias("errors"),
+        F.array_sort(F.collect_list(F.when(F.col("key") > 0, F.struct("key", "own", "kids")))).cast(_FOUND).alias("found"), F.first(F.when(F.col("key") == 0, F.col("kids")), ignorenulls=True).cast(_KIDS).alias("top"),
+        F.flatten(F.collect_list("errors")).cast(_ERRORS).alias("errors"),
     )
+    return files.join(of_file, "file_ord", "left")
+
+
+def parsed(files: DataFrame, look: Look | None = None) -> DataFrame:
+    """One row a file with its nodes and syntax errors; ``files`` has file_ord, path, content.
+
+    A file without an opening tag is one node of text, and needs no lexing.
+    """
+    look = look or looked(files)
+    given = files.select("file_ord", "path", "content")
+    joined = with_text_only(given.where(~_has_tag()) if look.tagged else given)
+    if look.tagged:
+        joined = joined.unionByName(with_found(given.where(_has_tag()), look.large).select(joined.columns))
     c, file = F.col("content"), C.file_id(F.col("file_ord"))
     all_kids = F.coalesce("top", F.array().cast(_KIDS))
-    ends = F.struct(F.lit(1).alias("startLine"), C.last_line(c).alias("endLine"), F.lit(0).alias("startCol"), C.end_col(c).alias("endCol"), F.lit(0).alias("startByte"), F.octet_length(c).alias("endByte"))
     count = F.coalesce(F.array_size("found"), F.lit(0))
-    root = _node(file, F.lit(0), count + 1, nothing("int"), F.lit("File"), ends, all_kids, F.array(F.struct(F.lit("stmts").alias("name"), F.lit(True).alias("many"))), F.array().cast(_HOLES), F.lit("{}"))
+    root = _node(file, F.lit(0), count + 1, F.lit(None).cast("int"), F.lit("File"), _root_loc(), all_kids, F.array(F.struct(F.lit("stmts").alias("name"), F.lit(True).alias("many"))), F.array().cast(_HOLES), F.lit("{}"))
 
     def node(e: Column) -> Column:
         o = e["own"]
@@ -150,8 +175,7 @@ def parsed(files: DataFrame) -> DataFrame:
         return _node(file, o["node_ord"], o["subtree_end"], o["parent_ord"], o["kind"], o["loc"], e["kids"], o["fields"], o["holes"], F.coalesce(o["attrs_json"], html))
 
     found = F.coalesce(F.transform("found", node), F.array().cast(f"array<{_NODE}>"))
-    errors = F.transform(F.coalesce("errors", F.array().cast("array<struct<line:int,message:string>>")), lambda e: F.struct(e["message"].alias("message"), e["line"].alias("startLine"), e["line"].alias("endLine")))
-    joined = given.join(of_file, "file_ord", "left")
+    errors = F.transform(F.coalesce("errors", F.array().cast(_ERRORS)), lambda e: F.struct(e["message"].alias("message"), e["line"].alias("startLine"), e["line"].alias("endLine")))
     return joined.select("file_ord", file.alias("file_id"), "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"), (count + 1).alias("node_count"), F.concat(F.array(root.cast(_NODE)), found).alias("nodes"), errors.alias("parse_errors"))
 
 
@@ -195,9 +219,9 @@ def _errors_json(errors: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(errors, one), ","), F.lit("]"))
 
 
-def documents(files: DataFrame, pretty: bool = False) -> DataFrame:
+def documents(files: DataFrame, pretty: bool = False, look: Look | None = None) -> DataFrame:
     """The AST document of each file as canonical JSON, and its hash."""
-    p = parsed(files)
+    p = parsed(files, look)
     root = C.node_id(F.col("file_id"), F.lit(0))
     count = F.col("node_count")
     compact = F.concat(
@@ -249,8 +273,8 @@ class Extraction:
         return self.docs.select("file_ord", F.format_string("ast/%s.json", "file_id").alias("ast"), "ast_sha256", "bytes", "file_id", "node_count", "parse_error_count", "parse_ok", "path", "sha256")
 
     def stored(self) -> Extraction:
-        """The same tables over documents that are kept on disk, for uses that read them more than once."""
-        return Extraction(self.docs.persist(StorageLevel.DISK_ONLY))
+        """The same tables over documents written once, for uses that read them more than once; they go with the last reference."""
+        return Extraction(written(self.docs))
 
     def views(self) -> None:
         """Register docs, nodes, edges and files as temporary views for SQL."""
@@ -258,9 +282,9 @@ class Extraction:
             getattr(self, name).createOrReplaceTempView(name)
 
 
-def extract(files: DataFrame, pretty: bool = False) -> Extraction:
+def extract(files: DataFrame, pretty: bool = False, look: Look | None = None) -> Extraction:
     """``files``: file_ord, path, content, as the tree source gives or ``operators.scan.with_ids`` makes."""
-    return Extraction(documents(files, pretty))
+    return Extraction(documents(files, pretty, look))
 
 
 def lookup(files: DataFrame, path: str) -> DataFrame:

@@ -38,7 +38,7 @@ def wrapped(spark: SparkSession, sf_dir: str) -> Extraction:
     """Each document behind a short script that echoes its id."""
     docs = table(spark, sf_dir, "documents")
     content = F.concat(F.lit("<?php echo "), F.col("doc_id").cast("string"), F.lit("; ?>"), F.col("text")).cast("binary")
-    return extract(docs.select(F.col("doc_id").cast("int").alias("file_ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".php")).alias("path"), content.alias("content")))
+    return extract(docs.select(F.col("doc_id").alias("file_ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".php")).alias("path"), content.alias("content")))
 
 
 def file_ids(spark, sf_dir):
@@ -107,7 +107,7 @@ def wrapped_nodes(spark, sf_dir):
 def node_slices(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     content = F.concat(F.lit("<?php echo "), F.col("doc_id").cast("string"), F.lit("; ?>"), F.col("text")).cast("binary")
-    nodes = wrapped(spark, sf_dir).nodes.where("kind <> 'File'").select(F.col("file_ord").cast("long").alias("doc_id"), "node_ord", "loc")
+    nodes = wrapped(spark, sf_dir).nodes.where("kind <> 'File'").select(F.col("file_ord").alias("doc_id"), "node_ord", "loc")
     found = nodes.join(docs.select("doc_id", content.alias("content")), "doc_id")
     return found.select("doc_id", "node_ord", F.sha2(C.byte_slice(F.col("content"), F.col("loc.startByte"), F.col("loc.endByte")), 256).alias("sha256"))
 
@@ -157,7 +157,7 @@ def parse_failures(spark, sf_dir):
     """Every tenth document begins with an unclosed call."""
     docs = table(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("<?php f( ?>\n"), F.col("text"))).otherwise(F.col("text"))
-    x = extract(docs.select(F.col("doc_id").cast("int").alias("file_ord"), F.col("doc_id").cast("string").alias("path"), text.cast("binary").alias("content")))
+    x = extract(docs.select(F.col("doc_id").alias("file_ord"), F.col("doc_id").cast("string").alias("path"), text.cast("binary").alias("content")))
     return x.docs.where("not parse_ok").select("path", "parse_error_count", F.col("parse_errors")[0]["startLine"].alias("start_line"))
 
 
@@ -176,17 +176,17 @@ def scripted(spark: SparkSession, sf_dir: str) -> Extraction:
     """Each document behind a script with a comment, a block, a hole in a list, a string with a variable, and a newline after its tag."""
     docs = table(spark, sf_dir, "documents")
     content = F.concat(F.lit(SCRIPT), F.col("text")).cast("binary")
-    return extract(docs.select(F.col("doc_id").cast("int").alias("file_ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".php")).alias("path"), content.alias("content")))
+    return extract(docs.select(F.col("doc_id").alias("file_ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".php")).alias("path"), content.alias("content")))
 
 
 def script_nodes(spark, sf_dir):
     n, loc = scripted(spark, sf_dir).nodes, F.col("loc")
     attrs = F.when(F.col("kind") == "Stmt_InlineHTML", F.sha2("attrs_json", 256)).otherwise(F.col("attrs_json"))
-    return n.select(F.col("file_ord").cast("long").alias("doc_id"), "id", "kind", loc["startLine"].alias("start_line"), loc["startCol"].alias("start_col"), loc["startByte"].alias("start_byte"), loc["endByte"].alias("end_byte"), "parent", "subtree_end", "fields_json", attrs.alias("attrs"))
+    return n.select(F.col("file_ord").alias("doc_id"), "id", "kind", loc["startLine"].alias("start_line"), loc["startCol"].alias("start_col"), loc["startByte"].alias("start_byte"), loc["endByte"].alias("end_byte"), "parent", "subtree_end", "fields_json", attrs.alias("attrs"))
 
 
 def script_edges(spark, sf_dir):
-    return scripted(spark, sf_dir).edges.select(F.col("file_ord").cast("long").alias("doc_id"), "parent_ord", "field", "pos", "child_ord")
+    return scripted(spark, sf_dir).edges.select(F.col("file_ord").alias("doc_id"), "parent_ord", "field", "pos", "child_ord")
 
 
 SRC = """with src as (
@@ -213,7 +213,7 @@ select fid as file_id, path, 2 as "nodeCount", b::bigint as bytes, sha256(text)
     || '#00000","schemaVersion":"1.0","sha256":"' || sha256(text) || '"}}' || chr(10)) as "astSha256" from h"""
 #: Bytes of the short script before its closing tag's end, and the nodes it makes.
 WRAP = """with w as (
-  select doc_id::int as doc_id, length(cast(doc_id as varchar)) as d, octet_length(encode(text)) as b, text from documents),
+  select doc_id, length(cast(doc_id as varchar)) as d, octet_length(encode(text)) as b, text from documents),
 n as (
   select doc_id, 0 as ord, 'File' as kind, 0 as start_byte, 15 + d + b as end_byte, null::int as parent_ord, 4 as subtree_end, text from w
   union all select doc_id, 1, 'Stmt_Echo', 6, 12 + d, 0, 3, text from w
