@@ -2,13 +2,18 @@
 
 A vector is represented by the order in which it sees a set of pivots.  It is
 posted to the inverted files of its first ``posted`` pivots, with the first KEPT
-of the order; a query probes the files of its nearest pivots, ``probes`` times
-the root of their number.  In a file candidates are ranked by the footrule
-distance of their orders to the query's, and the best ``reranked`` share is
-rescored by the inner product in double precision.  Pivots grow as the square
-root of the number of vectors, so the share of the table that a query meets
-falls as the table grows; one law holds at every size, and with all files probed
-and all rows rescored the search is exact.
+of the order; a query probes the files of its nearest pivots.  In a file
+candidates are ranked by the footrule distance of their orders to the query's,
+and the best share is rescored by the inner product in double precision.
+
+How many files a query probes and what share of each is rescored is measured,
+not set: for a bounded sample of vectors (TUNED) the exact neighbours among all
+rows are found by one scan, and each pair tells how many files its query must
+probe to meet it, and how far down the ranking it stands among a bounded sample
+of rows (COMPARED).  The cheapest probes and share that find TARGET of these
+pairs are taken.  So recall holds at any size and for any spread of the vectors;
+what follows the data is the work.  With all files probed and all rows rescored
+the search is exact.
 
 Inner products need no unit vectors: with one more coordinate, the root of the
 largest squared norm less the vector's own (0 for a query), the nearest by angle
@@ -38,8 +43,12 @@ from pyspark.sql import functions as F
 
 from .shared import cut, mapped
 
-POSTED, KEPT, RERANKED, PROBES = 4, 64, 0.6, 3.6
+POSTED, KEPT = 4, 64
 MOST_PIVOTS, BLOCK_ROWS = 4096, 8192
+#: Vectors whose exact neighbours are found, rows they are compared with, and the share of neighbours that must be met.
+TUNED, COMPARED, TARGET = 160, 4096, 0.95
+#: What a candidate's ranking costs beside its rescoring.
+RANKING = 0.25
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, type]:
@@ -90,11 +99,7 @@ def posted(vectors: DataFrame, kind: type, pivots: np.ndarray, most: float, firs
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 x = np.frombuffer(b"".join(batch.column("v").to_pylist()), kind).reshape(batch.num_rows, -1).astype(np.float64)
-                if query:  # its own length plays no part
-                    near = (x / np.sqrt((x * x).sum(1))[:, None]) @ anchors[:, :-1].T
-                else:
-                    near = lifted(x, most) @ anchors.T
-                order = np.argsort(-near, axis=1, kind="stable")
+                order = orders(x, anchors, most, query)
                 take = pa.array(np.repeat(np.arange(batch.num_rows), first))
                 seen = [o.tobytes() for o in order[:, :kept].astype(small)]
                 made = [pa.array(order[:, :first].ravel().astype(np.int32)), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(seen, pa.binary()).take(take)]
@@ -129,11 +134,75 @@ def nearest_in_block(queries: pd.DataFrame, data: pd.DataFrame, kind: type, n_pi
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
-def nearest(vectors: DataFrame, every: int, k: int, n_posted: int = POSTED, probes: float = PROBES, reranked: float = RERANKED) -> DataFrame:
+def orders(x: np.ndarray, anchors: np.ndarray, most: float, query: bool) -> np.ndarray:
+    """The pivots of each vector, nearest first; of a query its own length plays no part."""
+    near = (x / np.sqrt((x * x).sum(1))[:, None]) @ anchors[:, :-1].T if query else lifted(x, most) @ anchors.T
+    return np.argsort(-near, axis=1, kind="stable")
+
+
+def exact_neighbours(vectors: DataFrame, kind: type, asked: list, k: int) -> list:
+    """Rows (n, v) of the k nearest of each of ``asked`` (vec_id, v), by one scan: a task keeps its k best of each."""
+    spark = vectors.sparkSession
+    given = spark.sparkContext.broadcast(([r.vec_id for r in asked], np.stack([np.frombuffer(r.v, kind) for r in asked]).astype(np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, queries = given.value
+        best: list[list[tuple[float, int, bytes]]] = [[] for _ in own]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids, raw = part.column("vec_id").to_pylist(), part.column("v").to_pylist()
+                scores = queries @ np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64).T
+                for n, row in enumerate(scores):
+                    top = np.argsort(-row)[: k + 1]
+                    met = best[n] + [(float(row[i]), -ids[i], raw[i]) for i in top if ids[i] != own[n]]
+                    best[n] = sorted(met, reverse=True)[:k]
+        rows = [(n, score, -less, v) for n, b in enumerate(best) for score, less, v in b]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.int64(), pa.binary()))], ["n", "score", "vec_id", "v"])
+
+    found = mapped(vectors.select("vec_id", "v"), run, "n int, score double, vec_id long, v binary")
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("n").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return best.select("n", "v").collect()  # TUNED times k at most
+
+
+def tuned(vectors: DataFrame, kind: type, pivots: np.ndarray, most: float, n_posted: int, k: int, target: float) -> tuple[int, float]:
+    """(files to probe, share to rescore) that meet ``target`` of the exact neighbours of a sample, at least cost."""
+    draw = vectors.orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id").limit(COMPARED).collect()
+    asked, anchors, kept = draw[:TUNED], lifted(pivots, most), min(KEPT, len(pivots))
+    array = lambda rows: np.stack([np.frombuffer(r.v, kind) for r in rows]).astype(np.float64)
+    met = exact_neighbours(vectors, kind, asked, k)
+    if not met:
+        return len(pivots), 1.0
+    seen, others, near = orders(array(asked), anchors, most, True), orders(array(draw), anchors, most, False), orders(array(met), anchors, most, False)
+    needed, places = np.empty(len(met), np.int64), np.empty(len(met))
+    for n in range(len(asked)):
+        own = np.array([i for i, r in enumerate(met) if r.n == n], np.int64)
+        if not len(own):
+            continue
+        rank = np.empty(len(pivots), np.int64)
+        rank[seen[n]] = np.arange(len(pivots))
+        needed[own] = rank[near[own, :n_posted]].min(axis=1) + 1
+        footrule = lambda order: np.abs(np.minimum(rank[order[:, :kept]], kept) - np.arange(kept)).sum(axis=1)  # noqa: B023, E731
+        # A file holds rows that share a pivot with the query: those of the sample that come to as few files.
+        to, of = rank[others[:, :n_posted]].min(axis=1) + 1, footrule(others)
+        for i, f in zip(own, footrule(near[own]), strict=True):
+            same = of[to <= needed[i]]
+            places[i] = (same <= f).mean() if len(same) >= 32 else 1.0
+    best = len(pivots), 1.0
+    cost = float("inf")
+    for probes in np.unique(np.quantile(needed, np.linspace(target, 1, 12), method="higher")):
+        inside = np.sort(np.where(needed <= probes, places, 2.0))
+        share = min(1.0, float(inside[min(len(inside) - 1, int(np.ceil(target * len(inside))))]) * 1.1 + 0.02)
+        if share <= 1.0 and probes * (RANKING + share) < cost:
+            best, cost = (int(probes), share), probes * (RANKING + share)
+    return best
+
+
+def nearest(vectors: DataFrame, every: int, k: int, n_posted: int = POSTED, probes: int | None = None, reranked: float | None = None, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): for vectors whose id is divisible by ``every`` their k nearest found.
 
-    A vector stands in ``n_posted`` files; a query probes ``probes`` times the
-    root of their number and rescores the share ``reranked`` of each.
+    A vector stands in ``n_posted`` files; a query probes ``probes`` files and
+    rescores the share ``reranked`` of each, both measured where they are not given.
     """
     spark = vectors.sparkSession
     given, kind = usable(vectors)
@@ -146,8 +215,11 @@ def nearest(vectors: DataFrame, every: int, k: int, n_posted: int = POSTED, prob
     most = held.agg(F.max("norm2")).first()[0]
     pivots = choose_pivots(held, length["count"], kind)
     n_pivots = len(pivots)
-    probed = int(min(n_pivots, np.ceil(probes * n_pivots**0.5)))
-    data = posted(held, kind, pivots, most, min(n_posted, n_pivots), query=False)
+    n_posted = min(n_posted, n_pivots)
+    if probes is None or reranked is None:
+        probes, reranked = tuned(held, kind, pivots, most, n_posted, k, target)
+    probed = min(n_pivots, probes)
+    data = posted(held, kind, pivots, most, n_posted, query=False)
     queries = posted(held.where(F.col("vec_id") % every == 0), kind, pivots, most, probed, query=True)
     # Sizes of the files on either side: one row a pivot, so at most MOST_PIVOTS.
     blocks = lambda df, name: df.groupBy("pivot").agg(F.expr(f"cast(ceil(count(*) / {BLOCK_ROWS}) as int)").alias(name))
