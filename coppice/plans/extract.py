@@ -68,12 +68,20 @@ _ARROW_NODES = pa.list_(pa.struct([
 _NODES = "array<struct<kind:string,field:string,pos:int,fields:array<struct<name:string,many:boolean>>,holes:array<struct<field:string,pos:int>>,attrs:string,message:string," + ",".join(f"`{c}`:int" for c in PLACE) + ">>"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows by file, in as many partitions as the session has: they take more time than their few bytes tell, so none are drawn together.
+
+    Asked for again behind Python, where Spark forgets how rows are dealt.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_ord")
+
+
 def found_nodes(files: DataFrame, large: bool = True) -> DataFrame:
     """(file_ord, block, stmt, local, and the fields of a found node) of every statement, chains and cases with their whole extent."""
-    items = nesting.statements(nesting.without_broken(nesting.checked(nesting.blocks(lexing.items(files, large=large)))))
+    items = nesting.statements(nesting.without_broken(nesting.checked(nesting.blocks(dealt(lexing.items(files, large=large))))))
     gathered = items.groupBy("file_ord", "block", "stmt").agg(F.array_sort(F.collect_list(F.struct("at", "type", "text", *PLACE))).alias("items"))
     read = gathered.select("file_ord", "block", "stmt", F.posexplode(F.arrow_udf(statement_nodes, _NODES)("items")).alias("local", "n")).select("file_ord", "block", "stmt", "local", "n.*")
-    return nesting.chained(read.withColumn("root", (F.col("local") == 0) & F.col("kind").isNotNull()))
+    return nesting.chained(dealt(read).withColumn("root", (F.col("local") == 0) & F.col("kind").isNotNull()))
 
 
 def numbered_nodes(found: DataFrame) -> DataFrame:
@@ -151,7 +159,7 @@ def with_found(files: DataFrame, large: bool) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("key") > 0, F.struct("key", "own", "kids")))).cast(_FOUND).alias("found"), F.first(F.when(F.col("key") == 0, F.col("kids")), ignorenulls=True).cast(_KIDS).alias("top"),
         F.flatten(F.collect_list("errors")).cast(_ERRORS).alias("errors"),
     )
-    return files.join(of_file, "file_ord", "left")
+    return dealt(files).join(of_file, "file_ord", "left")
 
 
 def parsed(files: DataFrame, look: Look | None = None) -> DataFrame:
@@ -288,5 +296,10 @@ def extract(files: DataFrame, pretty: bool = False, look: Look | None = None) ->
 
 
 def lookup(files: DataFrame, path: str) -> DataFrame:
-    """The AST document of one path; only that file is parsed."""
+    """The AST document of one path; only that file is parsed, and a tree's reader opens no other."""
     return extract(files.where(F.col("path") == path)).docs
+
+
+def under(files: DataFrame, prefix: str) -> DataFrame:
+    """The AST documents of the paths that begin with ``prefix``; only those files are parsed, and a tree's reader opens no others."""
+    return extract(files.where(F.col("path").startswith(prefix))).docs

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions import columns as C
-from coppice.operators import checks, rollup, scan
-from coppice.plans.extract import Extraction, extract, lookup
+from coppice.operators import checks, places, rollup, scan, structural
+from coppice.plans.extract import Extraction, extract, lookup, under
 
 HIDDEN_DIRS = ("src0", "src1")
 
@@ -189,10 +189,56 @@ def script_edges(spark, sf_dir):
     return scripted(spark, sf_dir).edges.select(F.col("file_ord").alias("doc_id"), "parent_ord", "field", "pos", "child_ord")
 
 
+def before_text(spark: SparkSession, sf_dir: str, script: str) -> Extraction:
+    """Each document behind a script."""
+    content = F.concat(F.lit(script), F.col("text")).cast("binary")
+    return extract(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".php")).alias("path"), content.alias("content")))
+
+
+def chained_nodes(spark, sf_dir):
+    """Statements without braces: which if an else goes on with, which do a while, and how far each reaches."""
+    n, loc = before_text(spark, sf_dir, CHAINS).nodes.where("kind like 'Stmt_%'"), F.col("loc")
+    return n.select(F.col("file_ord").alias("doc_id"), F.col("node_ord").alias("ord"), "kind", loc["startByte"].alias("start_byte"), loc["endByte"].alias("end_byte"), "parent_ord", "subtree_end")
+
+
+def group_uses(spark, sf_dir):
+    """Imports in groups, and strings with quotes in their expressions."""
+    n, loc = before_text(spark, sf_dir, GROUP).nodes.where("node_ord between 1 and 3"), F.col("loc")
+    return n.select(F.col("file_ord").alias("doc_id"), F.col("node_ord").alias("ord"), "kind", loc["startByte"].alias("start_byte"), loc["endByte"].alias("end_byte"), "parent_ord", F.col("attrs_json").alias("attrs"))
+
+
+def nodes_under(spark, sf_dir):
+    """Variables under ifs, assignments and calls, and how many of these are between the two."""
+    found = structural.contained(scripted(spark, sf_dir).nodes, F.col("kind") == "Expr_Variable", F.col("kind").isin(*OUTER))
+    return found.select(F.col("file_ord").alias("doc_id"), "outer_ord", "node_ord", "between")
+
+
+def full_stops(spark, sf_dir):
+    """The line and column of every full stop."""
+    files = files_of(spark, sf_dir).select("path", "content")
+    stops = files.select("path", F.explode(scan.places_of(ord("."))("content")).alias("byte"))
+    return places.located(stops, scan.line_starts(files))
+
+
+def paths_under(spark, sf_dir):
+    """The documents of the files whose paths begin alike."""
+    files = scan.with_ids(files_of(spark, sf_dir))
+    return under(files, "src1").select("file_id", "path", "sha256", "node_count")
+
+
 SRC = """with src as (
   select source || '/' || cast(doc_id as varchar) || case lang when 'en' then '.php' when 'de' then '.PHP' when 'fr' then '.inc' else '.txt' end as path,
          text, doc_id from documents), kept as (select * from src where lower(path) like '%.php' or lower(path) like '%.inc')"""
 SCRIPT = '<?php /* c */ if ($x) { list(, $b) = f("a$b"); } ?>\n'
+CHAINS = "<?php foreach ($a as $b) if ($c) d(); else e(); do if ($f) g(); else h(); while ($i); if ($j) if ($k) l(); else m(); ?>\n"
+GROUP = '<?php use C\\{D, E as F}; echo "{$a["x"]}"; ?>\n'
+OUTER = ("Stmt_If", "Expr_Assign", "Expr_FuncCall")
+#: ord, kind, startByte, endByte, parent, subtree_end of the statements in CHAINS.
+CHAIN_NODES = """(values
+  (1, 'Stmt_Foreach', 6, 47, 0, 13), (4, 'Stmt_If', 25, 47, 1, 13), (6, 'Stmt_Expression', 33, 37, 4, 9), (9, 'Stmt_Else', 38, 47, 4, 13), (10, 'Stmt_Expression', 43, 47, 9, 13),
+  (13, 'Stmt_Do', 48, 85, 0, 25), (14, 'Stmt_If', 51, 73, 13, 23), (16, 'Stmt_Expression', 59, 63, 14, 19), (19, 'Stmt_Else', 64, 73, 14, 23), (20, 'Stmt_Expression', 69, 73, 19, 23),
+  (23, 'Stmt_While', 74, 85, 13, 25), (25, 'Stmt_If', 86, 116, 0, 36), (27, 'Stmt_If', 94, 116, 25, 36), (29, 'Stmt_Expression', 102, 106, 27, 32), (32, 'Stmt_Else', 107, 116, 27, 36), (33, 'Stmt_Expression', 112, 116, 32, 36)
+) as s(ord, kind, a, b, p, e)"""
 #: ord, kind, startByte, endByte, parent, subtree_end, fields with ids as #n, attrs: the script's nodes but for the file and its text.
 SCRIPT_NODES = """(values
   (1, 'Stmt_If', 14, 48, 0, 12, '{"cond":#2,"else":null,"elseifs":[],"stmts":[#3]}', '{}'),
@@ -262,6 +308,20 @@ select doc_id, fid || printf('#%05d', ord) as id, kind, case when ord = 12 then
 from n""",
     "script_edges": """select doc_id, e.* from documents, (values (0, 'stmts', 0, 1), (0, 'stmts', 1, 12), (1, 'cond', null, 2), (1, 'stmts', 0, 3), (3, 'expr', null, 4), (4, 'var', null, 5), (4, 'expr', null, 8),
   (5, 'items', 0, null), (5, 'items', 1, 6), (6, 'value', null, 7), (8, 'name', null, 9), (8, 'args', 0, 10), (10, 'value', null, 11)) as e(parent_ord, field, pos, child_ord)""",
+    "chained_nodes": f"""select doc_id, ord, kind, a as start_byte, b as end_byte, p as parent_ord, e as subtree_end from documents, {CHAIN_NODES}
+  union all select doc_id, 36, 'Stmt_InlineHTML', 120, (120 + octet_length(encode(text)))::int, 0, 37 from documents where octet_length(encode(text)) > 0""",
+    "group_uses": """select doc_id, s.* from documents, (values (1, 'Stmt_Use', 6, 24, 0, '{"signature":"C\\\\ { D , E as F }"}'), (2, 'Stmt_Echo', 25, 42, 0, '{}'),
+  (3, 'Scalar_InterpolatedString', 30, 41, 2, '{"_kind":2,"value":"{$a[\\"x\\"]}","variables":"a"}')) as s(ord, kind, start_byte, end_byte, parent_ord, attrs)""",
+    "nodes_under": f"""with s as (select * from {SCRIPT_NODES}), o as (select * from s where kind in {OUTER}),
+p as (select o.ord as outer_ord, i.ord as node_ord, (select count(*) from o as m where m.ord > o.ord and m.ord < i.ord and i.ord < m.e)::int as between from o, s as i where i.kind = 'Expr_Variable' and o.ord < i.ord and i.ord < o.e)
+select doc_id, p.* from documents, p""",
+    "full_stops": f"""{SRC}, parts as (select path, string_split(text, '.') as p from src),
+t as (select path, unnest(p) as s, generate_subscripts(p, 1) as n, len(p) as parts from parts),
+stops as (select path, (sum(octet_length(encode(s)) + 1) over (partition by path order by n) - 1)::bigint as byte, n, parts from t),
+l as (select path, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as line from src),
+lines as (select path, line::bigint as line, coalesce(sum(octet_length(encode(s)) + 1) over (partition by path order by line rows between unbounded preceding and 1 preceding), 0)::bigint as start from l)
+select stops.path, stops.byte, lines.line, stops.byte - lines.start as col from stops asof join lines on stops.path = lines.path and stops.byte >= lines.start where n < parts""",
+    "paths_under": f"{SRC}, n as (select *, printf('f%03d', row_number() over (order by path) - 1) as file_id from src) select file_id, path, sha256(text) as sha256, 2 as node_count from n where starts_with(path, 'src1')",
 }
 
 
