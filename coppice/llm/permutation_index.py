@@ -43,12 +43,12 @@ from pyspark.sql import functions as F
 
 from .shared import cut, mapped
 
-POSTED, KEPT = 4, 64
+POSTED, KEPT = 4, 128
 MOST_PIVOTS, BLOCK_ROWS = 4096, 8192
 #: Vectors whose exact neighbours are found, rows they are compared with, and the share of neighbours that must be met.
 TUNED, COMPARED, TARGET = 160, 4096, 0.95
 #: What a candidate's ranking costs beside its rescoring.
-RANKING = 0.25
+RANKING = 0.5
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, type]:
@@ -183,17 +183,17 @@ def tuned(vectors: DataFrame, kind: type, pivots: np.ndarray, most: float, n_pos
         rank[seen[n]] = np.arange(len(pivots))
         needed[own] = rank[near[own, :n_posted]].min(axis=1) + 1
         footrule = lambda order: np.abs(np.minimum(rank[order[:, :kept]], kept) - np.arange(kept)).sum(axis=1)  # noqa: B023, E731
-        # A file holds rows that share a pivot with the query: those of the sample that come to as few files.
+        # A file holds rows that share a pivot with the query: those of the sample that come to as few files, or the nearest.
         to, of = rank[others[:, :n_posted]].min(axis=1) + 1, footrule(others)
+        few = np.sort(to)[min(len(to), 64) - 1]
         for i, f in zip(own, footrule(near[own]), strict=True):
-            same = of[to <= needed[i]]
-            places[i] = (same <= f).mean() if len(same) >= 32 else 1.0
+            places[i] = (of[to <= max(needed[i], few)] <= f).mean()
     best = len(pivots), 1.0
     cost = float("inf")
     for probes in np.unique(np.quantile(needed, np.linspace(target, 1, 12), method="higher")):
-        inside = np.sort(np.where(needed <= probes, places, 2.0))
+        inside = np.sort(np.where(needed <= probes, places, 1.0))
         share = min(1.0, float(inside[min(len(inside) - 1, int(np.ceil(target * len(inside))))]) * 1.1 + 0.02)
-        if share <= 1.0 and probes * (RANKING + share) < cost:
+        if probes * (RANKING + share) < cost:
             best, cost = (int(probes), share), probes * (RANKING + share)
     return best
 
