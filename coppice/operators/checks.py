@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coppice.operators.written import written
+
 
 def broken_parents(nodes: DataFrame) -> DataFrame:
     """Nodes whose parent does not exist or does not list them as a child."""
@@ -44,6 +46,28 @@ def tree_diff(a: DataFrame, b: DataFrame, key: str = "path", value: str = "ast_s
     return joined.select(key, status.alias("status"))
 
 
+def reconciled(a: DataFrame, b: DataFrame, key: str = "path", value: str = "ast_sha256", ranges: int = 1 << 14) -> DataFrame:
+    """The rows of ``tree_diff`` where few differ: sums of ranges of keys are compared first, and only ranges that differ are joined.
+
+    A range is a part of the keys by hash; its sum is the number of its rows and
+    two sums of 64-bit hashes of key and value, which a task adds up before they
+    move.  Rows of equal ranges stay where they are.  Two ranges with the same
+    sums but other rows need a coincidence in 128 bits.  Repeated keys are joined
+    with one another as in ``tree_diff`` where their range differs; where it does
+    not, each row stands once.  A null key is in one side alone, as there.
+    """
+    range_of = F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int")
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), key, value).cast("decimal(20,0)"))
+    placed = lambda df: df.select(key, value, range_of.alias("__range"))
+    left, right = placed(a), placed(b)
+    sums = lambda df, side: df.groupBy("__range").agg(F.struct(F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("nulls"), total(3).alias("x"), total(5).alias("y")).alias(side))
+    both = sums(left, "l").join(sums(right, "r"), "__range", "full")
+    other = written(both.where(~F.col("l").eqNullSafe(F.col("r")) | (F.coalesce("l.nulls", F.lit(0)) > 0)).select("__range"))
+    few = F.broadcast(other)  # a number a range at most
+    same = left.join(few, "__range", "left_anti").select(key, F.lit("same").alias("status"))
+    return same.unionByName(tree_diff(left.join(few, "__range", "left_semi"), right.join(few, "__range", "left_semi"), key, value))
+
+
 def changed_bytes(files: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Entries whose hash or size differs from one recomputed from the bytes (path, sha256, bytes)."""
     return files.select("path", "sha256", "bytes").exceptAll(recomputed.select("path", "sha256", "bytes"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions import columns as C
-from coppice.operators import checks, places, rollup, scan, structural
+from coppice.operators import checks, hash_tree, places, rollup, scan, structural
 from coppice.plans.extract import Extraction, extract, lookup, under
 
 HIDDEN_DIRS = ("src0", "src1")
@@ -145,12 +145,27 @@ def violations(spark, sf_dir):
 
 def tree_diff(spark, sf_dir):
     """All documents against all documents, of which some moved to another key and some changed."""
+    return checks.tree_diff(*two_trees(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def tree_reconcile(spark, sf_dir):
+    """The same rows, of which only ranges of keys that differ are joined."""
+    return checks.reconciled(*two_trees(spark, sf_dir))
+
+
+def two_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", F.col("text").cast("binary").alias("content"))
     moved = F.when(F.col("doc_id") % 13 == 0, F.concat("path", F.lit("-moved"))).otherwise(F.col("path"))
     changed = F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("x").cast("binary"))).otherwise(F.col("content"))
     a = docs.select("path", F.sha2("content", 256).alias("ast_sha256"))
     b = docs.select(moved.alias("path"), F.sha2(changed, 256).alias("ast_sha256"))
-    return checks.tree_diff(a, b).groupBy("status").agg(F.count("*").alias("n"))
+    return a, b
+
+
+def entry_hash_tree(spark, sf_dir):
+    """The root of a hash tree over paths and hashes in path order, sixteen digests to one."""
+    files = scan.with_ids(files_of(spark, sf_dir))
+    return hash_tree.root_of(files.select(F.col("file_ord").alias("pos"), F.sha2(F.concat("path", F.lit(":"), F.sha2("content", 256)), 256).alias("digest")), fan=16)
 
 
 def parse_failures(spark, sf_dir):
@@ -294,6 +309,12 @@ from (values ('parents', [3, 7, 9]), ('children', [3, 9]), ('fields', [7, 9]), (
 b as (select cast(doc_id as varchar) || case when doc_id % 13 = 0 then '-moved' else '' end as path, case when doc_id % 7 = 0 then text || 'x' else text end as text from documents)
 select case when b.path is null then 'left_only' when a.path is null then 'right_only' when a.text = b.text then 'same' else 'differs' end as status, count(*) as n
 from a full join b on a.path = b.path group by 1""",
+    "tree_reconcile": """with a as (select cast(doc_id as varchar) as path, text from documents),
+b as (select cast(doc_id as varchar) || case when doc_id % 13 = 0 then '-moved' else '' end as path, case when doc_id % 7 = 0 then text || 'x' else text end as text from documents)
+select coalesce(a.path, b.path) as path, case when b.path is null then 'left_only' when a.path is null then 'right_only' when a.text = b.text then 'same' else 'differs' end as status
+from a full join b on a.path = b.path""",
+    "entry_hash_tree": f"""{SRC}, l0 as (select row_number() over (order by path) - 1 as pos, sha256(path || ':' || sha256(text)) as digest from src),
+""" + ",\n".join(f"l{k} as (select pos // 16 as pos, case when (select count(*) from l{k - 1}) = 1 then min(digest) else sha256(string_agg(digest, chr(10) order by pos)) end as digest from l{k - 1} group by pos // 16)" for k in range(1, 8)) + " select digest from l7",
     "parse_failures": "select cast(doc_id as varchar) as path, 1 as parse_error_count, 1 as start_line from documents where doc_id % 10 = 0",
     "path_lookup": f"{SRC} select path, sha256(text) as sha256, 2 as node_count from src where path = 'src7/7.php'",
     "changed_bytes": "select count(*) as violations from documents where doc_id % 6 = 0",

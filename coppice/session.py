@@ -12,6 +12,7 @@ def build_session(app: str = "coppice", **extra: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.chunkBase64String.enabled": "false",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
     } | extra
     return SparkSession.builder.appName(app).config(map=conf).getOrCreate()

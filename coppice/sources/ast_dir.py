@@ -3,10 +3,14 @@
 Rows have file_id, path, sha256, bytes, node_count, parse_ok,
 parse_error_count, ast_json, ast_sha256.  Old output is cleared first, and tasks
 write under a temporary name and rename.  The entry of each file goes into a
-part file of its task; ``write_manifest`` reads them sorted by path, a partition
-at a time, once the write has succeeded, so a failed run leaves no manifest and
-no list of files is held anywhere.  The folder must be one that all executors
-and the driver see.
+part file of its task.  ``write_manifest`` deals the entries into ranges of
+paths; the tasks of the ranges write their text into the one manifest file, each
+where its range begins, once the write of the documents has succeeded, so a
+failed run leaves no manifest, and no list of files is held anywhere.  The
+folder must be one that all executors and the driver see.
+
+``contentHash`` is the hash of the compact manifest with, in place of the list
+of files, the root of a hash tree (operators/hash_tree) over its entries.
 """
 
 from __future__ import annotations
@@ -17,12 +21,17 @@ import shutil
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from coppice.functions.literals import canonical
+from coppice.operators.hash_tree import FAN, root_of
+from coppice.operators.written import written
 from coppice.plans.extract import PARSER, SCHEMA_VERSION, TOOL
 
 COLUMNS = "file_id string, path string, sha256 string, bytes bigint, node_count int, parse_ok boolean, parse_error_count int, ast_json string, ast_sha256 string"
@@ -43,35 +52,73 @@ def put(out: str, name: str, pieces: Iterable[str]) -> None:
     os.replace(temporary, os.path.join(out, name))
 
 
-def manifest_text(head: dict, entries: Iterable[dict], indent: int | None) -> Iterator[str]:
-    """The canonical text of ``head`` with ``entries`` as its list of files, piece by piece."""
-    mark = "\0"
-    before, after = canonical(head | {"files": [mark]}, indent).split(canonical(mark))
-    yield before
-    gap, first = before[before.rindex("[") + 1 :], True
-    for e in entries:
-        yield ("" if first else "," + gap) + canonical(e, indent).replace("\n", "\n" + gap.strip("\n"))
-        first = False
-    yield after + "\n"
+class Manifest(dict):
+    """A manifest without its list of files; ``entries`` are these as rows."""
+
+    entries: DataFrame
+
+
+def rendered(rows: DataFrame, gap: str) -> DataFrame:
+    """(part, seq, path, digest, text) of entries by ranges of paths: the digest of the compact form, and the text as it stands in the manifest behind a comma."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            out = []
+            for e in batch.to_pylist():
+                out.append((part, seq, e["path"], hashlib.sha256(canonical(e).encode()).hexdigest(), "," + gap + canonical(e, 1).replace("\n", "\n" + gap.strip("\n"))))
+                seq += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["part", "seq", "path", "digest", "text"])
 
-def write_manifest(spark: SparkSession, out: str, excluded: list[dict], extensions: list[str]) -> dict:
+    return rows.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(run, "part int, seq long, path string, digest string, text string")
+
+
+def write_manifest(spark: SparkSession, out: str, excluded: list[dict], extensions: list[str], fan: int = FAN) -> Manifest:
     """Write the manifest over the entries that tasks left; it is returned without its list of files.
 
-    contentHash covers everything else in the compact text.  Entries come to
-    the driver sorted, a partition at a time, and are not kept.
+    The driver sees a sum a range of paths: how many entries it has and how many bytes they take.
     """
     parts = os.path.join(out, PARTS)
-    rows = spark.read.schema(ENTRY).json(parts).orderBy("path") if os.listdir(parts) else spark.createDataFrame([], ENTRY)
+    rows = written(spark.read.schema(ENTRY).json(parts) if os.listdir(parts) else spark.createDataFrame([], ENTRY))
     files, nodes, failures = rows.agg(F.count("*"), F.coalesce(F.sum("nodeCount"), F.lit(0)), F.count_if(~F.col("parseOk"))).first()
-    head = {"excluded": excluded, "extensions": sorted(extensions), "parser": PARSER, "schemaVersion": SCHEMA_VERSION, "tool": TOOL, "totals": {"files": files, "nodes": nodes, "parseFailures": failures}}
-    entries = lambda: (r.asDict() for r in rows.toLocalIterator()) if files else iter(())
-    digest = hashlib.sha256()
-    for piece in manifest_text(head, entries(), None) if files else [canonical(head | {"files": []}) + "\n"]:
-        digest.update(piece.encode())
-    head["contentHash"] = digest.hexdigest()
-    put(out, "manifest.json", manifest_text(head, entries(), 1) if files else [canonical(head | {"files": []}, 1) + "\n"])
+    head = Manifest(excluded=excluded, extensions=sorted(extensions), parser=PARSER, schemaVersion=SCHEMA_VERSION, tool=TOOL, totals={"files": files, "nodes": nodes, "parseFailures": failures})
+    mark = "\0"
+    shown = lambda: canonical(head | {"files": [mark]}, 1).split(canonical(mark))
+    gap = (text := shown()[0])[text.rindex("[") + 1 :]
+    texts = written(rendered(rows, gap))
+    ranges = texts.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("part").collect()  # one row a range
+    before, at = dict(zip([r.part for r in ranges], accumulate([0, *(r.n for r in ranges)]))), dict(zip([r.part for r in ranges], accumulate([0, *(r.bytes for r in ranges)])))
+    first = F.create_map(*[F.lit(x) for part in before.items() for x in part]) if before else F.create_map(F.lit(0), F.lit(0))
+    head["contentHash"] = hashlib.sha256(f"{canonical(head | {'files': root_of(texts.select((F.col('seq') + first[F.col('part')]).alias('pos'), 'digest'), fan).first()[0]})}\n".encode()).hexdigest()
+    above, below = (x.encode() for x in shown())
+    if not files:
+        above, below = (canonical(head | {"files": []}, 1)).encode(), b""
+    below += b"\n"
+    lowest = ranges[0].part if ranges else 0
+    skipped, temporary = len("," + gap) if files else 0, os.path.join(out, f".manifest.{uuid.uuid4().hex}")
+    size = sum(r.bytes for r in ranges) - skipped
+    with open(temporary, "wb") as f:
+        f.write(above)
+        f.truncate(len(above) + size)
+        f.seek(len(above) + size)
+        f.write(below)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(temporary, "r+b") as f:
+            part = None
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["part"] != part:
+                        part = row["part"]
+                        f.seek(len(above) + at[part] - skipped * (part != lowest))
+                    text = row["text"].encode()
+                    f.write(text[skipped:] if part == lowest and row["seq"] == 0 else text)
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["n"])
+
+    texts.mapInArrow(place, "n long").count()  # as written: a range a task, in order
+    os.replace(temporary, os.path.join(out, "manifest.json"))
     shutil.rmtree(parts)
+    head.entries = rows
     return head
 
 

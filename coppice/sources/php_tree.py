@@ -5,8 +5,10 @@
 
 Files come with their number in byte order of the relative path; with option
 ``table`` set to ``excluded`` the rows are the excluded directories instead.
-The walk lists names only; contents are read once, in the tasks, which share
-out the files by size.
+The walk lists names only; contents are read in the tasks, which share out the
+files by size.  Equality and a prefix of ``path`` are taken over by the reader
+(where the session allows it, see coppice.session), so files whose path does not
+match keep their number but are not opened.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ import os
 import stat
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, IsNotNull, StringStartsWith
 
 from coppice.operators.scan import EXCLUDED, EXTENSIONS
 
 PARTITION_BYTES = 16 << 20
-FILES, HIDDEN = "file_ord int, path string, content binary", "dir string, files bigint"
+FILES, HIDDEN = "file_ord long, path string, content binary", "dir string, files bigint"
 
 
 class TreeError(Exception):
@@ -77,6 +79,19 @@ class TreeReader(DataSourceReader):
         self.extensions = normal_extensions(options.get("extensions", ",".join(EXTENSIONS)))
         self.exclude = tuple(d for d in options.get("exclude", ",".join(EXCLUDED)).split(",") if d)
         self.table, self.size = options.get("table", "files"), int(options.get("partitionBytes", PARTITION_BYTES))
+        self.equal: list[str] = []
+        self.begins: list[str] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes over what is asked of the path alone."""
+        for f in filters:
+            if self.table != "files" or getattr(f, "attribute", None) != ("path",) or not isinstance(f, EqualTo | StringStartsWith | IsNotNull):
+                yield f
+            elif not isinstance(f, IsNotNull):  # no path is null
+                (self.equal if isinstance(f, EqualTo) else self.begins).append(f.value)
+
+    def wanted(self, path: str) -> bool:
+        return all(path == x for x in self.equal) and all(path.startswith(x) for x in self.begins)
 
     def partitions(self) -> list[InputPartition]:
         if not os.path.isdir(self.root):
@@ -86,6 +101,8 @@ class TreeReader(DataSourceReader):
             return [Hidden(hidden)]
         packs, held = [[]], 0
         for n, (path, size) in enumerate(files):
+            if not self.wanted(path):
+                continue
             if packs[-1] and held + size > self.size:
                 packs.append([])
                 held = 0

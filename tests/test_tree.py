@@ -57,7 +57,9 @@ def test_tree_documents_and_manifest(spark, tree, tmp_path):
         assert all(n["id"].startswith(f["fileId"] + "#") for n in doc["nodes"])
         check_nesting(doc["nodes"], raw)
     body = {k: v for k, v in m.items() if k != "contentHash"}
-    assert m["contentHash"] == hashlib.sha256((canonical(body) + "\n").encode()).hexdigest()
+    leaves = [hashlib.sha256(canonical(e).encode()).hexdigest() for e in m["files"]]  # fewer than a node of the hash tree holds
+    root = hashlib.sha256("\n".join(leaves).encode()).hexdigest()
+    assert m["contentHash"] == hashlib.sha256((canonical(body | {"files": root}) + "\n").encode()).hexdigest()
     assert (out / "manifest.json").read_text() == canonical(m, indent=1) + "\n"
     written = read_documents(spark, str(out))
     listed = spark.createDataFrame([(f["ast"], f["path"], f["sha256"], f["bytes"]) for f in m["files"]], "ast string, path string, sha256 string, bytes long")
