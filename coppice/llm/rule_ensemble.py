@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import ratio, with_stats
-from .shared import cut
+from .shared import broadcast_if_small, cut
 
 SAMPLE, TREES, DEPTH, PENALTY, SEED, THRESHOLD = 20_000, 16, 3, 0.002, 11, 0.7
 
@@ -119,7 +119,10 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     share = min(1.0, sample / max(1, given.count()))
     drawn = given.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     values = features(F.col("stats"))
-    training = stats.dropDuplicates(["doc_id"]).join(drawn, "doc_id").select(F.array(*[v.cast("double") for v in values]).alias("values"), F.col("quality").cast("double").alias("label"))
-    ensemble = RuleEnsemble.fit(cut(training.coalesce(8)))
+    # Only statistics of drawn documents move; of several texts of an id the smallest by a hash is taken.
+    rows = stats.join(broadcast_if_small(cut(drawn)), "doc_id").select("doc_id", "quality", F.array(*[v.cast("double") for v in values]).alias("values"))
+    own = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("values").alias("hash"), "values")).alias("own"))
+    training = own.repartition(8, "doc_id").sortWithinPartitions("doc_id").select(F.col("own.values").alias("values"), F.col("quality").cast("double").alias("label"))
+    ensemble = RuleEnsemble.fit(cut(training))
     out = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), ensemble.score(values).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
