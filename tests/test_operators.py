@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from coppice.operators import checks, hash_tree, places, scan, structural
+from coppice.operators import checks, hash_tree, places, scan, structural, walk
 from coppice.plans.extract import lookup, under
 from coppice.plans.tree import read_tree
 from coppice.sources.php_tree import TreeReader
@@ -118,3 +118,22 @@ def test_filters_on_paths_reach_the_reader(spark, tmp_path):
     assert "a/y.php" not in scans._jdf.queryExecution().executedPlan().toString()  # no filter is left to Spark
     assert [r.file_id for r in lookup(tree, "a/y.php").collect()] == ["f001"]
     assert sorted(r.path for r in under(tree, "a/").select("path").collect()) == ["a/x.php", "a/y.php"]
+
+
+def test_walk_by_rounds_equals_the_reader(spark, tmp_path):
+    root = tmp_path / "s"
+    names = (".h.php", "_d/z.php", "B.PHP", "x.inc", "a b.php", "é.php", "sub.x/1.php", "sub/1.php", "node_modules/m.php", "node_modules/deep/q.inc", "deep/node_modules/node_modules/n.php", "deep/er/and/er/w.php", "readme.txt", "empty.php", ".git/only.txt")
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if name == "empty.php" else name.encode())
+    (root / "link.php").symlink_to(root / "x.inc")
+    (root / "linked").symlink_to(root / "sub")
+    (root / "node_modules" / "l.php").symlink_to(root / "gone")
+    (root / "void").mkdir()
+    files, hidden = walk.walked(spark, str(root))
+    want = read_tree(spark, str(root))
+    rows = lambda df: sorted((r.file_ord, r.path, bytes(r.content)) for r in df.collect())
+    assert rows(walk.read_walked(files, str(root))) == rows(want)
+    assert {(r.dir, r.files) for r in hidden.collect()} == {(r.dir, r.files) for r in read_tree(spark, str(root), table="excluded").collect()} == {("node_modules", 3), ("deep/node_modules", 1)}
+    nothing, _ = walk.walked(spark, str(root / "void"))
+    assert nothing.count() == 0 and walk.read_walked(nothing, str(root / "void")).count() == 0
