@@ -31,6 +31,8 @@ from .warc_bundles import open_folder
 
 #: Entries a shard gets on average, counting each as often as it occurs.
 SHARD_ENTRIES = 1 << 21
+#: Files a reader of one table has mapped at once; a process may not map any number.
+MOST_MAPPED = 4096
 
 
 def bits_for(entries: float) -> int:
@@ -138,6 +140,8 @@ class Reader:
                 size = entries * np.dtype(kind).itemsize
                 parts.append(whole[at : at + size].view(kind))
                 at += size
+            if len(self.held) >= MOST_MAPPED:
+                self.held.clear()
             self.held[n] = tuple(parts)
         return self.held[n]
 
