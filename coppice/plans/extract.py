@@ -69,11 +69,8 @@ _NODES = "array<struct<kind:string,field:string,pos:int,fields:array<struct<name
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """Rows by file, in as many partitions as the session has: they take more time than their few bytes tell, so none are drawn together.
-
-    Asked for again behind Python, where Spark forgets how rows are dealt.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_ord")
+    """Rows by file; asked for again behind Python, where Spark forgets how rows are dealt."""
+    return df.repartition("file_ord")
 
 
 def found_nodes(files: DataFrame, large: bool = True) -> DataFrame:
@@ -159,7 +156,7 @@ def with_found(files: DataFrame, large: bool) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("key") > 0, F.struct("key", "own", "kids")))).cast(_FOUND).alias("found"), F.first(F.when(F.col("key") == 0, F.col("kids")), ignorenulls=True).cast(_KIDS).alias("top"),
         F.flatten(F.collect_list("errors")).cast(_ERRORS).alias("errors"),
     )
-    return dealt(files).join(of_file, "file_ord", "left")
+    return files.join(of_file, "file_ord", "left")
 
 
 def parsed(files: DataFrame, look: Look | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ def build_session(app: str = "coppice", **extra: str) -> SparkSession:
         "spark.sql.chunkBase64String.enabled": "false",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         "spark.sql.python.filterPushdown.enabled": "true",
+        # The windows of a syntax tree take more time than their few bytes tell.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.ui.showConsoleProgress": "false",
     } | extra
     return SparkSession.builder.appName(app).config(map=conf).getOrCreate()
