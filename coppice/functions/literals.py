@@ -28,6 +28,12 @@ def scalar(v):
     return v
 
 
+def typed(v) -> dict:
+    """A scalar by its type, as column expressions write it to JSON (functions/json_columns)."""
+    part = "flag" if isinstance(v, bool) else "whole" if isinstance(v, int) else "real" if isinstance(v, float) else "bytes"
+    return {part: v.encode() if isinstance(v, str) else v}
+
+
 def unescaped(body: bytes) -> bytes:
     def one(m: re.Match) -> bytes:
         x = m[1]

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 
-from coppice.functions.literals import canonical, number, scalar, unquoted
+from coppice.functions.literals import number, typed, unquoted
 
 MAX_DEPTH = 120
 #: Binary operators: binding power (odd ones group to the right) and kind.
@@ -391,7 +391,7 @@ def nodes_of(items: list[tuple[str, str]]) -> tuple[list[dict], tuple[str, int]
     """The nodes of one statement in pre-order, and its error (message, item) if it has one.
 
     A row has kind, first and last item, field and pos in its parent, fields
-    (name, many), holes (field, pos) and attrs.  A statement that can't be read
+    (name, many), holes (field, pos, and a scalar that stands there) and attrs.  A statement that can't be read
     is one node that keeps the blocks in it.
     """
     reader, error = Statement(items), None
@@ -408,8 +408,8 @@ def nodes_of(items: list[tuple[str, str]]) -> tuple[list[dict], tuple[str, int]
         for f, v in fields.items():
             flat += [(x, f, i) for i, x in enumerate(v)] if isinstance(v, list) else [(v, f, None)]
         rows.append({
-            "kind": kind, "first": first, "last": behind - 1, "field": field, "pos": pos, "attrs": canonical({k: scalar(v) for k, v in attrs.items()}),
-            "fields": [(f, isinstance(v, list)) for f, v in fields.items()], "holes": [(f, i) for x, f, i in flat if x is None and i is not None],
+            "kind": kind, "first": first, "last": behind - 1, "field": field, "pos": pos, "attrs": [{"name": k, "value": typed(v)} for k, v in attrs.items()],
+            "fields": [(f, isinstance(v, list)) for f, v in fields.items()], "holes": [(f, i, None if x is None else typed(x)) for x, f, i in flat if not isinstance(x, tuple) and i is not None],
         })
-        stack += [x for x in reversed(flat) if x[0] is not None]
+        stack += [x for x in reversed(flat) if isinstance(x[0], tuple)]
     return rows, error

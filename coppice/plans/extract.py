@@ -8,18 +8,16 @@ edges, entries and the manifest are Spark expressions over its rows.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from coppice import __version__
 from coppice.functions import columns as C
-from coppice.functions.literals import canonical
+from coppice.functions import json_columns as J
 from coppice.functions.statement import nodes_of
 from coppice.operators import lexing, nesting
 from coppice.operators.lexing import PLACE
@@ -30,10 +28,11 @@ TOOL = {"name": "coppice", "version": __version__}
 PARSER = {"name": "coppice-syntax", "targetPhpVersion": "8.3", "version": __version__}
 LOC = ("startLine", "endLine", "startCol", "endCol", "startByte", "endByte")
 
+_ATTRS = f"array<struct<name:string,value:{J.TEXT}>>"
 _LOC = "struct<" + ",".join(f"{x}:int" for x in LOC) + ">"
-_NODE = f"struct<node_ord:int,subtree_end:int,parent_ord:int,kind:string,loc:{_LOC},children:array<int>,fields_json:string,attrs_json:string,edges:array<struct<field:string,pos:int,child_ord:int>>>"
-_KIDS, _HOLES, _FIELDS = "array<struct<child_ord:int,field:string,pos:int>>", "array<struct<field:string,pos:int>>", "array<struct<name:string,many:boolean>>"
-_OWN = f"struct<node_ord:int,subtree_end:int,parent_ord:int,kind:string,loc:{_LOC},fields:{_FIELDS},holes:{_HOLES},attrs_json:string>"
+_NODE = f"struct<node_ord:int,subtree_end:int,parent_ord:int,kind:string,loc:{_LOC},children:array<int>,fields_json:string,attrs_json:string,edges:array<struct<field:string,pos:int,child_ord:int,scalar:{J.TEXT}>>,fields:array<struct<name:string,many:boolean>>,attrs:{_ATTRS}>"
+_KIDS, _HOLES, _FIELDS = "array<struct<child_ord:int,field:string,pos:int>>", f"array<struct<field:string,pos:int,scalar:{J.TEXT}>>", "array<struct<name:string,many:boolean>>"
+_OWN = f"struct<node_ord:int,subtree_end:int,parent_ord:int,kind:string,loc:{_LOC},fields:{_FIELDS},holes:{_HOLES},attrs:{_ATTRS}>"
 #: What is found in a file: its nodes with their children, the children of its root, and errors.
 _FOUND, _ERRORS = f"array<struct<key:int,own:{_OWN},kids:{_KIDS}>>", "array<struct<line:int,message:string>>"
 
@@ -53,7 +52,7 @@ def statement_nodes(statements: pa.Array) -> pa.Array:
             rows, error = nodes_of([(i["type"], i["text"]) for i in items])
         made: list[dict] = []
         for r in rows:
-            fields, holes = [{"name": f, "many": m} for f, m in r["fields"]], [{"field": f, "pos": p} for f, p in r["holes"]]
+            fields, holes = [{"name": f, "many": m} for f, m in r["fields"]], [{"field": f, "pos": p, "scalar": v} for f, p, v in r["holes"]]
             made.append({"kind": r["kind"], "field": r["field"], "pos": r["pos"], "fields": fields, "holes": holes, "attrs": r["attrs"], "message": None} | place(r["first"], r["last"]))
         if error:
             made.append({"kind": None, "message": error[0]} | place(error[1], error[1]))
@@ -61,11 +60,12 @@ def statement_nodes(statements: pa.Array) -> pa.Array:
     return pa.array(out, _ARROW_NODES)
 
 
+_SCALAR = pa.struct([("bytes", pa.binary()), ("whole", pa.int64()), ("real", pa.float64()), ("flag", pa.bool_())])
 _ARROW_NODES = pa.list_(pa.struct([
     ("kind", pa.string()), ("field", pa.string()), ("pos", pa.int32()), ("fields", pa.list_(pa.struct([("name", pa.string()), ("many", pa.bool_())]))),
-    ("holes", pa.list_(pa.struct([("field", pa.string()), ("pos", pa.int32())]))), ("attrs", pa.string()), ("message", pa.string()), *((c, pa.int32()) for c in PLACE),
+    ("holes", pa.list_(pa.struct([("field", pa.string()), ("pos", pa.int32()), ("scalar", _SCALAR)]))), ("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", _SCALAR)]))), ("message", pa.string()), *((c, pa.int32()) for c in PLACE),
 ]))
-_NODES = "array<struct<kind:string,field:string,pos:int,fields:array<struct<name:string,many:boolean>>,holes:array<struct<field:string,pos:int>>,attrs:string,message:string," + ",".join(f"`{c}`:int" for c in PLACE) + ">>"
+_NODES = f"array<struct<kind:string,field:string,pos:int,fields:{_FIELDS},holes:array<struct<field:string,pos:int,scalar:{J.SCALAR}>>,attrs:array<struct<name:string,value:{J.SCALAR}>>,message:string," + ",".join(f"`{c}`:int" for c in PLACE) + ">>"
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -78,6 +78,10 @@ def found_nodes(files: DataFrame, large: bool = True) -> DataFrame:
     items = nesting.statements(nesting.without_broken(nesting.checked(nesting.blocks(dealt(lexing.items(files, large=large))))))
     gathered = items.groupBy("file_ord", "block", "stmt").agg(F.array_sort(F.collect_list(F.struct("at", "type", "text", *PLACE))).alias("items"))
     read = gathered.select("file_ord", "block", "stmt", F.posexplode(F.arrow_udf(statement_nodes, _NODES)("items")).alias("local", "n")).select("file_ord", "block", "stmt", "local", "n.*")
+    read = read.withColumns({
+        "attrs": F.transform("attrs", lambda a: F.struct(a["name"].alias("name"), J.text_of(a["value"]).alias("value"))),
+        "holes": F.transform("holes", lambda h: F.struct(h["field"].alias("field"), h["pos"].alias("pos"), F.when(h["scalar"].isNotNull(), J.text_of(h["scalar"])).alias("scalar"))),
+    })
     return nesting.chained(dealt(read).withColumn("root", (F.col("local") == 0) & F.col("kind").isNotNull()))
 
 
@@ -132,7 +136,7 @@ def _root_loc() -> Column:
 def with_text_only(files: DataFrame) -> DataFrame:
     """``files`` without an opening tag with what is found in them: one node of text, or none in an empty one."""
     empty = lambda kind: F.array().cast(kind)
-    own = F.struct(F.lit(1), F.lit(2), F.lit(0), F.lit("Stmt_InlineHTML"), _root_loc(), empty(_FIELDS), empty(_HOLES), F.lit(None).cast("string"))
+    own = F.struct(F.lit(1), F.lit(2), F.lit(0), F.lit("Stmt_InlineHTML"), _root_loc(), empty(_FIELDS), empty(_HOLES), F.lit(None).cast(_ATTRS))
     some = F.octet_length("content") > 0
     found = F.when(some, F.array(F.struct(F.lit(1), own, empty(_KIDS))).cast(_FOUND))
     return files.withColumns({"found": found, "top": F.when(some, F.array(F.struct(F.lit(1), F.lit("stmts"), F.lit(0))).cast(_KIDS)), "errors": F.lit(None).cast(_ERRORS)})
@@ -141,7 +145,7 @@ def with_text_only(files: DataFrame) -> DataFrame:
 def with_found(files: DataFrame, large: bool) -> DataFrame:
     """``files`` with what is found in them; only what the lexer makes of them moves by file before that meets the contents."""
     loc = F.struct(F.col("line").alias("startLine"), F.col("end_line").alias("endLine"), (F.col("start") - F.col("line_start")).alias("startCol"), (F.col("end") - F.col("end_line_start")).alias("endCol"), F.col("start").alias("startByte"), F.col("end").alias("endByte"))
-    own = F.struct("node_ord", "subtree_end", "parent_ord", "kind", loc.alias("loc"), "fields", "holes", F.col("attrs").alias("attrs_json"))
+    own = F.struct("node_ord", "subtree_end", "parent_ord", "kind", loc.alias("loc"), "fields", "holes", "attrs")
     edge = F.struct(F.col("node_ord").alias("child_ord"), "field", "pos")
     nothing = lambda c: F.lit(None).cast(c)
     nodes = numbered_nodes(found_nodes(files, large)).select("file_ord", "node_ord", "parent_ord", "line", "end_line", "message", own.alias("own"), edge.alias("edge"))
@@ -172,56 +176,65 @@ def parsed(files: DataFrame, look: Look | None = None) -> DataFrame:
     c, file = F.col("content"), C.file_id(F.col("file_ord"))
     all_kids = F.coalesce("top", F.array().cast(_KIDS))
     count = F.coalesce(F.array_size("found"), F.lit(0))
-    root = _node(file, F.lit(0), count + 1, F.lit(None).cast("int"), F.lit("File"), _root_loc(), all_kids, F.array(F.struct(F.lit("stmts").alias("name"), F.lit(True).alias("many"))), F.array().cast(_HOLES), F.lit("{}"))
+    root = _node(file, F.lit(0), count + 1, F.lit(None).cast("int"), F.lit("File"), _root_loc(), all_kids, F.array(F.struct(F.lit("stmts").alias("name"), F.lit(True).alias("many"))), F.array().cast(_HOLES), F.array().cast(_ATTRS))
 
     def node(e: Column) -> Column:
         o = e["own"]
-        html = F.concat(F.lit('{"value":'), C.json_bytes(C.byte_slice(c, o["loc"]["startByte"], o["loc"]["endByte"])), F.lit("}"))
-        return _node(file, o["node_ord"], o["subtree_end"], o["parent_ord"], o["kind"], o["loc"], e["kids"], o["fields"], o["holes"], F.coalesce(o["attrs_json"], html))
+        part = C.byte_slice(c, o["loc"]["startByte"], o["loc"]["endByte"])
+        text = F.struct(F.when(~F.is_valid_utf8(part), "__b64").alias("wrap"), F.when(F.is_valid_utf8(part), C.json_string(part.cast("string"))).otherwise(F.concat(F.lit('"'), F.replace(F.base64(part), F.lit("\r\n"), F.lit("")), F.lit('"'))).alias("json"))
+        html = F.array(F.struct(F.lit("value").alias("name"), text.alias("value"))).cast(_ATTRS)
+        return _node(file, o["node_ord"], o["subtree_end"], o["parent_ord"], o["kind"], o["loc"], e["kids"], o["fields"], o["holes"], F.coalesce(o["attrs"], html))
 
     found = F.coalesce(F.transform("found", node), F.array().cast(f"array<{_NODE}>"))
     errors = F.transform(F.coalesce("errors", F.array().cast(_ERRORS)), lambda e: F.struct(e["message"].alias("message"), e["line"].alias("startLine"), e["line"].alias("endLine")))
     return joined.select("file_ord", file.alias("file_id"), "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"), (count + 1).alias("node_count"), F.concat(F.array(root.cast(_NODE)), found).alias("nodes"), errors.alias("parse_errors"))
 
 
-def _node(file: Column, n: Column, subtree_end: Column, parent: Column, kind: Column, loc: Column, kids: Column, fields: Column, holes: Column, attrs: Column) -> Column:
-    """A node as it stands in a document: its children in order, and its fields as JSON, a hole of a list as null."""
-    edges = F.concat(F.transform(kids, lambda k: F.struct(k["field"].alias("field"), k["pos"].alias("pos"), k["child_ord"].alias("child_ord"))), F.transform(holes, lambda h: F.struct(h["field"].alias("field"), h["pos"].alias("pos"), F.lit(None).cast("int").alias("child_ord"))))
-    quoted = lambda e: F.when(e["child_ord"].isNull(), "null").otherwise(F.concat(F.lit('"'), C.node_id(file, e["child_ord"]), F.lit('"')))
+def _fields_json(file: Column, fields: Column, edges: Column, level: int | None = None) -> Column:
+    """The fields of a node: ids of children, a hole of a list as null, a scalar in one in an object of its own."""
+    wrapped = lambda e: J.object_of({"__scalar": J.scalar(e["scalar"], J.inside(J.inside(J.inside(level))))}, J.inside(J.inside(level)))
+    one = lambda e: F.when(e["child_ord"].isNotNull(), _quoted_id(file, e["child_ord"])).when(e["scalar"].isNotNull(), wrapped(e)).otherwise("null")
 
     def value(f: Column) -> Column:
-        own = F.transform(F.array_sort(F.filter(edges, lambda e: e["field"] == f["name"])), quoted)
-        many = F.concat(F.lit("["), F.array_join(own, ","), F.lit("]"))
-        return F.concat(F.lit('"'), f["name"], F.lit('":'), F.when(f["many"], many).otherwise(F.coalesce(F.get(own, F.lit(0)), F.lit("null"))))
+        own = F.transform(F.array_sort(F.filter(edges, lambda e: e["field"] == f["name"])), one)
+        return J.entry(f["name"], F.when(f["many"], J.listed(own, J.inside(level))).otherwise(F.coalesce(F.get(own, F.lit(0)), F.lit("null"))), level)
 
-    json_fields = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(fields), value), ","), F.lit("}"))
-    return F.struct(
-        n.alias("node_ord"), subtree_end.alias("subtree_end"), parent.alias("parent_ord"), kind.alias("kind"), loc.alias("loc"), F.transform(kids, lambda k: k["child_ord"]).alias("children"),
-        json_fields.alias("fields_json"), attrs.alias("attrs_json"), edges.alias("edges"),
-    )
+    return J.entries(F.transform(F.array_sort(fields), value), level)
 
 
-def _number(c: Column) -> Column:
-    return c.cast("string")
+def _attrs_json(attrs: Column, level: int | None = None) -> Column:
+    return J.entries(F.transform(F.array_sort(attrs), lambda a: J.entry(a["name"], J.scalar(a["value"], J.inside(level)), level)), level)
 
 
-def _loc_json(loc: Column) -> Column:
-    parts = [F.concat(F.lit(f'"{x}":'), _number(loc[x])) for x in sorted(LOC)]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+def _quoted_id(file: Column, n: Column) -> Column:
+    return F.concat(F.lit('"'), C.node_id(file, n), F.lit('"'))
 
 
-def _node_json(file: Column, n: Column) -> Column:
-    quoted = lambda o: F.concat(F.lit('"'), C.node_id(file, o), F.lit('"'))
-    return F.concat(
-        F.lit('{"attrs":'), n["attrs_json"], F.lit(',"children":['), F.array_join(F.transform(n["children"], quoted), ","), F.lit('],"fields":'), n["fields_json"],
-        F.lit(',"id":'), quoted(n["node_ord"]), F.lit(',"kind":"'), n["kind"], F.lit('","loc":'), _loc_json(n["loc"]), F.lit(',"parent":'), F.when(n["parent_ord"].isNull(), "null").otherwise(quoted(n["parent_ord"])), F.lit("}"),
+def _node(file: Column, n: Column, subtree_end: Column, parent: Column, kind: Column, loc: Column, kids: Column, fields: Column, holes: Column, attrs: Column) -> Column:
+    """A node as it stands in a document: its children in order, and its fields and attributes as they are and as JSON."""
+    child = lambda k: F.struct(k["field"].alias("field"), k["pos"].alias("pos"), k["child_ord"].alias("child_ord"), F.lit(None).cast(J.TEXT).alias("scalar"))
+    hole = lambda h: F.struct(h["field"].alias("field"), h["pos"].alias("pos"), F.lit(None).cast("int").alias("child_ord"), h["scalar"].alias("scalar"))
+    edges = F.concat(F.transform(kids, child), F.transform(holes, hole))
+    return F.struct(
+        n.alias("node_ord"), subtree_end.alias("subtree_end"), parent.alias("parent_ord"), kind.alias("kind"), loc.alias("loc"), F.transform(kids, lambda k: k["child_ord"]).alias("children"),
+        _fields_json(file, fields, edges).alias("fields_json"), _attrs_json(attrs).alias("attrs_json"), edges.alias("edges"), fields.alias("fields"), attrs.alias("attrs"),
     )
 
 
-def _errors_json(errors: Column) -> Column:
-    line = lambda c: F.coalesce(_number(C.positive_or_null(c)), F.lit("null"))
-    one = lambda e: F.concat(F.lit('{"endLine":'), line(e["endLine"]), F.lit(',"message":'), C.json_string(e["message"]), F.lit(',"startLine":'), line(e["startLine"]), F.lit("}"))
-    return F.concat(F.lit("["), F.array_join(F.transform(errors, one), ","), F.lit("]"))
+def _node_json(file: Column, n: Column, level: int | None = None) -> Column:
+    below = J.inside(level)
+    compact = level is None
+    return J.object_of({
+        "attrs": n["attrs_json"] if compact else _attrs_json(n["attrs"], below), "children": J.listed(F.transform(n["children"], lambda o: _quoted_id(file, o)), below),
+        "fields": n["fields_json"] if compact else _fields_json(file, n["fields"], n["edges"], below), "id": _quoted_id(file, n["node_ord"]), "kind": F.concat(F.lit('"'), n["kind"], F.lit('"')),
+        "loc": J.object_of({x: n["loc"][x].cast("string") for x in LOC}, below), "parent": F.when(n["parent_ord"].isNull(), "null").otherwise(_quoted_id(file, n["parent_ord"])),
+    }, level)
+
+
+def _errors_json(errors: Column, level: int | None = None) -> Column:
+    line = lambda c: F.coalesce(C.positive_or_null(c).cast("string"), F.lit("null"))
+    one = lambda e: J.object_of({"message": C.json_string(e["message"]), "startLine": line(e["startLine"]), "endLine": line(e["endLine"])}, J.inside(level))
+    return J.listed(F.transform(errors, one), level)
 
 
 def documents(files: DataFrame, pretty: bool = False, look: Look | None = None) -> DataFrame:
@@ -229,26 +242,20 @@ def documents(files: DataFrame, pretty: bool = False, look: Look | None = None)
     p = parsed(files, look)
     root = C.node_id(F.col("file_id"), F.lit(0))
     count = F.col("node_count")
-    compact = F.concat(
-        F.lit('{"bytes":'), _number(F.col("bytes")), F.lit(',"fileId":"'), F.col("file_id"), F.lit('","nodeCount":'), _number(count), F.lit(',"nodes":['),
-        F.array_join(F.transform("nodes", lambda n: _node_json(F.col("file_id"), n)), ","), F.lit('],"parseErrors":'), _errors_json(F.col("parse_errors")),
-        F.lit(',"parseOk":'), F.when(F.size("parse_errors") == 0, "true").otherwise("false"), F.lit(',"path":'), C.json_string(F.col("path")),
-        F.lit(',"rootId":"'), root, F.lit(f'","schemaVersion":"{SCHEMA_VERSION}","sha256":"'), F.col("sha256"), F.lit('"}\n'),
-    )
+    level = 0 if pretty else None
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    text = J.object_of({
+        "bytes": F.col("bytes").cast("string"), "fileId": quoted(F.col("file_id")), "nodeCount": count.cast("string"),
+        "nodes": J.listed(F.transform("nodes", lambda n: _node_json(F.col("file_id"), n, J.inside(J.inside(level)))), J.inside(level)), "parseErrors": _errors_json(F.col("parse_errors"), J.inside(level)),
+        "parseOk": (F.size("parse_errors") == 0).cast("string"), "path": C.json_string(F.col("path")), "rootId": quoted(root), "schemaVersion": F.lit(f'"{SCHEMA_VERSION}"'), "sha256": quoted(F.col("sha256")),
+    }, level)
     out = p.select(
         "file_ord", "file_id", "path", "sha256", "bytes", "parse_errors", (F.size("parse_errors") == 0).alias("parse_ok"),
-        F.size("parse_errors").alias("parse_error_count"), root.alias("root_id"), "node_count", "nodes", compact.alias("ast_json"),
+        F.size("parse_errors").alias("parse_error_count"), root.alias("root_id"), "node_count", "nodes", F.concat(text, F.lit("\n")).alias("ast_json"),
     )
-    if pretty:
-        out = out.withColumn("ast_json", indented("ast_json"))
     return out.withColumn("ast_sha256", F.sha2("ast_json", 256))
 
 
-@F.udf(StringType(), useArrow=True)
-def indented(document: str) -> str:
-    return canonical(json.loads(document), indent=1) + "\n"
-
-
 @dataclass
 class Extraction:
     """The tables of one tree; ``docs`` is what the others derive from."""

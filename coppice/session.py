@@ -16,5 +16,7 @@ def build_session(app: str = "coppice", **extra: str) -> SparkSession:
         # The windows of a syntax tree take more time than their few bytes tell.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.ui.showConsoleProgress": "false",
+        # Noting the caller of every column expression takes over half of the time that building a plan of windows takes.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | extra
     return SparkSession.builder.appName(app).config(map=conf).getOrCreate()
