@@ -34,7 +34,7 @@ from .shared import SLICE_BYTES, cut, mapped, slices, texts_of
 
 VOCABULARY, CLOSING_ID, SEQUENCE = "word_bpe_49k.json", 1, 2048
 #: Pieces a group has on average, and distinct strings and words a worker remembers the ids of.
-GROUP, MOST_CHUNKS, MOST_WORDS = 8192, 300_000, 150_000
+GROUP, MOST_CHUNKS, MOST_WORDS = 8192, 600_000, 250_000
 
 
 #: Printable ASCII and Latin-1 letters, which lower-case one by one and are in composed form already.
@@ -107,9 +107,19 @@ class Encoder:
         for c, encoded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.chunks[c] = np.array(encoded.ids, "<u4").tobytes()
 
+    def folded(self, text: str) -> str:
+        """A text in lower case where that is all the tokenizer's settings would do to its letters, so that fewer strings differ."""
+        if self.pattern is None or "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the closing one, as little-endian 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.folded(t).replace("\n", " ").split(" ") for t in texts]
         # What was met first stays: common words come early.
         if len(self.chunks) > MOST_CHUNKS:
             self.chunks = dict(islice(self.chunks.items(), MOST_CHUNKS // 5))
