@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, mapped, release, slices, texts_of
+from .shared import cut, cut_in_round, mapped, release, slices, texts_of
 from .words import Words, mix
 
 #: Members of a block, postings a task gathers before it sends them, and postings of a bucket on average.
@@ -402,7 +402,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     if between.isEmpty():
         return labels
     new = components(between, "x", "y").select(F.col("id").alias("label"), F.col("label").alias("new"))
-    return cut(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+    return cut_in_round(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
 def linked_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -56,6 +56,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_in_round(df: DataFrame) -> DataFrame:
+    """``cut`` for a frame of few columns that each round of a loop makes from its last one by joins.
+
+    A checkpoint keeps the size that Spark reckoned for its plan, where a join is
+    the product of its sides.  From round to round the digits of that size would
+    multiply, and reckoning with them takes the driver's memory and time.  A
+    frame made from the checkpoint's rows has no such past.
+    """
+    session, held = df.sparkSession, cut(df)._jdf
+    return DataFrame(session._jsparkSession.createDataFrame(held.toJavaRDD(), held.schema()), session)
+
+
 #: A table of one row a key is broadcast up to this many rows, and joined by shuffling beyond.
 BROADCAST_ROWS = 100_000
 
