@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ("ast_documents", "page_documents", "dominant_dir", "top_dirs")
+NAMES = ("ast_documents", "page_documents", "dominant_dir", "top_dirs", "tree_totals")
 
 
 @pytest.fixture(scope="module")
