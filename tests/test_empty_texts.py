@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ("ast_documents", "page_documents", "dominant_dir", "top_dirs", "tree_totals")
+NAMES = ("ast_documents", "page_documents", "dominant_dir", "top_dirs", "tree_totals", "paths_under", "path_lookup")
 
 
 @pytest.fixture(scope="module")
