@@ -33,9 +33,11 @@ def repeated_ids(nodes: DataFrame) -> DataFrame:
 
 
 def unordered_children(nodes: DataFrame) -> DataFrame:
-    """Child ids must ascend and be greater than the parent's."""
-    child = nodes.select("file_ord", "node_ord", F.explode("children").alias("id")).withColumn("child", F.split_part("id", F.lit("#"), F.lit(-1)).cast("int"))
-    return child.where("child <= node_ord")
+    """Listed children whose number is not greater than their parent's, or than that of the one listed before them."""
+    number = lambda c: F.split_part(c, F.lit("#"), F.lit(-1)).cast("int")
+    one = lambda id, i: F.struct(id.alias("id"), number(id).alias("child"), number(F.get("children", i - 1)).alias("before"))
+    child = nodes.select("file_ord", "node_ord", F.inline(F.transform("children", one)))
+    return child.where("child <= node_ord or child <= before").drop("before")
 
 
 def tree_diff(a: DataFrame, b: DataFrame, key: str = "path", value: str = "ast_sha256") -> DataFrame:

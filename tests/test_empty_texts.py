@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from coppice.operators import checks, lexing
 from coppice.plans.extract import Look, extract
 
-NAMES = ("ast_documents", "page_documents", "dominant_dir", "top_dirs", "tree_totals", "paths_under", "path_lookup", "wrapped_nodes", "edge_table", "kind_counts", "node_slices", "script_nodes", "script_edges", "nodes_under")
+NAMES = ("ast_documents", "page_documents", "dominant_dir", "top_dirs", "tree_totals", "paths_under", "path_lookup", "wrapped_nodes", "edge_table", "kind_counts", "node_slices", "script_nodes", "script_edges", "nodes_under", "violations")
 
 
 @pytest.fixture(scope="module")

@@ -137,3 +137,10 @@ def test_walk_by_rounds_equals_the_reader(spark, tmp_path):
     assert {(r.dir, r.files) for r in hidden.collect()} == {(r.dir, r.files) for r in read_tree(spark, str(root), table="excluded").collect()} == {("node_modules", 3), ("deep/node_modules", 1)}
     nothing, _ = walk.walked(spark, str(root / "void"))
     assert nothing.count() == 0 and walk.read_walked(nothing, str(root / "void")).count() == 0
+
+
+def test_children_must_ascend(spark):
+    children = {0: (1, 4, 2, 3), 1: (2, 3), 2: (2,), 3: (1, 2), 4: (5, 5), 5: (), 6: (99999, 100000, 7), 7: (9,)}
+    nodes = spark.createDataFrame([(f, n, [f"f{f:03d}#{c:05d}" for c in kids]) for f in (0, 1) for n, kids in children.items()], "file_ord long, node_ord int, children array<string>")
+    got = sorted((r.node_ord, r.child) for r in checks.unordered_children(nodes.repartition(3)).where("file_ord = 1").collect())
+    assert got == [(0, 2), (2, 2), (3, 1), (3, 2), (4, 5), (6, 7)]
